@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from hexgale.operators.ordered import MAX_GROUP, ordinal_index, quantiles
 from hexgale.operators.profile import timing_from_profile
+from hexgale.session import cut_lineage
 
 STD_FLOOR = 1.0
 Z_EVENT = 2.0
@@ -111,7 +112,8 @@ def contrast_score(
     df: DataFrame, key: str, intensity: str, frequency: str, *, max_group: int = MAX_GROUP
 ) -> DataFrame:
     """Ordinal percentile ranks (0-1) of two columns and their difference."""
-    i = ordinal_percentile(df, intensity, key, name="pct_intensity", max_group=max_group)
+    # Each ranking reads its input several times, so the first result is materialised.
+    i = cut_lineage(ordinal_percentile(df, intensity, key, name="pct_intensity", max_group=max_group))
     both = ordinal_percentile(i, frequency, key, name="pct_frequency", max_group=max_group)
     return both.withColumn("score", F.col("pct_intensity") - F.col("pct_frequency"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hexgale.operators.composite import period_number, period_start
-from hexgale.operators.indicators import weighted_cell_period_mean
+from hexgale.session import cut_lineage
 
 ORIGIN = "1995-01-01"
 
@@ -161,7 +161,8 @@ def regime_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     p95 = quantiles(per, ["cell_id"], "pred", {"p95_prob": 0.95})
     pts = points(spark, sf_dir).withColumnRenamed("point_id", "cell_id").withColumnRenamed("weight", "area_weight_km2")
-    return base.join(p95, "cell_id").join(pts, "cell_id")
+    # One row per hexagon that every threshold and rank below reads again.
+    return cut_lineage(base.join(p95, "cell_id").join(pts, "cell_id"))
 
 
 REGIME = (
@@ -176,5 +177,3 @@ reg AS (
          any_value(s.weight) AS area_weight_km2, any_value(class_id) AS class_id, any_value(country) AS country
   FROM per p JOIN pts s ON s.point_id = p.cell_id GROUP BY p.cell_id)"""
 )
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["weighted_cell_period_mean"]

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from hexgale.plans import indicator_queries  # noqa: F401
+from hexgale.plans import indicator_queries, regime_queries  # noqa: F401
 from hexgale.plans.registry import REGISTRY
 
 __all__ = ["REGISTRY"]
