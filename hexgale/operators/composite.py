@@ -94,7 +94,7 @@ def rolling_mean(
     max_group: int = MAX_GROUP,
 ) -> DataFrame:
     """Centred rolling mean over 2*half+1 rows, one valid value is enough."""
-    parts = chunk_series(df, keys, order, back=half, ahead=half, max_group=max_group)
+    parts, _ = chunk_series(df, keys, order, back=half, ahead=half, max_group=max_group)
     w = Window.partitionBy(*keys, "_chunk").orderBy(order).rowsBetween(-half, half)
     return (
         parts.withColumns({f"{v}{suffix}": F.avg(nan_to_null(F.col(v))).over(w) for v in values})

@@ -165,8 +165,7 @@ def spearman_grid(
     ]
     long = df.select(F.explode(F.array(*options)).alias("_p")).select("_p.*").where(finite("x") & finite("y"))
     keys = ["x_name", "y_name"]
-    # Each ranking reads its input several times, so results in between are materialised.
-    ranked = cut_lineage(average_rank(cut_lineage(long), keys, "x", name="rx", max_group=max_group))
+    ranked = average_rank(long, keys, "x", name="rx", max_group=max_group)
     ranked = average_rank(ranked, keys, "y", name="ry", max_group=max_group)
     out = ranked.groupBy(*keys).agg(F.corr("rx", "ry").alias("rho"), F.count(F.lit(1)).alias("n"))
     out = out.withColumn("rho", F.when((F.col("n") >= min_rows) & ~F.isnan("rho"), F.col("rho")))
@@ -186,10 +185,11 @@ def partial_spearman(
         for x, y, c in tests
     ]
     long = df.select(F.explode(F.array(*options)).alias("_p")).select("_p.*")
-    long = long.where(finite("x") & finite("y") & finite("c"))
+    # Ranked five times below, so materialised once.
+    long = cut_lineage(long.where(finite("x") & finite("y") & finite("c")))
     keys = ["x_name", "y_name", "control"]
     for v in ("x", "y", "c"):
-        long = cut_lineage(average_rank(long, keys, v, name=f"r{v}", max_group=max_group))
+        long = average_rank(long, keys, v, name=f"r{v}", max_group=max_group)
     fits = long.groupBy(*keys).agg(
         F.regr_slope("rx", "rc").alias("bx"), F.regr_intercept("rx", "rc").alias("ax"),
         F.regr_slope("ry", "rc").alias("by"), F.regr_intercept("ry", "rc").alias("ay"),
@@ -199,7 +199,7 @@ def partial_spearman(
         (F.col("rx") - F.col("ax") - F.col("bx") * F.col("rc")).alias("ex"),
         (F.col("ry") - F.col("ay") - F.col("by") * F.col("rc")).alias("ey"),
     )
-    res = cut_lineage(average_rank(cut_lineage(res), keys, "ex", name="rex", max_group=max_group))
+    res = average_rank(res, keys, "ex", name="rex", max_group=max_group)
     res = average_rank(res, keys, "ey", name="rey", max_group=max_group)
     out = res.groupBy(*keys).agg(F.corr("rex", "rey").alias("rho"), F.count(F.lit(1)).alias("n"))
     out = out.withColumn("rho", F.when(F.col("n") >= min_rows, F.col("rho")))

@@ -11,8 +11,10 @@ Every operator here therefore splits its input by group size:
   (group, bucket) pairs are sorted. The list of large groups has at most ``rows / max_group`` entries,
   which bounds everything that is broadcast here.
 
-Both ways are exact and give the same result. When no group is large, adaptive execution drops the
-second way at run time because the list of large groups is empty.
+Both ways are exact and give the same result. Group sizes are checked first by one count per group
+(combined map-side); only whether there is any large group reaches the driver. If there is none, the
+plan is the plain one. If there are some, their rows are read several times and are therefore
+checkpointed when they come out of a join or an aggregation.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hexgale.session import cut_lineage
+
 #: Rows up to which a group is handled in a single task.
 MAX_GROUP = 200_000
 #: Value buckets per ``max_group`` rows, so that uneven value distributions still spread.
@@ -53,15 +57,23 @@ def large_groups(df: DataFrame, keys: Sequence[str], order: str, max_group: int
     )
 
 
+def _derived(df: DataFrame) -> bool:
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return any(word in plan for word in ("Aggregate", "Join", "Window"))
+
+
 def split_by_size(
     df: DataFrame, keys: Sequence[str], order: str, max_group: int = MAX_GROUP
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(rows of small groups, rows of large groups with size and range, list of large groups)."""
+) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of small groups, rows of large groups with their size and range, or None without any)."""
     large = large_groups(df, keys, order, max_group)
+    if large.isEmpty():
+        return df, None
+    large = cut_lineage(large)
     # Broadcast is bounded: the list has at most rows / max_group entries.
     small = df.join(F.broadcast(large.select(*keys)), list(keys), "left_anti")
     big = df.join(F.broadcast(large), list(keys), "inner")
-    return small, big, large
+    return small, (cut_lineage(big) if _derived(df) else big)
 
 
 def _bucket(order: str, max_group: int) -> Column:
@@ -103,7 +115,7 @@ def running_totals(
     points = df.groupBy(*ks, order).agg(
         *[e.alias(n) for n, e in sums.items()], *[e.alias(n) for n, e in extra.items()]
     )
-    small, big, _ = split_by_size(points, ks, order, max_group)
+    small, big = split_by_size(points, ks, order, max_group)
     by = F.col(order).desc() if descending else F.col(order).asc()
 
     def cumulated(part: DataFrame, groups: list[str]) -> DataFrame:
@@ -113,6 +125,8 @@ def running_totals(
     everything = Window.partitionBy(*ks)
     out_cols = [*ks, order, *names, *extra, *[f"{n}_cum" for n in names], *[f"{n}_all" for n in names]]
     small_out = cumulated(small, ks).withColumns({f"{n}_all": F.sum(n).over(everything) for n in names})
+    if big is None:
+        return small_out.select(*[c for c in out_cols if keys or c != _ALL])
 
     tagged = big.withColumn(_B, _bucket(order, max_group))
     offsets = _bucket_offsets(tagged, ks, {n: F.sum(n) for n in names}, descending)
@@ -142,9 +156,11 @@ def row_index(
     Rows with equal ``order`` stay in one bucket; use :func:`ordinal_index` where one value may be hot.
     """
     df, ks = _keyed(df, keys)
-    small, big, _ = split_by_size(df, ks, order, max_group)
+    small, big = split_by_size(df, ks, order, max_group)
     by = [F.col(order).desc() if descending else F.col(order).asc(), *[F.col(t).asc() for t in ties]]
     small_out = small.withColumn(name, F.row_number().over(Window.partitionBy(*ks).orderBy(*by)).cast("long"))
+    if big is None:
+        return small_out if keys else small_out.drop(_ALL)
     tagged = big.withColumn(_B, _bucket(order, max_group))
     offsets = _bucket_offsets(tagged, ks, {"n": F.count(F.lit(1))}, descending)
     big_out = (
@@ -172,11 +188,13 @@ def ordinal_index(
     Position = rows with a smaller value + position by ``tie`` among the rows of the same value.
     """
     df, ks = _keyed(df, keys)
-    small, big, _ = split_by_size(df, ks, order, max_group)
+    small, big = split_by_size(df, ks, order, max_group)
     by = F.col(order).desc() if descending else F.col(order).asc()
     small_out = small.withColumn(
         name, F.row_number().over(Window.partitionBy(*ks).orderBy(by, F.col(tie).asc())).cast("long")
     )
+    if big is None:
+        return small_out if keys else small_out.drop(_ALL)
     big = big.select(*df.columns)
     before = running_totals(
         big, ks, order, {"_n": F.count(F.lit(1))}, descending=descending, max_group=max_group
@@ -202,12 +220,17 @@ def average_rank(
     count_name = count_name or f"{name}_n"
     known = df.where(F.col(value).isNotNull())
     unknown = df.where(F.col(value).isNull())
-    small, big, _ = split_by_size(known, ks, value, max_group)
+    small, big = split_by_size(known, ks, value, max_group)
     ordered = Window.partitionBy(*ks).orderBy(value)
     ties = Window.partitionBy(*ks, value)
     small_out = small.withColumn(
         name, F.rank().over(ordered) + (F.count(F.lit(1)).over(ties) - F.lit(1)) / F.lit(2.0)
     ).withColumn(count_name, F.count(F.lit(1)).over(Window.partitionBy(*ks)))
+    cols = [*df.columns, name, count_name]
+    unranked = unknown.withColumns({name: F.lit(None).cast("double"), count_name: F.lit(None).cast("long")})
+    small_out = small_out.select(*cols).unionByName(unranked.select(*cols))
+    if big is None:
+        return small_out if keys else small_out.drop(_ALL)
     big = big.select(*df.columns)
     ranks = running_totals(big, ks, value, {"_n": F.count(F.lit(1))}, max_group=max_group).select(
         *ks,
@@ -215,16 +238,7 @@ def average_rank(
         (F.col("_n_cum") - F.col("_n") + (F.col("_n") + F.lit(1)) / F.lit(2.0)).alias(name),
         F.col("_n_all").alias(count_name),
     )
-    cols = [*df.columns, name, count_name]
-    out = (
-        small_out.select(*cols)
-        .unionByName(big.join(ranks, [*ks, value]).select(*cols))
-        .unionByName(
-            unknown.withColumn(name, F.lit(None).cast("double"))
-            .withColumn(count_name, F.lit(None).cast("long"))
-            .select(*cols)
-        )
-    )
+    out = small_out.unionByName(big.join(ranks, [*ks, value]).select(*cols))
     return out if keys else out.drop(_ALL)
 
 
@@ -243,12 +257,14 @@ def quantiles(
     """
     df, ks = _keyed(df, keys)
     vals = df.select(*ks, F.col(value).cast("double").alias("_v")).where(finite("_v"))
-    small, big, _ = split_by_size(vals, ks, "_v", max_group)
+    small, big = split_by_size(vals, ks, "_v", max_group)
     names = list(probs)
     qs = [float(probs[n]) for n in names]
     small_out = small.groupBy(*ks).agg(F.percentile("_v", F.array(*[F.lit(q) for q in qs])).alias("_q")).select(
         *ks, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)]
     )
+    if big is None:
+        return small_out if keys else small_out.drop(_ALL)
 
     tagged = big.withColumn(_B, _bucket("_v", max_group))
     counts = tagged.groupBy(*ks, _B).agg(F.count(F.lit(1)).alias("_c"), F.first(_N).alias(_N))
@@ -358,15 +374,17 @@ def chunk_series(
     back: int = 0,
     ahead: int = 0,
     max_group: int = MAX_GROUP,
-) -> DataFrame:
-    """Prepare row-neighbour windows: adds ``_chunk`` and ``_home``.
+) -> tuple[DataFrame, bool]:
+    """Prepare row-neighbour windows: adds ``_chunk`` and ``_home``; also tells whether any series was cut.
 
     Window by (keys, _chunk) ordered by ``order``, then keep ``_home`` rows. A small series is one chunk.
     A large one is cut every ``max_group`` rows, and each chunk also receives the ``back`` rows before it
     and the ``ahead`` rows after it, so lags and leads up to those distances are exact.
     """
-    small, big, _ = split_by_size(df, keys, order, max_group)
+    small, big = split_by_size(df, keys, order, max_group)
     small_out = small.withColumns({"_chunk": F.lit(0).cast("long"), "_home": F.lit(True)})
+    if big is None:
+        return small_out, False
     indexed = row_index(big.select(*df.columns), keys, order, name="_i", max_group=max_group)
     place = F.col("_i") - F.lit(1)
     chunk = F.floor(place / F.lit(max_group)).cast("long")
@@ -384,4 +402,4 @@ def chunk_series(
         .withColumn("_home", F.col("_chunk") == F.col("_own"))
     )
     cols = [*df.columns, "_chunk", "_home"]
-    return small_out.select(*cols).unionByName(big_out.select(*cols))
+    return small_out.select(*cols).unionByName(big_out.select(*cols)), True

@@ -349,7 +349,7 @@ def response_surface(
     max_group: int = MAX_GROUP,
 ) -> DataFrame:
     """Lift of the weighted mean prediction over intensity x frequency bins."""
-    binned = cut_lineage(first_rank_bins(df, frequency, key, n_bins, "freq_bin", max_group=max_group))
+    binned = first_rank_bins(df, frequency, key, n_bins, "freq_bin", max_group=max_group)
     binned = first_rank_bins(binned, intensity, key, n_bins, "z_bin", max_group=max_group)
     overall = df.agg(weighted_mean(F.col(prediction), F.col(AREA)).alias("m")).scalar()
     bins = F.array(*[F.lit(i) for i in range(1, n_bins + 1)])
