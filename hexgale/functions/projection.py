@@ -46,8 +46,8 @@ def laea_forward(lon: Column, lat: Column) -> tuple[Column, Column]:
         s / (F.lit(1.0) - F.lit(E2) * s * s)
         - F.log((F.lit(1.0) - F.lit(E) * s) / (F.lit(1.0) + F.lit(E) * s)) / F.lit(2 * E)
     )
-    sinb = F.least(F.greatest(q / F.lit(QP), F.lit(-1.0)), F.lit(1.0))
-    cosb = F.sqrt(F.lit(1.0) - sinb * sinb)
+    sinb = q / F.lit(QP)
+    cosb = F.sqrt(F.greatest(F.lit(1.0) - sinb * sinb, F.lit(0.0)))
     dlon = F.radians(lon - F.lit(LON0))
     b = F.lit(RQ) * F.sqrt(F.lit(2.0) / (F.lit(1.0) + F.lit(SINB0) * sinb + F.lit(COSB0) * cosb * F.cos(dlon)))
     x = F.lit(FALSE_E) + b * F.lit(D) * cosb * F.sin(dlon)

@@ -217,9 +217,7 @@ def hexagon_wkt(cx: Column, cy: Column, side: float) -> Column:
     corners = []
     for k in [0, 1, 2, 3, 4, 5, 0]:
         a = math.radians(60 * k)
-        x = F.format_number(cx + F.lit(side * math.cos(a)), "0.###")
-        y = F.format_number(cy + F.lit(side * math.sin(a)), "0.###")
-        corners.append(F.concat_ws(" ", x, y))
+        corners.append(F.format_string("%.3f %.3f", cx + F.lit(side * math.cos(a)), cy + F.lit(side * math.sin(a))))
     return F.concat(F.lit("POLYGON (("), F.concat_ws(", ", *corners), F.lit("))"))
 
 
