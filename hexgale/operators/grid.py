@@ -92,8 +92,14 @@ def with_wkt(hexes: DataFrame, grid: HexGrid) -> DataFrame:
 
 def assign_hexagon(points: DataFrame, hexes: DataFrame, grid: HexGrid, x: str, y: str) -> DataFrame:
     """Hexagon of each projected point by arithmetic and an equi join, points off the grid dropped (C14)."""
-    q, r = grid.axial(F.col(x), F.col(y))
-    return points.withColumns({"q": q, "r": r}).join(hexes.select("q", "r", "hex_id"), ["q", "r"]).drop("q", "r")
+
+    def key(q: Column, r: Column) -> Column:
+        return q.cast("long") * F.lit(2**32) + r
+
+    # One key column: with q and r as keys Catalyst would copy the grid's range filters onto the points
+    # and evaluate the rounding once more for each of them.
+    cells = hexes.select(key(F.col("q"), F.col("r")).alias("_key"), "hex_id")
+    return points.withColumn("_key", key(*grid.axial(F.col(x), F.col(y)))).join(cells, "_key").drop("_key")
 
 
 def area_weight(forest_area: str | None, polygon_area: str | None) -> Column:
