@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hexgale.columns import first_numeric, harmonise, to_day, to_number
+from hexgale.functions.columns import first_numeric, harmonise, to_day, to_number
 from hexgale.functions.scalar import cap_positive_at_zero, encoder_json
 from hexgale.operators.ordered import MAX_GROUP, ordinal_index, quantiles
 from hexgale.session import cut_lineage

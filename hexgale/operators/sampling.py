@@ -91,11 +91,18 @@ def month_weighted_dates(positive_dates: DataFrame, day: str, calendar: DataFram
 def draw_dates(rows: DataFrame, dates: DataFrame, u: str) -> DataFrame:
     """Date whose probability interval holds the uniform ``u``.
 
-    The list of dates is bounded by the calendar; it is carried as one array and searched per row.
+    Both sides are bucketed on [0, 1), so the lookup is an equi join. The list of dates is bounded by the
+    calendar and is broadcast.
     """
-    table = dates.agg(F.array_sort(F.collect_list(F.struct("p_high", "event_date"))).alias("t")).scalar()
-    hit = F.get(F.filter(table, lambda e: F.col(u) < e["p_high"]), 0)
-    return rows.withColumn("event_date", F.coalesce(hit["event_date"], F.element_at(table, -1)["event_date"]))
+    n = 1024
+    first, last = F.floor(F.col("p_low") * n), F.least(F.floor(F.col("p_high") * n), F.lit(n - 1))
+    table = dates.withColumn("_ub", F.explode(F.sequence(first, last)))
+    return (
+        rows.withColumn("_ub", F.floor(F.col(u) * n))
+        .join(F.broadcast(table), "_ub")
+        .where((F.col(u) >= F.col("p_low")) & (F.col(u) < F.col("p_high")))
+        .drop("_ub", "p_low", "p_high")
+    )
 
 
 def accepted(dist_km: Column, event_date: Column, drawn: Column, *, km: float = BUFFER_KM, days: int = BUFFER_DAYS) -> Column:

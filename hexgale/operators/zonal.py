@@ -129,9 +129,10 @@ def value_deciles(df: DataFrame, value: str, n: int = 10, name: str = "decile",
     known = df.where(finite(value))
     probs = {f"e{i}": i / n for i in range(n + 1)}
     edges = quantiles(known, [], value, probs, max_group=max_group).select(F.array_distinct(F.array(*probs)).alias("e")).scalar()
-    inner = F.slice(edges, 2, F.greatest(F.size(edges) - 2, F.lit(0)))
     v = F.col(value).cast("double")
-    number = F.size(F.filter(inner, lambda e: e < v)) + 1
+    # Inner edges below the value; after merging there may be fewer than n - 1 of them.
+    below = [F.when((F.lit(i) <= F.size(edges) - 2) & (F.get(edges, F.lit(i)) < v), 1).otherwise(0) for i in range(1, n)]
+    number = sum(below, F.lit(1))
     return df.withColumn(name, F.when(finite(value), number))
 
 

@@ -1,6 +1,12 @@
 """All registered queries."""
 
-from hexgale.plans import indicator_queries, regime_queries, series_queries, spatial_queries  # noqa: F401
+from hexgale.plans import (  # noqa: F401
+    indicator_queries,
+    model_queries,
+    regime_queries,
+    series_queries,
+    spatial_queries,
+)
 from hexgale.plans.registry import REGISTRY
 
 __all__ = ["REGISTRY"]
