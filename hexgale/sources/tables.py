@@ -134,22 +134,48 @@ def preferred_files(inventory: DataFrame, layer: str = "layer_guess") -> DataFra
 def companion_files(files: DataFrame, companions: DataFrame, path: str = "path") -> DataFrame:
     """Companion sharing most path parts, the first path on ties.
 
-    Parts all companions have (root folders) cannot change the order, so they are not joined on; a file
+    Files of one folder share all parts but the name, so folders are compared and not files: each folder
+    is represented by its first companion, and companions of the same file name compete with one part
+    more. Parts all companion folders have (roots) cannot change the order and are not joined on; a file
     that shares nothing else gets the first companion.
     """
 
+    def located(df: DataFrame) -> DataFrame:
+        p = F.lower(path)
+        folder = F.regexp_replace(p, "/[^/]*$", "")
+        return df.select(path, folder.alias("folder"), F.substring_index(p, "/", -1).alias("name"))
+
     def parts(df: DataFrame, alias: str) -> DataFrame:
-        return df.select(F.col(path).alias(alias), F.explode(F.array_distinct(F.split(F.lower(path), "/"))).alias("part"))
-
-    right = parts(companions, "companion")
-    n = companions.select(path).distinct().agg(F.count(F.lit(1)).alias("n")).scalar()
-    common = right.groupBy("part").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") < n).select("part")
-    telling = right.join(common, "part", "left_semi")
-    scores = parts(files, path).join(telling, "part").groupBy(path, "companion").agg(F.count(F.lit(1)).alias("shared_parts"))
-    best = scores.groupBy(path).agg(F.max("shared_parts").alias("shared_parts"))
-    best = scores.join(best, [path, "shared_parts"]).groupBy(path).agg(F.min("companion").alias("companion"))
+        return df.select(F.col("folder").alias(alias), F.explode(F.array_distinct(F.split("folder", "/"))).alias("part"))
+
+    left, right = located(files.select(path).distinct()), located(companions.select(path).distinct())
+    folders = right.groupBy("folder").agg(F.min(path).alias("first"))
+    telling = parts(folders, "right_folder")
+    n = folders.agg(F.count(F.lit(1)).alias("n")).scalar()
+    common = telling.groupBy("part").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") < n).select("part")
+    shared = (
+        parts(left.select("folder").distinct(), "left_folder")
+        .join(telling.join(common, "part", "left_semi"), "part")
+        .groupBy("left_folder", "right_folder")
+        .agg(F.count(F.lit(1)).alias("score"))
+    )
+
+    def best(df: DataFrame, key: str) -> DataFrame:
+        # Highest score, then the first path.
+        return df.groupBy(key).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("c").alias("c"))).alias("b"))
+
+    by_folder = best(
+        shared.join(folders, F.col("right_folder") == F.col("folder")).select("left_folder", "score", F.col("first").alias("c")), "left_folder"
+    ).select(F.col("left_folder").alias("folder"), (-F.col("b.s")).alias("score"), F.col("b.c").alias("c"))
+    same_name = (
+        left.join(right.select("name", F.col("folder").alias("right_folder"), F.col(path).alias("c")), "name")
+        .join(shared.withColumnRenamed("left_folder", "folder"), ["folder", "right_folder"], "left")
+        .select(path, (F.coalesce("score", F.lit(0)) + 1).alias("score"), "c")
+    )
     first = companions.agg(F.min(path).alias("p")).scalar()
-    return files.select(path).distinct().join(best, path, "left").withColumn("companion", F.coalesce("companion", first))
+    default = left.select(path, F.lit(0).cast("long").alias("score"), first.alias("c"))
+    candidates = left.join(by_folder, "folder").select(path, "score", "c").unionByName(same_name).unionByName(default)
+    return best(candidates, path).select(path, F.col("b.c").alias("companion"))
 
 
 def european_countries(
