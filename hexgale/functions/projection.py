@@ -33,10 +33,26 @@ SIN0 = math.sin(math.radians(LAT0))
 BETA0 = math.asin(_q(SIN0) / QP)
 SINB0, COSB0 = math.sin(BETA0), math.cos(BETA0)
 D = A * (math.cos(math.radians(LAT0)) / math.sqrt(1 - E2 * SIN0**2)) / (RQ * COSB0)
-# Series from authalic to geodetic latitude.
-S2 = E2 / 3 + 31 * E2**2 / 180 + 517 * E2**3 / 5040
-S4 = 23 * E2**2 / 360 + 251 * E2**3 / 3780
-S6 = 761 * E2**3 / 45360
+
+
+def _latitude_series(terms: int = 5, samples: int = 64) -> list[float]:
+    """Coefficients of latitude - authalic latitude over sin(2 k beta), from Newton inversions of q."""
+
+    def geodetic(beta: float) -> float:
+        lat = beta
+        for _ in range(30):
+            s = math.sin(lat)
+            slope = 2 * (1 - E2) * math.cos(lat) / (1 - E2 * s * s) ** 2
+            lat += (QP * math.sin(beta) - _q(s)) / slope
+        return lat
+
+    # Odd in beta with period pi: a sine transform over interior samples is exact up to aliasing.
+    betas = [math.pi / 2 * (i + 0.5) / samples for i in range(samples)]
+    gaps = [geodetic(b) - b for b in betas]
+    return [2.0 / samples * sum(g * math.sin(2 * k * b) for g, b in zip(gaps, betas)) for k in range(1, terms + 1)]
+
+
+SERIES = _latitude_series()
 
 
 def laea_forward(lon: Column, lat: Column) -> tuple[Column, Column]:
@@ -65,7 +81,9 @@ def laea_inverse(x: Column, y: Column) -> tuple[Column, Column]:
         F.cos(c) * F.lit(SINB0) + F.lit(D) * dy * F.sin(c) * F.lit(COSB0) / rho
     )
     b = F.asin(sinb)
-    lat = b + F.lit(S2) * F.sin(2 * b) + F.lit(S4) * F.sin(4 * b) + F.lit(S6) * F.sin(6 * b)
+    lat = b
+    for k, s in enumerate(SERIES, start=1):
+        lat = lat + F.lit(s) * F.sin(2 * k * b)
     angle = F.atan2(
         dx * F.sin(c), F.lit(D) * rho * F.lit(COSB0) * F.cos(c) - F.lit(D * D) * dy * F.lit(SINB0) * F.sin(c)
     )

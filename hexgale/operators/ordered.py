@@ -373,15 +373,18 @@ def chunk_series(
     *,
     back: int = 0,
     ahead: int = 0,
+    length: int | None = None,
     max_group: int = MAX_GROUP,
 ) -> tuple[DataFrame, bool]:
     """Prepare row-neighbour windows: adds ``_chunk`` and ``_home``; also tells whether any series was cut.
 
     Window by (keys, _chunk) ordered by ``order``, then keep ``_home`` rows. A small series is one chunk.
     A large one is cut every ``max_group`` rows, and each chunk also receives the ``back`` rows before it
-    and the ``ahead`` rows after it, so lags and leads up to those distances are exact.
+    and the ``ahead`` rows after it, so lags and leads up to those distances are exact. ``length`` is the
+    number of rows per series where the caller knows it (a calendar axis); it saves the size check.
     """
-    small, big = split_by_size(df, keys, order, max_group)
+    known_small = length is not None and length <= max_group
+    small, big = (df, None) if known_small else split_by_size(df, keys, order, max_group)
     small_out = small.withColumns({"_chunk": F.lit(0).cast("long"), "_home": F.lit(True)})
     if big is None:
         return small_out, False

@@ -55,13 +55,14 @@ def spike_clamp(
     absolute: float = 0.2,
     relative: float = 0.10,
     back: float = 0.05,
+    length: int | None = None,
     max_group: int = MAX_GROUP,
 ) -> DataFrame:
     """Limit one-step drops below the median of the three values before that recover at the next step.
 
     Not recursive: baselines use the original values.
     """
-    parts, _ = chunk_series(df, keys, position, back=3, ahead=1, max_group=max_group)
+    parts, _ = chunk_series(df, keys, position, back=3, ahead=1, length=length, max_group=max_group)
     w = Window.partitionBy(*keys, "_chunk").orderBy(position)
     v = F.col(value)
     previous = [F.lag(value, k).over(w) for k in (1, 2, 3)]
@@ -90,11 +91,12 @@ def gap_fill(
     *,
     name: str = "filled",
     min_values: int = MIN_VALUES,
+    length: int | None = None,
     max_group: int = MAX_GROUP,
 ) -> DataFrame:
     """Linear interpolation over the position, ends held constant; short series give no rows."""
     enough = df.groupBy(*keys).agg(F.count(value).alias("_n")).where(F.col("_n") >= min_values).select(*keys)
-    parts, cut = chunk_series(df.join(enough, list(keys), "left_semi"), keys, position, max_group=max_group)
+    parts, cut = chunk_series(df.join(enough, list(keys), "left_semi"), keys, position, length=length, max_group=max_group)
     known = F.when(F.col(value).isNotNull(), F.struct(F.col(position).alias("p"), F.col(value).alias("v")))
     parts = parts.withColumn("_k", known)
     w = Window.partitionBy(*keys, "_chunk").orderBy(position)

@@ -11,6 +11,7 @@ from hexgale.operators.composite import align_inner
 from hexgale.operators.ordered import quantiles
 from hexgale.plans.adapters import OBS, PERIODS, cell_periods, observations, table
 from hexgale.plans.registry import query
+from hexgale.session import cut_lineage
 
 N_T = 157  # 16-day layers of the study period
 
@@ -69,7 +70,7 @@ ser AS (SELECT c.cell_id, p.pos, y FROM (SELECT DISTINCT cell_id FROM med) c CRO
 def layers(spark, sf):
     med = quantiles(observations(spark, sf), ["cell_id", "period_no"], "gust", {"m": 0.5})
     med = med.select("cell_id", (F.col("period_no") + 1).alias("pos"), (F.col("m") / 10).alias("y"))
-    return series.dense_positions(med, ["cell_id"], "pos", N_T, "y")
+    return series.dense_positions(cut_lineage(med), ["cell_id"], "pos", N_T, "y")
 
 
 CLAMP = SERIES + """,
@@ -81,7 +82,7 @@ cl AS (SELECT cell_id, pos, y, CASE WHEN rn > 3 AND y < base - greatest(0.2, 0.1
 
 
 def clamped(spark, sf):
-    return series.spike_clamp(layers(spark, sf), ["cell_id"], "pos", "y")
+    return series.spike_clamp(layers(spark, sf), ["cell_id"], "pos", "y", length=N_T)
 
 
 @query("spike_clamp", "cell_id:l pos:l clamped:d", f"WITH {CLAMP} --final-- SELECT cell_id, pos, clamped FROM cl")
@@ -100,7 +101,7 @@ fil AS (SELECT n.cell_id, n.pos, CASE WHEN n.clamped IS NOT NULL THEN n.clamped
 
 
 def filled(spark, sf):
-    return series.gap_fill(clamped(spark, sf), ["cell_id"], "pos", "clamped")
+    return series.gap_fill(cut_lineage(clamped(spark, sf)), ["cell_id"], "pos", "clamped", length=N_T)
 
 
 @query("gap_fill", "cell_id:l pos:l filled:d", f"WITH {FILL} --final-- SELECT cell_id, pos, filled FROM fil")
