@@ -117,11 +117,12 @@ def shift_weights(
         holdout.select(key, *features, F.lit(1).alias("_dom"))
     )
     both = cut_lineage(median_impute(both, features, max_group=max_group))
-    common = {"featuresCol": "_features", "labelCol": "_dom", "predictionCol": "_pred", "probabilityCol": "_prob", "rawPredictionCol": "_raw"}
+    common = {"featuresCol": "_features", "labelCol": "_dom", "predictionCol": "_pred"}
     if boosted:
         stage = GBTClassifier(maxIter=rounds, stepSize=0.05, maxDepth=5, subsamplingRate=0.8, seed=seed, **common)
     else:
         stage = LogisticRegression(maxIter=2000, **common)
+    stage = stage.setProbabilityCol("_prob").setRawPredictionCol("_raw")
     scored = score(_pipeline(features, stage).fit(both), both.where("_dom = 0"), "_p")
     p = clip_probability(F.col("_p"))
     weights = cut_lineage(scored.select(key, (p / (F.lit(1.0) - p)).alias("_w")))
@@ -263,7 +264,7 @@ def run_families(
     def filled(part: DataFrame) -> DataFrame:
         return part.withColumns({c: F.coalesce(F.col(c).cast("double"), medians[c], F.lit(0.0)) for c in every})
 
-    train = departure_weight(filled(inside), max_group=max_group)
+    train = cut_lineage(departure_weight(cut_lineage(filled(inside)), max_group=max_group))
     if shift and has_holdout:
         w = shift_weights(
             train.where(F.col(label) == 0), filled(holdout).where(F.col(label) == 0), every, key, rounds=shift_rounds, max_group=max_group
