@@ -81,6 +81,9 @@ def nearest(
             frontier = frontier.select("*", *parent)
             on = [*ks, *[f"_u_{c}" for c in dims]]
             sub = sub.withColumns({f"_u_{c}": F.lit(0) for c in dims})
+            if not ks:
+                # At most (growth + 1) ** dimensions cells.
+                sub = F.broadcast(sub)
         else:
             on = [*ks, *[f"_u_{c}" for c in dims]]
             sub = sub.withColumns({f"_u_{c}": F.floor(F.col(f"_c_{c}") / F.lit(growth)).cast("long") for c in dims})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 
 from pyspark.sql import functions as F
 
@@ -15,9 +17,9 @@ from hexgale.operators.composite import chunk_calendar_of
 from hexgale.plans.adapters import EVENTS, OBS, PERIODS, PIXELS, SCORED, cell_periods, event_points, pixels, points, scored_labels, table
 from hexgale.plans.registry import query
 from hexgale.plans.spatial_queries import EPROJ, PROJ
-from hexgale.session import cut_lineage
+from hexgale.session import cut_lineage, ensure_checkpoint_dir
 from hexgale.sources import tables
-from hexgale.streaming.composites import tumbling_composite
+from hexgale.streaming.composites import file_stream, run_available, tumbling_composite
 
 # --- pixels and validation --------------------------------------------------------------------------
 
@@ -562,6 +564,18 @@ def tumbling_composite_query(spark, sf):
     return tumbling_composite(table(spark, sf, "events"), ["user_id"], "ts", "value")
 
 
+@query("stream_tumbling_composite", "user_id:l period_start:t max_value:d n_values:l",
+       """WITH w AS (SELECT user_id, ts, value, CAST(DATE '2001-01-01' + 16 * CAST(floor(date_diff('day', DATE '2001-01-01', CAST(ts AS DATE)) / 16.0) AS INTEGER) AS DATE) AS p FROM events)
+       --final-- SELECT user_id, p AS period_start, max(value) AS max_value, count(value) AS n_values FROM w
+       WHERE p + 16 <= (SELECT max(ts) - INTERVAL 1 DAY FROM events) GROUP BY 1, 2""")
+def stream_tumbling_composite(spark, sf):
+    """The same as a stream over the files: windows the watermark has passed."""
+    base = f"{ensure_checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    events = file_stream(spark, sf, table(spark, sf, "events").schema, pattern="events.parquet")
+    run_available(tumbling_composite(events, ["user_id"], "ts", "value", lateness="1 day"), f"{base}/out", f"{base}/state")
+    return spark.read.parquet(f"{base}/out")
+
+
 @query("forest_flag", "cell_id:l mask_forest:b n:l",
        f"""WITH {OBS}, g AS (SELECT cell_id, count(*) AS n FROM obs GROUP BY 1)
        --final-- SELECT s_suppkey AS cell_id, coalesce(s_acctbal, 0) > 0 AS mask_forest, n FROM supplier LEFT JOIN g ON cell_id = s_suppkey""")

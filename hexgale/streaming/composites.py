@@ -29,10 +29,15 @@ def tumbling_composite(
     return out.select(*keys, F.col("_w.start").cast("date").alias("period_start"), "max_value", "n_values")
 
 
-def file_stream(spark: SparkSession, folder: str, schema, fmt: str = "parquet", files_per_batch: int | None = None) -> DataFrame:
+def file_stream(
+    spark: SparkSession, folder: str, schema, fmt: str = "parquet", files_per_batch: int | None = None, pattern: str | None = None
+) -> DataFrame:
+    """Stream over the files of a folder, optionally only names that match a pattern."""
     reader = spark.readStream.schema(schema).format(fmt)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    if pattern:
+        reader = reader.option("pathGlobFilter", pattern)
     return reader.load(folder)
 
 
