@@ -1,4 +1,4 @@
-"""Hexagon grid, raster lookups, regridding and stencils."""
+"""Hexagon grid, raster lookups, regridding and stencils."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from hexgale.functions.projection import cell_area_km2, hexagon_side, point_laea
 from hexgale.functions.scalar import hexagon_wkt
+from hexgale.operators.series import nearest_layer
 
 
 @dataclass(frozen=True)
@@ -306,3 +307,23 @@ def union_extent(grids: Sequence[DataFrame], x: str = "x", y: str = "y") -> Data
 def mask_cells(cube: DataFrame, mask: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keep the cells of a mask."""
     return cube.join(mask.select(*keys).distinct(), list(keys), "left_semi")
+
+
+def sample_cube(
+    periods: DataFrame, points: DataFrame, cube: DataFrame, shape: Raster, *, cell: str, day: str, layer: str, value: str,
+    lon: str = "lon", lat: str = "lat",
+) -> DataFrame:
+    """Cube value at the node and layer nearest to each hexagon point and period.
+
+    Place and time become keys first (grid arithmetic, layer calendar), so the cube is met by one equi join.
+    """
+    keyed = periods.select(cell, day).distinct().join(points.select(cell, lon, lat), cell)
+    dated = nearest_layer(keyed, day, cube, layer)
+    r = F.greatest(F.least(shape.row(F.col(lat)), F.lit(shape.rows - 1)), F.lit(0))
+    c = F.greatest(F.least(shape.col(F.col(lon)), F.lit(shape.cols - 1)), F.lit(0))
+    nodes = cube.select(F.col("row").alias("_row"), F.col("col").alias("_col"), F.col(layer).alias("layer_date"), value)
+    return (
+        dated.withColumns({"_row": r, "_col": c})
+        .join(nodes, ["_row", "_col", "layer_date"], "left")
+        .select(cell, day, "layer_date", value)
+    )

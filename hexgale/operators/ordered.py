@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from hexgale.session import cut_lineage
 
 #: Rows up to which a group is handled in a single task.
-MAX_GROUP = 200_000
+MAX_GROUP = 500_000
 #: Value buckets per ``max_group`` rows, so that uneven value distributions still spread.
 OVERSPLIT = 4
 

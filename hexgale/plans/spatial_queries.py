@@ -9,7 +9,8 @@ from hexgale.functions.projection import laea_inverse, with_laea
 from hexgale.functions.scalar import in_bbox, normalize_longitude
 from hexgale.operators import grid as gr
 from hexgale.operators import spatial as sp
-from hexgale.plans.adapters import EVENTS, POINTS, event_points, points, table
+from hexgale.operators.composite import period_number, period_start
+from hexgale.plans.adapters import EVENTS, ORIGIN, PERIODS, POINTS, cell_periods, event_points, points, table
 from hexgale.plans.registry import query
 
 BOX = (-11.5, 34.0, 42.5, 72.5)
@@ -227,6 +228,23 @@ def union_extent(spark, sf):
     return gr.union_extent([event_points(spark, sf), points(spark, sf)], "lon", "lat")
 
 
+@query("cube_sampling", "cell_id:l obs_date:t layer_date:t value:d",
+       f"""WITH {PERIODS}, {POINTS}, cu AS (SELECT o_custkey % 39 AS r, o_orderkey % 55 AS c,
+         CAST(DATE '1995-01-01' + 32 * CAST(floor(date_diff('day', DATE '1995-01-01', CAST(o_orderdate AS DATE)) / 32.0) AS INTEGER) AS DATE) AS l,
+         max(o_totalprice) AS value FROM orders GROUP BY 1, 2, 3),
+       la AS (SELECT DISTINCT l FROM cu), nl AS (SELECT d, arg_min(l, (abs(date_diff('day', d, l)), l)) AS l FROM (SELECT DISTINCT obs_date AS d FROM per), la GROUP BY 1)
+       --final-- SELECT p.cell_id, p.obs_date, nl.l AS layer_date, cu.value FROM per p JOIN pts s ON s.point_id = p.cell_id JOIN nl ON nl.d = p.obs_date
+       LEFT JOIN cu ON cu.l = nl.l AND cu.r = least(38, floor(73.0 - s.lat)) AND cu.c = floor(s.lon + 12.0)""")
+def cube_sampling(spark, sf):
+    o = table(spark, sf, "orders")
+    start = period_start(period_number(F.col("o_orderdate").cast("date"), ORIGIN, 32), ORIGIN, 32)
+    cube = o.groupBy(
+        F.pmod("o_custkey", F.lit(39)).cast("int").alias("row"), F.pmod("o_orderkey", F.lit(55)).cast("int").alias("col"), start.alias("layer")
+    ).agg(F.max("o_totalprice").alias("value"))
+    p = points(spark, sf).withColumnRenamed("point_id", "cell_id")
+    return gr.sample_cube(cell_periods(spark, sf), p, cube, COARSE, cell="cell_id", day="obs_date", layer="layer", value="value")
+
+
 # --- neighbours -----------------------------------------------------------------------------------
 
 
