@@ -51,6 +51,8 @@ def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "12g"
         .config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
+        # Checkpoints no frame refers to any more are deleted; clusters should start with this too.
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
