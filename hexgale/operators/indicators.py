@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hexgale.functions.scalar import is_winter
-from hexgale.operators.ordered import MAX_GROUP, finite, quantiles, scalar_quantile
+from hexgale.operators.ordered import MAX_GROUP, finite, quantiles, scalar_quantile, settle
 
 ACTIVE_QUANTILE = 0.95
 MIN_VALID_PERIODS = 10
@@ -46,6 +46,7 @@ def cell_distribution(
     max_group: int = MAX_GROUP,
 ) -> DataFrame:
     """Mean, p95, active share, severity while active, counts and masks per hexagon."""
+    df = settle(df)
     sev = F.avg(F.when(F.col(active) == 1, F.col(severity))) if severity else F.lit(None).cast("double")
     base = df.groupBy(cell).agg(
         F.max(area).cast("double").alias("forest_area_km2"),
@@ -77,7 +78,7 @@ def indicator_suite(
 
     Hexagons that are never active get 0 for the conditional measures (T10).
     """
-    valid = df.select(cell, day, F.col(value).cast("double").alias("_p")).where(finite("_p"))
+    valid = settle(df.select(cell, day, F.col(value).cast("double").alias("_p")).where(finite("_p")))
     flagged = valid.withColumn("_thr", scalar_quantile(valid, "_p", q, max_group=max_group)).withColumn(
         "_on", F.col("_p") >= F.col("_thr")
     )
@@ -119,7 +120,7 @@ def prediction_rollup(
     df: DataFrame, cell: str, day: str, value: str, first_year: int, last_year: int, *, max_group: int = MAX_GROUP
 ) -> DataFrame:
     """Long-term mean, p95, maximum and count per hexagon in a year range."""
-    work = df.where(F.col(day).isNotNull() & F.year(day).between(first_year, last_year))
+    work = settle(df.where(F.col(day).isNotNull() & F.year(day).between(first_year, last_year)))
     base = work.groupBy(cell).agg(
         F.avg(value).alias("pred_mean_long"), F.max(value).alias("pred_max_long"), F.count(value).alias("n_periods")
     )

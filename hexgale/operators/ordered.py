@@ -62,6 +62,11 @@ def _derived(df: DataFrame) -> bool:
     return any(word in plan for word in ("Aggregate", "Join", "Window"))
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """Checkpoint a frame that several steps read, if it comes out of a join or an aggregation."""
+    return cut_lineage(df) if _derived(df) else df
+
+
 def split_by_size(
     df: DataFrame, keys: Sequence[str], order: str, max_group: int = MAX_GROUP
 ) -> tuple[DataFrame, DataFrame | None]:

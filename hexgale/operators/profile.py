@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hexgale.functions.scalar import MONTHS, circular_month_distance, clip, month_name
-from hexgale.operators.ordered import MAX_GROUP, finite, quantiles
+from hexgale.operators.ordered import MAX_GROUP, finite, quantiles, settle
 
 
 def dense_grid(df: DataFrame, keys: Sequence[str], axis: str, values: Sequence[int], fill: Sequence[str]) -> DataFrame:
@@ -48,6 +48,7 @@ def cell_totals(
     df: DataFrame, cell: str, value: str, active: str | None = None, *, max_group: int = MAX_GROUP
 ) -> DataFrame:
     """Mass, mean, median, maximum and count per cell, and its active periods."""
+    df = settle(df)
     aggs = [
         F.sum(value).alias("total_pred_mass"),
         F.avg(value).alias("mean_pred_longterm"),

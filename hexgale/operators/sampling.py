@@ -169,6 +169,6 @@ def stratified_negatives(
 def assemble(positive: DataFrame, negative: DataFrame, *, order: Sequence[str], max_group: int = MAX_GROUP) -> DataFrame:
     """Labelled samples with a running index, positives first."""
     both = positive.withColumn("label", F.lit(1)).unionByName(negative.withColumn("label", F.lit(0)), allowMissingColumns=True)
-    keyed = both.withColumn("_o", -F.col("label"))
-    place = keyed.withColumn("_h", uniform(SEED, *[F.col(c) for c in order]) - F.col("label"))
-    return row_index(place, [], "_h", order, name="index", max_group=max_group).drop("_o", "_h")
+    # Hash order inside each label: uniform values fill the position buckets evenly.
+    place = both.withColumn("_h", uniform(SEED, *[F.col(c) for c in order]) - F.col("label"))
+    return row_index(place, [], "_h", order, name="index", max_group=max_group).drop("_h")

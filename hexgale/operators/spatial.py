@@ -48,7 +48,7 @@ def nearest(
     )
     ends = distinct.agg(*[f(c).alias(f"{n}_{c}") for c in dims for n, f in (("lo", F.min), ("hi", F.max))]).first()
     if ends[0] is None:
-        return points.select(point, F.lit(None).cast("double").alias("distance"), F.lit(None).alias("target")).limit(0)
+        return points.select(point, F.lit(None).cast("double").alias("distance"), F.lit(None).cast("long").alias("target")).limit(0)
     origin = {c: ends[f"lo_{c}"] for c in dims}
     extent = max(max(ends[f"hi_{c}"] - ends[f"lo_{c}"] for c in dims), size)
     levels = max(1, math.ceil(math.log(extent / size * 1.0001, growth)))
