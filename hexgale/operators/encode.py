@@ -83,15 +83,16 @@ def median_impute(
     from one long table.
     """
     medians = column_medians(df if reference is None else reference, columns, max_group=max_group)
-    return df.withColumns({c: F.coalesce(to_number(F.col(c)), medians[c], F.lit(0.0)) for c in columns})
+    return df.withColumns({c: F.coalesce(to_number(F.col(c)), F.lit(medians[c])) for c in columns})
 
 
-def column_medians(df: DataFrame, columns: Sequence[str], *, max_group: int = MAX_GROUP) -> dict[str, Column]:
+def column_medians(df: DataFrame, columns: Sequence[str], *, max_group: int = MAX_GROUP) -> dict[str, float]:
+    """Median per column, 0 without values. One number per column reaches the driver: they are model
+    parameters that training, holdout and scoring rows are all filled with."""
     options = [F.struct(F.lit(c).alias("c"), to_number(F.col(c)).alias("v")) for c in columns]
     long = df.select(F.explode(F.array(*options)).alias("s")).select("s.c", "s.v")
-    table = quantiles(long, ["c"], "v", {"m": 0.5}, max_group=max_group)
-    wide = table.agg(F.map_from_entries(F.collect_list(F.struct("c", "m"))).alias("m")).scalar()  # one entry per column
-    return {c: wide[c] for c in columns}
+    found = {r["c"]: r["m"] for r in quantiles(long, ["c"], "v", {"m": 0.5}, max_group=max_group).collect()}
+    return {c: float(found[c]) if found.get(c) is not None else 0.0 for c in columns}
 
 
 def interactions(df: DataFrame) -> DataFrame:

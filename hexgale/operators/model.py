@@ -262,7 +262,7 @@ def run_families(
     inside = inside.withColumn("_elig", eligible)
 
     def filled(part: DataFrame) -> DataFrame:
-        return part.withColumns({c: F.coalesce(F.col(c).cast("double"), medians[c], F.lit(0.0)) for c in every})
+        return part.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(medians[c])) for c in every})
 
     train = cut_lineage(departure_weight(cut_lineage(filled(inside)), max_group=max_group))
     if shift and has_holdout:
@@ -348,7 +348,7 @@ def score_cells(
     )
     features = FAMILIES["wind"]
     medians = column_medians(ranked, features, max_group=max_group)
-    ready = ranked.withColumns({c: F.coalesce(F.col(c), medians[c], F.lit(0.0)) for c in features})
+    ready = ranked.withColumns({c: F.coalesce(F.col(c), F.lit(medians[c])) for c in features})
     return score(model, ready, name).drop("avg_rank", "avg_rank_n")
 
 
