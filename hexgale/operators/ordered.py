@@ -71,10 +71,14 @@ def split_by_size(
     df: DataFrame, keys: Sequence[str], order: str, max_group: int = MAX_GROUP
 ) -> tuple[DataFrame, DataFrame | None]:
     """(rows of small groups, rows of large groups with their size and range, or None without any)."""
-    large = large_groups(df, keys, order, max_group)
-    if large.isEmpty():
-        return df, None
-    large = cut_lineage(large)
+    # Cached only until it is written, so that the check and the list share one pass over the input.
+    counted = large_groups(df, keys, order, max_group).persist()
+    try:
+        if counted.isEmpty():
+            return df, None
+        large = cut_lineage(counted)
+    finally:
+        counted.unpersist()
     # Broadcast is bounded: the list has at most rows / max_group entries.
     small = df.join(F.broadcast(large.select(*keys)), list(keys), "left_anti")
     big = df.join(F.broadcast(large), list(keys), "inner")
