@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hexgale.session import cut_lineage
@@ -28,9 +28,23 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def salted(key: Column, row: Column, salts: int) -> list[Column]:
-    """Grouping columns that spread the rows of any one key over ``salts`` groups."""
-    return [key, F.pmod(F.xxhash64(row), F.lit(salts)).alias("salt")]
+class Memo:
+    """A bounded memo in two ages: when the young one is full it becomes the old one; what is used again moves back."""
+
+    def __init__(self, limit: int):
+        self.limit, self.young, self.old = limit, {}, {}
+
+    def look(self, keys: list) -> list:
+        """What is known of the keys, None for the rest."""
+        if len(self.young) >= self.limit:
+            self.old, self.young = self.young, {}
+        got = list(map(self.young.get, keys))
+        if self.old and None in got:
+            old, young = self.old.get, self.young
+            for i, key in enumerate(keys):
+                if got[i] is None and (value := old(key)) is not None:
+                    got[i] = young[key] = value
+        return got
 
 
 def _compress(parent: DataFrame) -> DataFrame:

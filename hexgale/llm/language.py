@@ -205,6 +205,37 @@ def fit_language_model(docs: DataFrame, fit_docs: int = FIT_DOCS, fit_chars: int
     return ByteGRU(len(langs)).fit([t.encode() for t in sample["part"]], np.asarray(labels)), langs
 
 
+def _answers(values, model: ByteGRU | None, langs: list[str]) -> tuple[list[str], list[float]]:
+    lang, score = [UNKNOWN] * len(values), [0.0] * len(values)
+    known = [i for i, v in enumerate(values) if v and model is not None and LETTER.search(v)]
+    at = 0
+    while at < len(known):  # some 4 MB of text at a time
+        lot, held = [], 0
+        while at < len(known) and (not lot or held < LANES * SEGMENT * 8):
+            lot.append(known[at])
+            held += len(values[known[at]])
+            at += 1
+        mean = model.pool([values[i].encode() for i in lot])
+        for i, p in zip(lot, mean):
+            k = int(p.argmax())
+            lang[i], score[i] = langs[k], float(min(1.0, max(0.0, p[k])))
+    return lang, score
+
+
+def label_rows(docs: DataFrame, model: ByteGRU | None, langs: list[str], text: str = "text") -> DataFrame:
+    """``docs`` with lang_pred and score; columns of these names are replaced. See ``identify_language``."""
+    rows = docs.drop("lang_pred", "score")
+    fields = T.StructType([*rows.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    at = rows.columns.index(text)
+
+    def run(batches):
+        for batch in batches:
+            lang, score = _answers(batch.column(at).to_pylist(), model, langs)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=fields.names)
+
+    return rows.mapInArrow(run, fields)
+
+
 def identify_language(docs: DataFrame, model: ByteGRU | None, langs: list[str], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, held_out, lang_pred, score): the language with the largest pooled probability, and that probability.
 
@@ -213,27 +244,4 @@ def identify_language(docs: DataFrame, model: ByteGRU | None, langs: list[str],
     repeated ids and repeated rows pass through row by row; other columns are left out.
     """
     rows = pick(docs, doc_id=doc_id, text=text).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    fields = [rows.schema["doc_id"], T.StructField("held_out", T.BooleanType()), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
-
-    def answers(values) -> tuple[list[str], list[float]]:
-        lang, score = [UNKNOWN] * len(values), [0.0] * len(values)
-        known = [i for i, v in enumerate(values) if v and model is not None and LETTER.search(v)]
-        at = 0
-        while at < len(known):  # some 4 MB of text at a time
-            lot, held = [], 0
-            while at < len(known) and (not lot or held < LANES * SEGMENT * 4):
-                lot.append(known[at])
-                held += len(values[known[at]])
-                at += 1
-            mean = model.pool([values[i].encode() for i in lot])
-            for i, p in zip(lot, mean):
-                k = int(p.argmax())
-                lang[i], score[i] = langs[k], float(min(1.0, max(0.0, p[k])))
-        return lang, score
-
-    def run(batches):
-        for batch in batches:
-            lang, score = answers(batch.column(2).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=[f.name for f in fields])
-
-    return rows.mapInArrow(run, T.StructType(fields))
+    return label_rows(rows, model, langs).select("doc_id", "held_out", "lang_pred", "score")
