@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import importlib
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hexgale.session import cut_lineage
+from hexgale.session import cut_lineage, ensure_checkpoint_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +30,25 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def store(df: DataFrame) -> DataFrame:
+    """Write a frame as a compressed table in the shared checkpoint folder and read it again.
+
+    Like a checkpoint it cuts the lineage and survives lost executors; for rows with texts it takes half the room. The
+    tables are called ``llm-<random>`` and may be deleted when the result of the operator has been written.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/llm-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete shuffle files of frames that nothing refers to any more, now rather than at some later
+    collection of garbage on the driver."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Memo:
     """A bounded memo in two ages: when the young one is full it becomes the old one; what is used again moves back."""
 

@@ -8,6 +8,9 @@ line in document order stays.
 
 from __future__ import annotations
 
+import random
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,22 +21,28 @@ SHINGLE, SKETCH, ROWS, BANDS = 8, 32, 4, 10
 SIMILARITY = 0.8
 
 
-def _masks() -> Column:
-    """Pseudo-random 64-bit numbers; the minwise value for a mask is the smallest hash after exclusive or with it."""
-    return F.transform(F.sequence(F.lit(1), F.lit(ROWS * BANDS)), lambda i: F.xxhash64(i, F.lit("mask")))
+#: Pseudo-random 64-bit numbers; the minwise value for a mask is the smallest hash after exclusive or with it.
+_RANDOM = random.Random(1729)
+MASKS = [_RANDOM.getrandbits(64) - (1 << 63) for _ in range(ROWS * BANDS)]
+
+
+def _once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with the value worked out once per row, also where ``then`` uses it inside a function of elements."""
+    return F.transform(F.array(value), then)[0]
 
 
 def shingles(line: Column) -> Column:
     """Distinct hashes of the byte shingles of a line that is not empty."""
-    raw = line.cast("binary")
     last = F.greatest(F.octet_length(line) - SHINGLE + 1, F.lit(1))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.substring(raw, i, F.lit(SHINGLE)))))
+    return _once(line.cast("binary"), lambda raw: F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.substring(raw, i, F.lit(SHINGLE))))))
 
 
 def bands(line: Column) -> Column:
-    sketch = F.slice(F.sort_array(shingles(line)), 1, SKETCH)
-    values = F.transform(_masks(), lambda m: F.array_min(F.transform(sketch, lambda h: h.bitwiseXOR(m))))
-    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.slice(values, i * ROWS + 1, ROWS)))
+    masks = F.array(*map(F.lit, MASKS))
+    starts = F.array(*(F.lit(i) for i in range(1, ROWS * BANDS + 1, ROWS)))
+    minwise = lambda sketch: F.transform(masks, lambda m: F.array_min(F.transform(sketch, lambda h: h.bitwiseXOR(m))))
+    banded = lambda values: F.transform(starts, lambda i: F.xxhash64(i, F.slice(values, i, ROWS)))
+    return _once(F.slice(F.sort_array(shingles(line)), 1, SKETCH), lambda sketch: _once(minwise(sketch), banded))
 
 
 def _lines(rows: DataFrame) -> DataFrame:
