@@ -10,6 +10,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -125,8 +126,15 @@ def fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW, doc_id: str
 def _ranges(rows: DataFrame, n: int) -> DataFrame:
     """Add ``__range``: rows in ascending doc_id (NULL first) cut into about n ranges by approximate quantiles."""
     cuts = rows.agg(F.percentile_approx("doc_id", [i / n for i in range(1, n)], 10_000).alias("c")).first()["c"] if n > 1 else None
-    cuts = sorted(set(cuts or []))
-    return rows.withColumn("__range", F.coalesce(sum((F.col("doc_id") >= F.lit(c)).cast("int") for c in cuts) if cuts else F.lit(0), F.lit(-1)))
+    cuts = np.array(sorted(set(cuts or [])))
+
+    @F.pandas_udf("int")
+    def place(ids: pd.Series) -> pd.Series:
+        known = ids.notna()
+        at = np.searchsorted(cuts, ids.fillna(0).to_numpy(), side="right")
+        return pd.Series(np.where(known, at, -1), dtype="int32")
+
+    return rows.withColumn("__range", place("doc_id"))
 
 
 def next_edit_likeness(docs: DataFrame, k: int = K, window: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
