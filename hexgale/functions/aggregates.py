@@ -27,9 +27,14 @@ def sum_if(value: Column, condition: Column) -> Column:
     return F.coalesce(F.sum(F.when(condition, value)), F.lit(0.0))
 
 
-def weighted_pearson(x: Column, y: Column, weight: Column) -> Column:
-    """Weighted correlation; NULL below three rows or without variance (L3)."""
+def weighted_pearson(x: Column, y: Column, weight: Column, centre: tuple[Column, Column] | None = None) -> Column:
+    """Weighted correlation; NULL below three rows or without variance (L3).
+
+    ``centre``: values near the means, taken off first, so that digits do not cancel where means are large.
+    """
     ok = finite(x) & finite(y) & finite(weight) & (weight > 0)
+    if centre:
+        x, y = x - centre[0], y - centre[1]
     w = F.when(ok, weight)
     sw = F.sum(w)
     mx, my = F.sum(w * x) / sw, F.sum(w * y) / sw

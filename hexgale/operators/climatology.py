@@ -20,7 +20,7 @@ def climatology(
 ) -> DataFrame:
     """Per-cell maximum, q95, mean and floored population std."""
     stats = moments(df, keys, value, floor=floor)
-    return stats.join(quantiles(df, keys, value, {"q95": 0.95}, max_group=max_group), list(keys))
+    return stats.join(quantiles(df, keys, value, {"q95": 0.95}, max_group=max_group), list(keys), "left")
 
 
 def moments(df: DataFrame, keys: Sequence[str], value: str, *, floor: float = STD_FLOOR) -> DataFrame:

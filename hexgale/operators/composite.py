@@ -91,11 +91,12 @@ def rolling_mean(
     *,
     half: int = 1,
     suffix: str = "_smooth",
+    ties: Sequence[str] = (),
     max_group: int = MAX_GROUP,
 ) -> DataFrame:
-    """Centred rolling mean over 2*half+1 rows, one valid value is enough."""
-    parts, _ = chunk_series(df, keys, order, back=half, ahead=half, max_group=max_group)
-    w = Window.partitionBy(*keys, "_chunk").orderBy(order).rowsBetween(-half, half)
+    """Centred rolling mean over 2*half+1 rows, one valid value is enough (E1); ``ties`` order equal times."""
+    parts, _ = chunk_series(df, keys, order, back=half, ahead=half, ties=ties, max_group=max_group)
+    w = Window.partitionBy(*keys, "_chunk").orderBy(order, *ties).rowsBetween(-half, half)
     return (
         parts.withColumns({f"{v}{suffix}": F.avg(nan_to_null(F.col(v))).over(w) for v in values})
         .where("_home")
@@ -115,7 +116,8 @@ def wind_composite(
 ) -> DataFrame:
     """Peak gust per cell and period and the smoothed wind direction at its time (D1, D2, E1, H1m)."""
     timed = obs.withColumn("_t", F.unix_micros(F.col(time).cast("timestamp")))
-    smooth = rolling_mean(timed, keys, "_t", [u, v], max_group=max_group)
+    # Equal times are ordered by the values, so that the result does not hang on the partitioning.
+    smooth = rolling_mean(timed, keys, "_t", [u, v], ties=[gust, u, v], max_group=max_group)
     peak = value_at_peak(smooth, keys, gust, time, [f"{u}_smooth", f"{v}_smooth"])
     return peak.select(
         *keys,

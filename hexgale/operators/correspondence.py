@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -207,8 +207,16 @@ def partial_spearman(
 
 
 def weighted_correlations(df: DataFrame, pairs: Mapping[str, tuple[str, str]], weight: str) -> DataFrame:
-    """Weighted Pearson correlation per named pair (L3)."""
-    aggs = [weighted_pearson(F.col(x), F.col(y), F.col(weight)).alias(f"_p{i}") for i, (x, y) in enumerate(pairs.values())]
+    """Weighted Pearson correlation per named pair (L3), about the plain means of both columns."""
+    means = df.agg(*[F.avg(F.when(finite(c), F.col(c))).alias(c) for c in {c for pair in pairs.values() for c in pair}])
+
+    def centre(c: str) -> Column:
+        return F.coalesce(means.select(c).scalar(), F.lit(0.0))
+
+    aggs = [
+        weighted_pearson(F.col(x), F.col(y), F.col(weight), (centre(x), centre(y))).alias(f"_p{i}")
+        for i, (x, y) in enumerate(pairs.values())
+    ]
     row = df.agg(*aggs)
     items = F.array(
         *[F.struct(F.lit(n).alias("comparison"), F.col(f"_p{i}").alias("weighted_pearson")) for i, n in enumerate(pairs)]

@@ -17,8 +17,9 @@ MIN_VALID_PERIODS = 10
 def weighted_cell_period_mean(
     df: DataFrame, keys: Sequence[str], value: str, weight: str, *, name: str = "mean_pred", as_float: bool = True
 ) -> DataFrame:
-    """Weighted mean per hexagon and period, kept as 32-bit float."""
-    mean = F.try_divide(F.sum(F.col(weight) * F.col(value)), F.sum(weight))
+    """Weighted mean per hexagon and period, kept as 32-bit float (D5, T9); a missing value has no weight."""
+    known = F.when(F.col(value).isNotNull(), F.col(weight))
+    mean = F.try_divide(F.sum(F.col(weight) * F.col(value)), F.sum(known))
     return df.groupBy(*keys).agg(
         (mean.cast("float") if as_float else mean).alias(name), F.sum(weight).alias("total_weight")
     )

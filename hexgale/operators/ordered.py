@@ -7,9 +7,10 @@ for a group that holds a third of all rows (or for a global ranking, where the g
 Every operator here therefore splits its input by group size:
 
 * groups of at most ``max_group`` rows take the usual Spark window or ``percentile``;
-* larger groups are cut into value buckets. Bucket totals give the offset of each bucket, and only
-  (group, bucket) pairs are sorted. The list of large groups has at most ``rows / max_group`` entries,
-  which bounds everything that is broadcast here.
+* larger groups are cut into value buckets at approximate quantiles of their own values, so that
+  outliers, infinities, NaN and lopsided distributions still spread evenly. Bucket totals give the offset
+  of each bucket, and only (group, bucket) pairs are sorted. Nothing is broadcast by force, and NULL keys
+  are groups like any other.
 
 Both ways are exact and give the same result. Group sizes are checked first by one count per group
 (combined map-side); only whether there is any large group reaches the driver. If there is none, the
@@ -28,11 +29,11 @@ from hexgale.session import cut_lineage
 
 #: Rows up to which a group is handled in a single task.
 MAX_GROUP = 500_000
-#: Value buckets per ``max_group`` rows, so that uneven value distributions still spread.
-OVERSPLIT = 4
+#: Cut points of a large group, as a power of two, and the accuracy of the quantile sketch they come from.
+SPLIT_BITS, SKETCH = 9, 20_000
 
 _ALL = "_all"
-_N, _LO, _HI, _B = "_grp_n", "_grp_lo", "_grp_hi", "_bucket"
+_N, _CUTS, _B = "_grp_n", "_grp_cuts", "_bucket"
 
 
 def _keyed(df: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, list[str]]:
@@ -47,14 +48,17 @@ def finite(column: str | Column) -> Column:
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))
 
 
-def large_groups(df: DataFrame, keys: Sequence[str], order: str, max_group: int = MAX_GROUP) -> DataFrame:
-    """Groups above ``max_group`` rows with their size and value range; at most rows / max_group of them."""
-    x = F.col(order).cast("double")
-    return (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias(_N), F.min(x).alias(_LO), F.max(x).alias(_HI))
-        .where(F.col(_N) > F.lit(max_group))
-    )
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi join in which NULL keys meet NULL keys; the key columns of ``left`` stay."""
+    there = right.select(*(F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns))
+    on = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    out = left.join(there, on, how)
+    return out if how in ("left_anti", "left_semi") else out.drop(*(f"_r_{k}" for k in keys))
+
+
+def large_groups(df: DataFrame, keys: Sequence[str], max_group: int = MAX_GROUP) -> DataFrame:
+    """Groups above ``max_group`` rows with their size; at most rows / max_group of them."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(_N)).where(F.col(_N) > F.lit(max_group))
 
 
 def _derived(df: DataFrame) -> bool:
@@ -72,25 +76,33 @@ def split_by_size(
 ) -> tuple[DataFrame, DataFrame | None]:
     """(rows of small groups, rows of large groups with their size and range, or None without any)."""
     # Cached only until it is written, so that the check and the list share one pass over the input.
-    counted = large_groups(df, keys, order, max_group).persist()
+    counted = large_groups(df, keys, max_group).persist()
     try:
         if counted.isEmpty():
             return df, None
         large = cut_lineage(counted)
     finally:
         counted.unpersist()
-    # Broadcast is bounded: the list has at most rows / max_group entries.
-    small = df.join(F.broadcast(large.select(*keys)), list(keys), "left_anti")
-    big = df.join(F.broadcast(large), list(keys), "inner")
-    return small, (cut_lineage(big) if _derived(df) else big)
+    small = null_safe_join(df, large.select(*keys), keys, "left_anti")
+    big = null_safe_join(df, large, keys)
+    if _derived(df):
+        big = cut_lineage(big)
+    # A mergeable sketch per group: one row of cut points for each, whatever its size.
+    shares = [i / 2**SPLIT_BITS for i in range(1, 2**SPLIT_BITS)]
+    cuts = big.groupBy(*keys).agg(F.percentile_approx(F.col(order).cast("double"), shares, SKETCH).alias(_CUTS))
+    return small, null_safe_join(big, cut_lineage(cuts), keys)
+
+
+def _bucket(order: str) -> Column:
+    """Number of the group's cut points below the order value, by bisection. Equal values share a bucket."""
+    x = F.col(order).cast("double")
 
+    def step(below: Column, half: Column) -> Column:
+        at = below + half
+        return F.when((at < 2**SPLIT_BITS) & (F.try_element_at(_CUTS, at) < x), at).otherwise(below)
 
-def _bucket(order: str, max_group: int) -> Column:
-    """Equal-width bucket of the order value inside its group's range. Equal values share a bucket."""
-    buckets = F.ceil(F.col(_N) / F.lit(float(max_group))) * F.lit(OVERSPLIT)
-    width = F.col(_HI) - F.col(_LO)
-    position = F.try_divide(F.col(order).cast("double") - F.col(_LO), width)
-    return F.coalesce(F.floor(position * buckets), F.lit(0)).cast("long")
+    halves = F.array(*[F.lit(2**k) for k in range(SPLIT_BITS - 1, -1, -1)])
+    return F.coalesce(F.aggregate(halves, F.lit(0), step), F.lit(0)).cast("long")
 
 
 def _bucket_offsets(tagged: DataFrame, keys: Sequence[str], sums: Mapping[str, Column], descending: bool) -> DataFrame:
@@ -137,13 +149,12 @@ def running_totals(
     if big is None:
         return small_out.select(*[c for c in out_cols if keys or c != _ALL])
 
-    tagged = big.withColumn(_B, _bucket(order, max_group))
+    tagged = big.withColumn(_B, _bucket(order))
     offsets = _bucket_offsets(tagged, ks, {n: F.sum(n) for n in names}, descending)
     totals = big.groupBy(*ks).agg(*[F.sum(n).alias(f"{n}_all") for n in names])
+    placed = null_safe_join(cumulated(tagged, [*ks, _B]), offsets, [*ks, _B])
     big_out = (
-        cumulated(tagged, [*ks, _B])
-        .join(F.broadcast(offsets), [*ks, _B])
-        .join(F.broadcast(totals), ks)
+        null_safe_join(placed, totals, ks)
         .withColumns({f"{n}_cum": F.col(f"{n}_cum") + F.col(f"_off_{n}") for n in names})
     )
     out = small_out.select(*out_cols).unionByName(big_out.select(*out_cols))
@@ -170,13 +181,10 @@ def row_index(
     small_out = small.withColumn(name, F.row_number().over(Window.partitionBy(*ks).orderBy(*by)).cast("long"))
     if big is None:
         return small_out if keys else small_out.drop(_ALL)
-    tagged = big.withColumn(_B, _bucket(order, max_group))
+    tagged = big.withColumn(_B, _bucket(order))
     offsets = _bucket_offsets(tagged, ks, {"n": F.count(F.lit(1))}, descending)
-    big_out = (
-        tagged.withColumn(name, F.row_number().over(Window.partitionBy(*ks, _B).orderBy(*by)).cast("long"))
-        .join(F.broadcast(offsets), [*ks, _B])
-        .withColumn(name, F.col(name) + F.col("_off_n"))
-    )
+    inside = tagged.withColumn(name, F.row_number().over(Window.partitionBy(*ks, _B).orderBy(*by)).cast("long"))
+    big_out = null_safe_join(inside, offsets, [*ks, _B]).withColumn(name, F.col(name) + F.col("_off_n"))
     cols = [*df.columns, name]
     out = small_out.select(*cols).unionByName(big_out.select(*cols))
     return out if keys else out.drop(_ALL)
@@ -209,7 +217,7 @@ def ordinal_index(
         big, ks, order, {"_n": F.count(F.lit(1))}, descending=descending, max_group=max_group
     ).select(*ks, order, (F.col("_n_cum") - F.col("_n")).alias("_before"))
     within = row_index(big, [*ks, order], tie, name=name, max_group=max_group)
-    big_out = within.join(before, [*ks, order]).withColumn(name, F.col(name) + F.col("_before"))
+    big_out = null_safe_join(within, before, [*ks, order]).withColumn(name, F.col(name) + F.col("_before"))
     cols = [*df.columns, name]
     out = small_out.select(*cols).unionByName(big_out.select(*cols))
     return out if keys else out.drop(_ALL)
@@ -247,7 +255,7 @@ def average_rank(
         (F.col("_n_cum") - F.col("_n") + (F.col("_n") + F.lit(1)) / F.lit(2.0)).alias(name),
         F.col("_n_all").alias(count_name),
     )
-    out = small_out.unionByName(big.join(ranks, [*ks, value]).select(*cols))
+    out = small_out.unionByName(null_safe_join(big, ranks, [*ks, value]).select(*cols))
     return out if keys else out.drop(_ALL)
 
 
@@ -275,7 +283,7 @@ def quantiles(
     if big is None:
         return small_out if keys else small_out.drop(_ALL)
 
-    tagged = big.withColumn(_B, _bucket("_v", max_group))
+    tagged = big.withColumn(_B, _bucket("_v"))
     counts = tagged.groupBy(*ks, _B).agg(F.count(F.lit(1)).alias("_c"), F.first(_N).alias(_N))
     upto = Window.partitionBy(*ks).orderBy(_B).rowsBetween(Window.unboundedPreceding, 0)
     counts = counts.withColumn("_end", F.sum("_c").over(upto)).withColumn("_start", F.col("_end") - F.col("_c"))
@@ -291,7 +299,7 @@ def quantiles(
         wanted = wanted | covers(F.floor(position(q))) | covers(F.ceil(position(q)))
     needed = counts.where(wanted).select(*ks, _B, "_start")
     # Bounded: at most 2 buckets per quantile and large group.
-    kept = tagged.join(F.broadcast(needed), [*ks, _B])
+    kept = null_safe_join(tagged, needed, [*ks, _B])
     distinct = kept.groupBy(*ks, _B, "_v").agg(
         F.count(F.lit(1)).alias("_c"), F.first("_start").alias("_start"), F.first(_N).alias(_N)
     )
@@ -383,11 +391,12 @@ def chunk_series(
     back: int = 0,
     ahead: int = 0,
     length: int | None = None,
+    ties: Sequence[str] = (),
     max_group: int = MAX_GROUP,
 ) -> tuple[DataFrame, bool]:
     """Prepare row-neighbour windows: adds ``_chunk`` and ``_home``; also tells whether any series was cut.
 
-    Window by (keys, _chunk) ordered by ``order``, then keep ``_home`` rows. A small series is one chunk.
+    Window by (keys, _chunk) ordered by ``order`` and ``ties``, then keep ``_home`` rows. A small series is one chunk.
     A large one is cut every ``max_group`` rows, and each chunk also receives the ``back`` rows before it
     and the ``ahead`` rows after it, so lags and leads up to those distances are exact. ``length`` is the
     number of rows per series where the caller knows it (a calendar axis); it saves the size check.
@@ -397,7 +406,7 @@ def chunk_series(
     small_out = small.withColumns({"_chunk": F.lit(0).cast("long"), "_home": F.lit(True)})
     if big is None:
         return small_out, False
-    indexed = row_index(big.select(*df.columns), keys, order, name="_i", max_group=max_group)
+    indexed = row_index(big.select(*df.columns), keys, order, ties, name="_i", max_group=max_group)
     place = F.col("_i") - F.lit(1)
     chunk = F.floor(place / F.lit(max_group)).cast("long")
     offset = place % F.lit(max_group)

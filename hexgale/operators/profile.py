@@ -61,7 +61,7 @@ def cell_totals(
     else:
         aggs += [F.count(F.lit(1)).alias("n_active_periods"), F.lit(1.0).alias("active_fraction")]
     medians = quantiles(df, [cell], value, {"median_pred_longterm": 0.5}, max_group=max_group)
-    return df.groupBy(cell).agg(*aggs).join(medians, cell)
+    return df.groupBy(cell).agg(*aggs).join(medians, cell, "left")
 
 
 def month_profile(df: DataFrame, cell: str, value: str, basis: str = "mean") -> DataFrame:

@@ -393,7 +393,7 @@ def class_enrichment(
             F.array(*[F.struct(F.lit(p).alias("p"), F.col(f"t{p}").alias("t")) for p in top_percents])
         ).alias("_q"),
     )
-    rows = long.join(limits, by)  # one row per region, metric and percent
+    rows = long.join(F.broadcast(limits), by)  # limits: a fixed number per region, and regions are few
     top = F.col("prediction_value") >= F.col("_q.t")
     area = F.col(AREA)
     sums = rows.groupBy(*by, "_q", class_column).agg(F.sum(area).alias("_bg"), sum_if(area, top).alias("_tc"))

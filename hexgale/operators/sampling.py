@@ -127,7 +127,7 @@ def stratified_negatives(
     dist_km: str,
     own_date: str,
     oversample: float = 3.0,
-    rounds: int = 3,
+    patience: int = 2,
     seed: int = SEED,
     max_group: int = MAX_GROUP,
 ) -> DataFrame:
@@ -135,7 +135,10 @@ def stratified_negatives(
 
     ``forest`` has the cell, ``dist_bin``, the distance and the date of an event in the cell, if any. Each
     cell is offered several times with independent draws, as often as the quota of its bin needs, and the
-    accepted offers with the smallest hash are taken. What a bin lacks comes from all forest cells.
+    accepted offers come in the order of their number, then by hash: no cell repeats while another one of its
+    bin is unused. What a bin lacks comes from all forest cells, in turns with twice as many offers each.
+    If ``patience`` turns with at least 64 offers per cell add nothing, there is no date left that could be
+    accepted, and the number that is missing is an error.
     """
     columns = [cell, dist_km, own_date, "dist_bin"]
     need = F.col("n_target") / F.greatest(F.col("n_cells"), F.lit(1))
@@ -145,7 +148,7 @@ def stratified_negatives(
 
     def drawn(df: DataFrame, salt: int) -> DataFrame:
         base = df.withColumns(
-            {"_u": uniform(seed + salt, F.col(cell), F.col("_k")), "_o": uniform(seed + salt + 1, F.col(cell), F.col("_k"))}
+            {"_u": uniform(seed + salt, F.col(cell), F.col("_k")), "_o": F.col("_k") + uniform(seed + salt + 1, F.col(cell), F.col("_k"))}
         )
         out = draw_dates(base, dates, "_u")
         return out.where(accepted(F.col(dist_km), F.col(own_date), F.col("event_date")))
@@ -153,16 +156,22 @@ def stratified_negatives(
     pool = drawn(offers.select(*columns, "_k"), 0)
     taken = cut_lineage(_take_per_bin(pool, quota, "dist_bin", "_o", [cell, "_k"], max_group).select(*columns, "event_date"))
     want = quota.agg(F.sum("n_target").alias("n")).first()["n"] or 0
-    for turn in range(1, rounds + 1):
-        short = int(want) - taken.count()
-        size = forest.count() if short > 0 else 0
-        if short <= 0 or size == 0:
-            break
-        copies_all = max(1, -(-short * 3 // size))
+    size, got = None, taken.count()
+    turn, idle, offered = 0, 0, 1
+    while got < int(want):
+        size = forest.count() if size is None else size
+        if size == 0 or idle >= patience:
+            raise ValueError(f"{int(want) - got} of {int(want)} background samples cannot be placed")
+        turn += 1
+        short = int(want) - got
+        copies_all = max(offered, -(-short * 3 // size))
         extra = forest.select(*columns).withColumn("_k", F.explode(F.sequence(F.lit(1), F.lit(copies_all))))
         placed = row_index(drawn(extra, 10 * turn), [], "_o", [cell, "_k"], name="_pos", max_group=max_group)
         fill = placed.where(F.col("_pos") <= short).select(*columns, "event_date")
         taken = cut_lineage(taken.unionByName(fill))
+        before, got = got, taken.count()
+        idle = idle + 1 if got == before and copies_all >= 64 else 0
+        offered = copies_all * 2
     return taken
 
 

@@ -45,7 +45,7 @@ def value_at_peak(spark, sf):
           ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS value_smooth FROM events""")
 def rolling_mean_3(spark, sf):
     ev = table(spark, sf, "events").withColumn("t", F.unix_micros(F.col("ts").cast("timestamp")))
-    return comp.rolling_mean(ev, ["user_id"], "t", ["value"])
+    return comp.rolling_mean(ev, ["user_id"], "t", ["value"], ties=["event_id"])
 
 
 @query("wind_composite", "user_id:l period_no:l max_wind_speed:d wind_direction:d",

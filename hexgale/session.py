@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import SparkSession
 
 #: Runtime SQL settings. All can be changed on a running session.
@@ -25,15 +23,30 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir``; fall back to a temporary one only where unset."""
+    """The shared folder for intermediate tables: the cluster's ``spark.checkpoint.dir``.
+
+    Where it is unset, a local session takes a folder in its warehouse; on a cluster that would be some machine's own
+    disk, so there it is an error.
+    """
     context = spark.sparkContext
-    shared = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None)
     current = context.getCheckpointDir()
     if current:
         return current
-    target = shared or tempfile.mkdtemp(prefix="hexgale-checkpoint-")
+    target = checkpoint_target(
+        spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir", None),
+        context.master,
+        spark.conf.get("spark.sql.warehouse.dir"),
+    )
     context.setCheckpointDir(target)
-    return target
+    return context.getCheckpointDir()
+
+
+def checkpoint_target(shared: str | None, master: str, warehouse: str) -> str:
+    if shared:
+        return shared
+    if not master.startswith("local[") and master != "local":
+        raise RuntimeError("spark.checkpoint.dir is not set: intermediate tables need a folder that all executors share")
+    return f"{warehouse}/_checkpoints"
 
 
 def cut_lineage(df):

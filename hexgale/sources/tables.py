@@ -11,10 +11,11 @@ from pyspark.sql import types as T
 from hexgale.functions.scalar import chunk_key, normalize_longitude, year_from_name
 
 # Country codes of the European footprint, and names left out where there are no codes.
-EUROPE_CODES = (
-    "AL AD AT BA BE BG BY CH CY CZ DE DK EE EL ES FI FR HR HU IE IT LI LT LU LV MD ME MK MT NL NO PL PT RO RS SE SI SK SM "
-    "UA VA XK UK GB"
-).split()
+EUROPE_CODES = [
+    "AL", "AD", "AT", "BA", "BE", "BG", "BY", "CH", "CY", "CZ", "DE", "DK", "EE", "EL", "ES",
+    "FI", "FR", "HR", "HU", "IE", "IT", "LI", "LT", "LU", "LV", "MD", "ME", "MK", "MT", "NL",
+    "NO", "PL", "PT", "RO", "RS", "SE", "SI", "SK", "SM", "UA", "VA", "XK", "UK", "GB",
+]
 EXCLUDED_COUNTRIES = ["russia", "russian federation", "iceland"]
 EXTRA_COUNTRIES = ["Turkey", "Cyprus"]
 
@@ -205,12 +206,11 @@ def bind_records(left: DataFrame, right: DataFrame, number: str) -> DataFrame:
 def write_table(df: DataFrame, path: str, *, partition_by: Sequence[str] = (), mode: str = "overwrite") -> None:
     """Compressed parquet sink, partitioned for later pruning (A10).
 
-    Rows are clustered by the partition columns and a few hash slices each, so neither small files nor one
-    huge writer per partition value arise.
+    Rows are rebalanced by the partition columns: adaptive execution joins small slices and splits the rows
+    of a large partition value over as many writers as its size asks for.
     """
     if partition_by:
-        slices = F.pmod(F.xxhash64(*[c for c in df.columns if c not in partition_by]), F.lit(16))
-        df = df.withColumn("_s", slices).repartition(*partition_by, "_s").drop("_s")
+        df = df.hint("rebalance", *partition_by)
     df.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy(*partition_by).parquet(path)
 
 

@@ -148,3 +148,22 @@ def test_global_rank_has_no_single_task_window_over_rows(frame):
     plan = o.average_rank(df, [], "v", max_group=50)._jdf.queryExecution().executedPlan().toString()
     # The large way sorts (group, bucket) pairs.
     assert "_bucket" in plan and "BatchEvalPython" not in plan
+
+
+@pytest.mark.parametrize("kind", ["lognormal", "outlier", "infinite", "nan", "null_key"])
+def test_large_groups_spread_over_buckets(spark, kind):
+    """The largest bucket of a hot group holds at most three times the mean, whatever the values look like."""
+    rng = np.random.default_rng(4)
+    x = rng.lognormal(0, 3, 6000) if kind == "lognormal" else rng.uniform(0, 1, 6000)
+    if kind in ("outlier", "infinite", "nan"):
+        x[17] = {"outlier": 1e6, "infinite": float("inf"), "nan": float("nan")}[kind]
+    rows = [(None if kind == "null_key" else "a", float(v)) for v in x] + [("b", 1.0)]
+    df = spark.createDataFrame(rows, "k string, x double")
+    small, big = o.split_by_size(df, ["k"], "x", 500)
+    assert small.count() == 1
+    sizes = [r["count"] for r in big.withColumn("b", o._bucket("x")).groupBy("b").count().collect()]
+    assert sum(sizes) == 6000 and max(sizes) <= 3 * sum(sizes) / len(sizes)
+    got = {r["x"]: r["row_index"] for r in o.row_index(df, ["k"], "x", max_group=500).where("x <> 1.0").collect()}
+    want = {r["x"]: r["row_index"] for r in o.row_index(df, ["k"], "x", max_group=10**9).where("x <> 1.0").collect()}
+    assert got.keys() == want.keys() or kind == "nan"
+    assert sorted(got.values()) == sorted(want.values())
