@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
-#: Every position of every text with its n-gram of each length (as hex digits of the bytes), and all corpus counts.
+#: Every byte of every text (as two hex digits) with the bytes before it, all n-grams, and all corpus counts.
 OP1 = """
-WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-p AS (SELECT doc_id, h, unnest(range(1, length(h) // 2 + 1)) AS i FROM d),
-g AS (SELECT doc_id, i, n, h[2 * (i - n) + 1 : 2 * i] AS gram FROM p, (SELECT unnest([1, 2, 3, 4, 5]) AS n) WHERE n <= i),
-c AS (SELECT gram, count(*) AS k FROM g GROUP BY gram),
-t AS (SELECT sum(length(h) // 2) AS total FROM d),
-s AS (SELECT gram, length(gram) // 2 AS n, CAST(round_even(ln(k / CASE WHEN length(gram) = 2 THEN (SELECT total FROM t) ELSE (SELECT b.k FROM c b WHERE b.gram = left(c.gram, length(c.gram) - 2)) END) * 1000000, 0) AS BIGINT) AS micro
-      FROM c WHERE length(gram) = 2 OR k >= 5),
+WITH d AS (SELECT doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS bytes FROM documents),
+p AS (SELECT doc_id, unnest(bytes) AS b, generate_subscripts(bytes, 1) AS i FROM d),
+w AS (SELECT doc_id, i, b, lag(b, 1) OVER o AS b1, lag(b, 2) OVER o AS b2, lag(b, 3) OVER o AS b3, lag(b, 4) OVER o AS b4 FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+g AS (SELECT doc_id, i, 1 AS n, b AS gram FROM w
+      UNION ALL SELECT doc_id, i, 2, b1 || b FROM w WHERE b1 IS NOT NULL
+      UNION ALL SELECT doc_id, i, 3, b2 || b1 || b FROM w WHERE b2 IS NOT NULL
+      UNION ALL SELECT doc_id, i, 4, b3 || b2 || b1 || b FROM w WHERE b3 IS NOT NULL
+      UNION ALL SELECT doc_id, i, 5, b4 || b3 || b2 || b1 || b FROM w WHERE b4 IS NOT NULL),
+c AS MATERIALIZED (SELECT gram, count(*) AS k FROM g GROUP BY gram),
+s AS (SELECT c.gram, CAST(round_even(ln(c.k / coalesce(x.k, (SELECT count(*) FROM p))) * 1000000, 0) AS BIGINT) AS micro
+      FROM c LEFT JOIN c x ON length(c.gram) > 2 AND x.gram = c.gram[: length(c.gram) - 2] WHERE length(c.gram) = 2 OR c.k >= 5),
 best AS (SELECT g.doc_id, g.i, max(g.n) AS n, max_by(s.micro, g.n) AS micro FROM g JOIN s USING (gram) GROUP BY g.doc_id, g.i),
 sums AS (SELECT doc_id, sum(micro + (least(i, 5) - n) * CAST(round_even(ln(0.4) * 1000000, 0) AS BIGINT)) AS score_micro, sum(CAST(n < least(i, 5) AS INT)) AS backed FROM best GROUP BY doc_id)
-SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(score_micro, 0) AS BIGINT) AS score_micro, CAST(coalesce(backed, 0) AS BIGINT) AS n_backed_off
+SELECT d.doc_id, CAST(len(bytes) AS BIGINT) AS n_bytes, CAST(coalesce(score_micro, 0) AS BIGINT) AS score_micro, CAST(coalesce(backed, 0) AS BIGINT) AS n_backed_off
 FROM d LEFT JOIN sums USING (doc_id)
 """
 
