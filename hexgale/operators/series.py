@@ -40,7 +40,10 @@ def cover(main: DataFrame, supplement: DataFrame, keys: Sequence[str], value: st
 
 
 def dense_positions(df: DataFrame, keys: Sequence[str], position: str, n: int, value: str) -> DataFrame:
-    """Every series on positions 1..n, missing values NULL."""
+    """Every series on positions 1..n, missing values NULL; a position outside the axis fails the job."""
+    outside = ~F.col(position).between(1, n)
+    checked = F.when(outside, F.raise_error(F.concat(F.lit(f"position outside 1..{n}: "), F.col(position).cast("string")))).otherwise(F.col(position))
+    df = df.withColumn(position, checked.cast(df.schema[position].dataType))
     axis = df.select(*keys).distinct().withColumn(position, F.explode(F.sequence(F.lit(1), F.lit(n))))
     return axis.join(df.select(*keys, position, value), [*keys, position], "left")
 

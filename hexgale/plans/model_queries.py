@@ -223,13 +223,14 @@ def encoder_json(spark, sf):
 
 @query("encoder_upsert", "key:s value:d",
        """WITH a AS (SELECT n_name AS k, CAST(n_nationkey AS DOUBLE) AS v FROM nation), b AS (SELECT c_mktsegment AS k, avg(c_acctbal) AS v FROM customer GROUP BY 1
-         UNION ALL SELECT n_name, n_regionkey + 100.0 FROM nation WHERE n_regionkey = 1)
+         UNION ALL SELECT r_name, CAST(r_regionkey AS DOUBLE) + 100.0 FROM region UNION ALL SELECT n_name, n_regionkey + 100.0 FROM nation)
        --final-- SELECT coalesce(a.k, b.k) AS key, coalesce(b.v, a.v) AS value FROM a FULL JOIN b ON a.k = b.k""")
 def encoder_upsert(spark, sf):
     n = table(spark, sf, "nation")
     old = n.select(F.col("n_name").alias("key"), F.col("n_nationkey").cast("double").alias("value"))
     seg = table(spark, sf, "customer").groupBy(F.col("c_mktsegment").alias("key")).agg(F.avg("c_acctbal").alias("value"))
-    new = seg.unionByName(n.where("n_regionkey = 1").select(F.col("n_name").alias("key"), (F.col("n_regionkey") + 100.0).alias("value")))
+    regions = table(spark, sf, "region").select(F.col("r_name").alias("key"), (F.col("r_regionkey") + 100.0).alias("value"))
+    new = seg.unionByName(regions).unionByName(n.select(F.col("n_name").alias("key"), (F.col("n_regionkey") + 100.0).alias("value")))
     return encode.encoder_upsert(old, new, "key", "value")
 
 

@@ -254,16 +254,16 @@ def first_rank_bins(spark, sf):
 
 
 @query("response_surface", "z_bin:l freq_bin:l n:l prediction_lift:d",
-       f"""WITH {VALID}, b AS (SELECT *, {_BIN.format(c='z_anomaly', k='cell_id', n=3)} AS zb,
-         {_BIN.format(c='anomaly_frequency', k='cell_id', n=3)} AS fb FROM val),
-       g AS (SELECT z_bin, freq_bin FROM (SELECT unnest([1, 2, 3]) AS z_bin), (SELECT unnest([1, 2, 3]) AS freq_bin))
-       --final-- SELECT z_bin, freq_bin, count(cell_id) AS n, CASE WHEN count(cell_id) >= 5 THEN
+       f"""WITH {VALID}, b AS (SELECT *, {_BIN.format(c='z_anomaly', k='cell_id', n=5)} AS zb,
+         {_BIN.format(c='anomaly_frequency', k='cell_id', n=5)} AS fb FROM val),
+       g AS (SELECT z_bin, freq_bin FROM (SELECT unnest([1, 2, 3, 4, 5]) AS z_bin), (SELECT unnest([1, 2, 3, 4, 5]) AS freq_bin))
+       --final-- SELECT z_bin, freq_bin, count(cell_id) AS n, CASE WHEN count(cell_id) >= 10 THEN
          sum(mean_prob * area_weight_km2) / sum(area_weight_km2)
          / (SELECT sum(mean_prob * area_weight_km2) / sum(area_weight_km2) FROM val) END AS prediction_lift
        FROM g LEFT JOIN b ON zb = z_bin AND fb = freq_bin GROUP BY 1, 2""")
 def response_surface(spark, sf):
     valid = regime_cells(spark, sf).where(reg.analysis_valid())
-    return reg.response_surface(valid, "cell_id", "mean_prob", n_bins=3, min_count=5)
+    return reg.response_surface(valid, "cell_id", "mean_prob")
 
 
 _QUAD = """CASE WHEN lon < 14.4378 AND lat >= 50.0755 THEN 'Northwest' WHEN lat >= 50.0755 THEN 'Northeast'
