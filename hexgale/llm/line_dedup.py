@@ -1,6 +1,6 @@
 """Fuzzy line deduplication by MinHash, in DataFrame operations only.
 
-A line's set is the 64-bit hashes of its 8-byte character shingles (a shorter line is one shingle). The 32 smallest hashes
+A line's set is the 64-bit hashes of its 8-byte character shingles (a shorter line is one shingle). The 20 smallest hashes
 stand for the set; ``ROWS * BANDS`` minwise values of them make the bands. Lines that share a band are candidates, exact
 Jaccard similarity of the full sets confirms them, and distributed union-find joins them to components, of which the first
 line in document order stays.
@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from hexgale.llm.common import components
 from hexgale.session import cut_lineage
 
-SHINGLE, SKETCH, ROWS, BANDS = 8, 32, 4, 10
+SHINGLE, SKETCH, ROWS, BANDS = 8, 20, 4, 10
+#: Hashes of a line that are expected below the bound which spares sorting all of them.
+BELOW = 56.0
 SIMILARITY = 0.8
 
 
@@ -31,18 +33,35 @@ def _once(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), then)[0]
 
 
+def _hashes(line: Column, then: Callable[[Column, Column], Column]) -> Column:
+    """``then`` of the hashes of all shingles of a line that is not empty, and of their number."""
+    last = F.greatest(F.octet_length(line) - SHINGLE + 1, F.lit(1))
+    return _once(line.cast("binary"), lambda raw: then(F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.substring(raw, i, F.lit(SHINGLE)))), last))
+
+
 def shingles(line: Column) -> Column:
     """Distinct hashes of the byte shingles of a line that is not empty."""
-    last = F.greatest(F.octet_length(line) - SHINGLE + 1, F.lit(1))
-    return _once(line.cast("binary"), lambda raw: F.array_distinct(F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.substring(raw, i, F.lit(SHINGLE))))))
+    return _hashes(line, lambda hashes, n: F.array_distinct(hashes))
+
+
+def sketch(line: Column) -> Column:
+    """The smallest distinct hashes. Hashes are even over all longs, so a bound by their number leaves few to sort."""
+    span = F.lit(2.0**63)
+
+    def smallest(hashes: Column, n: Column) -> Column:
+        # Bounds per number of shingles: worked out once per line, not per hash.
+        low = _once((F.lit(2.0) * F.least(F.lit(1.0), F.lit(BELOW) / n) * span - span).cast("long"), lambda bound: F.filter(hashes, lambda h: h <= bound))
+        return F.slice(F.sort_array(F.array_distinct(low)), 1, SKETCH)
+
+    return _hashes(line, smallest)
 
 
 def bands(line: Column) -> Column:
     masks = F.array(*map(F.lit, MASKS))
     starts = F.array(*(F.lit(i) for i in range(1, ROWS * BANDS + 1, ROWS)))
-    minwise = lambda sketch: F.transform(masks, lambda m: F.array_min(F.transform(sketch, lambda h: h.bitwiseXOR(m))))
+    minwise = lambda few: F.transform(masks, lambda m: F.array_min(F.transform(few, lambda h: h.bitwiseXOR(m))))
     banded = lambda values: F.transform(starts, lambda i: F.xxhash64(i, F.slice(values, i, ROWS)))
-    return _once(F.slice(F.sort_array(shingles(line)), 1, SKETCH), lambda sketch: _once(minwise(sketch), banded))
+    return _once(sketch(line), lambda few: _once(minwise(few), banded))
 
 
 def _lines(rows: DataFrame) -> DataFrame:
@@ -51,29 +70,45 @@ def _lines(rows: DataFrame) -> DataFrame:
     return lines.select("doc_id", "row", "line_no", "line", F.xxhash64("line").alias("id"), F.xxhash64("line", F.lit(1)).alias("id2"))
 
 
-def _pairs(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """Candidate pairs of lines that share a band: with the band's first line, or once labels are known all pairs that
-    still lie in two components. Each such pair has an end outside the band's largest component."""
-    if labels is None:
-        return shared.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
+#: Further lines of a band, drawn by hash, that lines outside their components are compared with before all others.
+LEADS = 4
+
+
+def _with_root(shared: DataFrame, labels: DataFrame) -> DataFrame:
     up = labels.select(F.col("node").alias("id"), "root")
-    rows = shared.join(up, "id", "left").select("band", "id", F.coalesce("root", "id").alias("root")).distinct()
+    return shared.select("band", "id").join(up, "id", "left").select("band", "id", F.coalesce("root", "id").alias("root"))
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _to_leads(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """Pairs of a band's lines with a few lines drawn from the band, as far as they lie in two components."""
+    rows = _with_root(shared, labels)
+    drawn = [F.min_by(F.struct("id", "root"), F.xxhash64("id", F.lit(k))).alias(f"l{k}") for k in range(LEADS)]
+    leads = rows.groupBy("band").agg(*drawn).select("band", F.explode(F.array_distinct(F.array(*[f"l{k}" for k in range(LEADS)]))).alias("lead"))
+    return _ordered(rows.join(leads, "band").where(F.col("root") != F.col("lead.root")).select(F.col("id").alias("a"), F.col("lead.id").alias("b")))
+
+
+def _across(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """All pairs of a band that lie in two components. Each such pair has an end outside the band's largest component."""
+    rows = _with_root(shared, labels)
     sizes = rows.groupBy("band", "root").agg(F.count(F.lit(1)).alias("size"))
     main = sizes.groupBy("band").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("band", "main")
     rows = rows.join(main, "band")
     rest = rows.where("root <> main").select("band", F.col("id").alias("a"), F.col("root").alias("ra"))
     both = rows.select("band", F.col("id").alias("b"), "root", "main").join(rest, "band")
-    both = both.where("root <> ra and (root = main or b > a)")
-    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return _ordered(both.where("root <> ra and (root = main or b > a)").select("a", "b"))
 
 
-def _confirm(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def _confirm(pairs: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
     """Pairs whose full shingle sets have a Jaccard similarity of at least ``similarity``."""
-    sa = sets.select(F.col("id").alias("a"), F.col("set").alias("sa"))
-    sb = sets.select(F.col("id").alias("b"), F.col("set").alias("sb"))
-    common = F.size(F.array_intersect("sa", "sb"))
-    both = pairs.join(sa, "a").join(sb, "b").where(F.least(F.size("sa"), F.size("sb")) >= similarity * F.greatest(F.size("sa"), F.size("sb")))
-    return both.where(common >= similarity * (F.size("sa") + F.size("sb") - common)).select("a", "b")
+    ta = texts.select(F.col("id").alias("a"), F.col("line").alias("ta"))
+    tb = texts.select(F.col("id").alias("b"), F.col("line").alias("tb"))
+    both = pairs.join(ta, "a").join(tb, "b")
+    alike = _once(shingles(F.col("ta")), lambda x: _once(shingles(F.col("tb")), lambda y: _once(F.size(F.array_intersect(x, y)), lambda n: n >= F.lit(similarity) * (F.size(x) + F.size(y) - n))))
+    return both.where(alike).select("a", "b")
 
 
 def line_decisions(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -104,14 +139,17 @@ def line_decisions(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str
     wanted = cut_lineage(wanted.select("id", "id2", "first", "n").unionByName(exact.where("n > 1")).dropDuplicates(["id", "id2"]))
     fetch = wanted.join(shared.select("id").distinct(), "id", "left_semi").groupBy(F.col("first.doc_id").alias("doc_id"), F.col("first.row").alias("row")).agg(F.collect_list(F.struct(F.col("first.line_no").alias("at"), "id")).alias("lines"))
     texts = rows.alias("d").join(fetch.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.row") == F.col("f.row")))
-    texts = texts.select(F.split("text", "\n").alias("all"), F.explode("lines").alias("x")).select("x.id", shingles(F.col("all")[F.col("x.at")]).alias("set"))
-    sets = cut_lineage(texts)
+    texts = texts.select(F.split("text", "\n").alias("all"), F.explode("lines").alias("x")).select("x.id", F.col("all")[F.col("x.at")].alias("line"))
+    texts = cut_lineage(texts)
 
-    links = cut_lineage(_confirm(_pairs(shared, None), sets, similarity))
+    lead = shared.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
+    links = cut_lineage(_confirm(lead, texts, similarity))
     labels = components(links)
-    across = cut_lineage(_pairs(shared, labels))
-    if not across.isEmpty():
-        links = links.unionByName(_confirm(across, sets, similarity))
+    for more in (_to_leads, _across):
+        pairs = cut_lineage(more(shared, labels))
+        if pairs.isEmpty():
+            continue
+        links = links.unionByName(cut_lineage(_confirm(pairs, texts, similarity)))
         labels = components(links)
 
     up = labels.select(F.col("node").alias("id"), "root")
