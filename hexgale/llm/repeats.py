@@ -15,10 +15,10 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from hexgale.llm.common import partitions, pick
+from hexgale.llm.common import partitions, pick, release, store
 from hexgale.llm.fingerprints import BLOCK, _sliding_min, rolling
 from hexgale.session import cut_lineage
 
@@ -243,6 +243,24 @@ def _cut(raw: bytes, runs: list[tuple[int, int]], length: int) -> tuple[int, int
     return sum(z - a for a, z in spans), len(spans), [(a, z) for a, z in spans]
 
 
+def _place_lists(rows: DataFrame, length: int, gram: int) -> DataFrame:
+    """(key, places) of every text that shares an anchor with another place."""
+    spark = rows.sparkSession
+    seen = _occurrences(rows, length, gram).repartition(partitions(spark), "anchor")
+    by_anchor, by_context = Window.partitionBy("anchor"), Window.partitionBy("anchor", "context")
+    flagged = seen.select(
+        "*",
+        F.sum("m").over(by_anchor).alias("total"),
+        (F.min("context").over(by_anchor) != F.max("context").over(by_anchor)).alias("mixed"),
+        (F.sum("m").over(by_context) > 1).alias("twice"),
+        (F.row_number().over(by_context.orderBy("places")) == 1).alias("lead"),
+    ).where("total > 1")
+    flagged = flagged.select("anchor", "context", "twice", "mixed", "lead", "places")
+    place = F.struct("lo", "hi", "anchor", "whole", "open", "ship")
+    # One text can name at most as many places as it has anchors, whatever the number of its copies.
+    return store(_places(flagged).groupBy("key").agg(F.collect_set(place).alias("places")))
+
+
 def _decide(docs: DataFrame, length: int, gram: int, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
     """(documents with the key of their text, results by key of the texts that share an anchor with another place)."""
     rows = pick(docs, doc_id=doc_id, text=text).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -251,19 +269,8 @@ def _decide(docs: DataFrame, length: int, gram: int, doc_id: str, text: str) ->
     base = rows.select("doc_id", key.alias("key"), F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("whole_sha256"))
     base = cut_lineage(base)
 
-    seen = _occurrences(rows, length, gram).repartition(partitions(spark), "anchor")
-    seen.createOrReplaceTempView("__seen")
-    flagged = spark.sql("""
-        SELECT anchor, context, c > 1 AS twice, lowest <> highest AS mixed, turn = 1 AS lead, places FROM (
-            SELECT *, sum(m) OVER (PARTITION BY anchor) AS total, min(context) OVER (PARTITION BY anchor) AS lowest,
-                   max(context) OVER (PARTITION BY anchor) AS highest, sum(m) OVER (PARTITION BY anchor, context) AS c,
-                   row_number() OVER (PARTITION BY anchor, context ORDER BY places) AS turn
-            FROM __seen) WHERE total > 1
-    """)
-    spark.catalog.dropTempView("__seen")
-    place = F.struct("lo", "hi", "anchor", "whole", "open", "ship")
-    # One text can name at most as many places as it has anchors, whatever the number of its copies.
-    lists = cut_lineage(_places(flagged).groupBy("key").agg(F.collect_set(place).alias("places")))
+    lists = _place_lists(rows, length, gram)
+    release(spark)
     first = base.groupBy("key").agg(F.min("doc_id").alias("first_id"))
     wanted = lists.join(first, "key")
     texts = rows.withColumn("key", key).alias("t").join(wanted.alias("w"), (F.col("t.doc_id").eqNullSafe(F.col("w.first_id"))) & (F.col("t.key") == F.col("w.key"))).select("w.key", "text", "places")
@@ -280,7 +287,9 @@ def _decide(docs: DataFrame, length: int, gram: int, doc_id: str, text: str) ->
                 _finish(out, k, raw, wholes, ships, waits, length, t)
             yield _finished_batch(out)
 
-    read_ = cut_lineage(texts.mapInArrow(read, _READ))
+    read_ = store(texts.mapInArrow(read, _READ))
+    del texts, wanted, lists
+    release(spark)
     contexts = read_.where(F.size("ships") > 0).select("key", F.explode("ships").alias("s")).select("s.anchor", "key", "s.lo", "s.open", "s.bytes")
     found = _index(contexts, length).groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("found"))
     waiting = read_.where("text is not null").select("key", "text", "wholes").join(found, "key", "left")
@@ -294,7 +303,7 @@ def _decide(docs: DataFrame, length: int, gram: int, doc_id: str, text: str) ->
             yield _finished_batch(out)
 
     done = read_.where("text is null").unionByName(waiting.mapInArrow(close, _READ)).select("key", "removed", "spans_n", "sha", "spans")
-    return base, done
+    return base, done.dropDuplicates(["key"])
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -330,7 +339,8 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, doc_id:
     spans = done.where("removed > 0").select(F.col("key").alias("__key"), F.col("spans").alias("__spans"))
     rows = docs.drop("__spans")
     joined = rows.withColumn("__key", F.unhex(F.md5(F.col(text)))).join(spans, "__key", "left").select(*rows.columns, "__spans")
-    at = rows.columns.index(text)
+    names = rows.columns
+    at = names.index(text)
 
     def run(batches):
         for b in batches:
@@ -345,7 +355,7 @@ def cut_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, doc_id:
                 out.append(value)
             columns = list(b.columns[:-1])
             columns[at] = pa.array(out, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=rows.columns)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return joined.mapInArrow(run, rows.schema)
 
