@@ -23,7 +23,7 @@ from hexgale.llm.common import partitions, pick
 ORDER, CUTOFF, ALPHA = 5, 5, 0.4
 MICRO = 1_000_000
 #: Bytes of text worked on at a time.
-LOT = 1 << 22
+LOT = 1 << 21
 
 
 def grams(data: np.ndarray, ends: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,12 +64,14 @@ def count_grams(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]
             break
         wide = code * 256 + data[at + n - 1]
         if len(names) * 256 <= 1 << 25:
-            size = np.bincount(wide, minlength=len(names) * 256)
-            used = np.flatnonzero(size)
-            dense = np.zeros(len(size), dtype=np.int64)
+            table = np.bincount(wide, minlength=len(names) * 256)
+            used = np.flatnonzero(table)
+            size = table[used]
+            del table
+            dense = np.zeros(len(names) * 256, dtype=np.int32)
             dense[used] = np.arange(len(used))
-            code = dense[wide]
-            size = size[used]
+            code = dense[wide].astype(np.int64)
+            del dense
         else:
             used, code, size = np.unique(wide, return_inverse=True, return_counts=True)
         names = (names[used >> 8] << 8) | (used & 255)
