@@ -21,20 +21,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hexgale.llm.common import components, partitions, pick
+from hexgale.llm.common import Memo, components, partitions, pick
 from hexgale.session import cut_lineage
 
-TOKENS, TREES, BRANCH, DEPTH = 64, 4, 2, 3
+TOKENS, TREES, BRANCH, DEPTH = 128, 4, 2, 3
 #: Classes of a node that are compared exhaustively; larger nodes branch, or at the last level meet PIVOTS members each.
 SMALL, PIVOTS = 48, 4
+#: Likeliest partners that a member outside a node's largest component meets before all of them are looked at.
+NEAREST = 2
 #: Members confirmed against one pivot in one task group.
 SALT_ROWS = 400
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 UPPER = str.maketrans({chr(c): chr(c + 32) for c in range(ord("A"), ord("Z") + 1)})
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _RNG = np.random.default_rng(20240607)
-_MULTIPLY = _RNG.integers(1 << 62, 1 << 63, TOKENS, dtype=np.uint64) | np.uint64(1)
-_MEMO: dict[str, int] = {}
+_MULTIPLY = _RNG.integers(1 << 30, 1 << 32, TOKENS, dtype=np.uint32) | np.uint32(1)
+_ADD = _RNG.integers(0, 1 << 32, TOKENS, dtype=np.uint32)
+_PLACES = _RNG.integers(1 << 62, 1 << 63, 64, dtype=np.uint64) | np.uint64(1)
+_MEMO = Memo(400_000)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -45,16 +49,13 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def word_hashes(text: str) -> np.ndarray:
     words = WORD.findall(text.translate(UPPER) if not text.isascii() else text.lower())
-    if len(_MEMO) > 500_000:
-        _MEMO.clear()
-    out = np.empty(len(words), dtype=np.uint64)
-    memo = _MEMO
-    for i, w in enumerate(words):
-        h = memo.get(w)
-        if h is None:
-            h = memo[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
-        out[i] = h
-    return out
+    got = _MEMO.look(words)
+    if None in got:
+        young = _MEMO.young
+        for i, w in enumerate(words):
+            if got[i] is None:
+                got[i] = young[w] = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+    return np.array(got, dtype=np.uint64)
 
 
 def shingle_set(text: str, n: int) -> np.ndarray:
@@ -62,26 +63,17 @@ def shingle_set(text: str, n: int) -> np.ndarray:
     h = word_hashes(text)
     if not len(h):
         return h
-    n_used = min(n, len(h))
-    x = np.zeros(len(h) - n_used + 1, dtype=np.uint64)
-    for j in range(n_used):
-        x = _mix(x * np.uint64(0xD6E8FEB86659FD93) + h[j : j + len(x)] + np.uint64(n_used))
-    return np.unique(x)
+    used = min(n, len(h))
+    x = np.full(len(h) - used + 1, used, dtype=np.uint64)
+    for j in range(used):  # words are random numbers, so a sum with a factor per place tells sequences apart
+        x += h[j : j + len(x)] * _PLACES[j]
+    return np.unique(_mix(x))
 
 
 def minwise(shingles: np.ndarray) -> np.ndarray:
     """TOKENS minwise values of 32 bits."""
-    out = np.empty(TOKENS, dtype=np.uint32)
-    for j, a in enumerate(_MULTIPLY):
-        out[j] = _mix_min(shingles, a)
-    return out
-
-
-def _mix_min(s: np.ndarray, a: np.uint64) -> int:
-    x = s * a
-    x ^= x >> np.uint64(32)
-    x *= a
-    return int(x.min() >> np.uint64(32))
+    low = (shingles >> np.uint64(32)).astype(np.uint32)
+    return np.array([(low * a + b).min() for a, b in zip(_MULTIPLY, _ADD)], dtype=np.uint32)
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -114,8 +106,12 @@ def _children(parent: int, tree: int, tokens: np.ndarray):
 
 
 _NODE = "node long, tree int, class_id long, n int, sketch binary"
-#: 8-bit tokens: equal by chance 1 in 256. Kept if at least this many agree: 0.8 less five standard deviations of the estimate.
-_AGREE = 35
+
+
+def agreement(percent: int) -> int:
+    """Tokens that have to agree: the similarity less 3.2 standard deviations of its estimate (1 in 1400 at the limit itself)."""
+    p = percent / 100
+    return int(TOKENS * (p - 3.2 * (p * (1 - p) / TOKENS) ** 0.5))
 
 
 def _roots(classes: DataFrame) -> DataFrame:
@@ -172,7 +168,7 @@ def _likely(sketch: np.ndarray, n: np.ndarray, others: np.ndarray, other_n: np.n
     """Agreeing tokens of each row with one other, 0 where the pair cannot be similar."""
     agree = (sketch == others).sum(axis=1)
     low, high = np.minimum(n, other_n), np.maximum(n, other_n)
-    return np.where((agree >= _AGREE) & (100 * low >= percent * high), agree, 0)
+    return np.where((agree >= agreement(percent)) & (100 * low >= percent * high), agree, 0)
 
 
 def _forest(members: DataFrame, percent: int) -> DataFrame:
@@ -243,24 +239,63 @@ def _pair_batch(pairs):
     return pa.RecordBatch.from_arrays([pa.array([min(p) for p in pairs], pa.int64()), pa.array([max(p) for p in pairs], pa.int64())], names=["a", "b"])
 
 
-def _across(members: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """All likely pairs of a node that lie in two components. Every such pair has an end outside the node's largest one."""
+def _across(members: DataFrame, labels: DataFrame, percent: int, nearest: int | None) -> DataFrame:
+    """Likely pairs (a, b) of a node that lie in two components: every such pair has an end outside the node's largest one.
+
+    For each member outside it the ``nearest`` likeliest partners, or all with None. The members outside are held, those
+    of the largest component stream past them; what comes out is one list per member and node.
+    """
     up = labels.select(F.col("node").alias("class_id"), "root")
     rows = members.join(up, "class_id", "left").select("node", "class_id", "n", "sketch", F.coalesce("root", "class_id").alias("root"))
     sizes = rows.groupBy("node", "root").agg(F.count(F.lit(1)).alias("size"))
     main = sizes.groupBy("node").agg(F.max_by("root", F.struct("size", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1").select("node", "main")
-    rows = cut_lineage(rows.join(main, "node"))
-    rest = rows.where("root <> main").select("node", F.col("class_id").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa"), F.col("root").alias("ra"))
-    near = F.least("n", "na") * 100 >= F.greatest("n", "na") * percent
-    pairs = rows.select("node", F.col("class_id").alias("b"), "n", "sketch", "root", "main").join(rest, "node").where(near & (F.col("root") != F.col("ra")) & ((F.col("root") == F.col("main")) | (F.col("b") > F.col("a"))))
+    marked = rows.join(main, "node").select("node", "class_id", "n", "sketch", "root", (F.col("root") == F.col("main")).alias("inner"))
+    dealt = marked.repartition(partitions(members.sparkSession), "node").sortWithinPartitions("node", "inner")
 
     def run(batches):
-        for x in batches:
-            sa, sb = (np.frombuffer(b"".join(x.column(c).to_pylist()), np.uint8).reshape(-1, TOKENS) for c in (2, 3))
-            ok = pa.array((sa == sb).sum(axis=1) >= _AGREE)
-            yield pa.RecordBatch.from_arrays([x.column(0).filter(ok), x.column(1).filter(ok)], names=["a", "b"])
+        rest: list[np.ndarray] | None = None
+        best: list[list[tuple[int, int]]] = []
+        now = None
+
+        def meet(part: list[np.ndarray]) -> None:
+            """All of the held members against the rows of a part."""
+            for i, (u, n, root, sk) in enumerate(zip(*rest)):
+                agree = _likely(part[3], part[1], sk, n, percent) * (part[2] != root)
+                at = np.flatnonzero(agree)
+                if nearest is not None and len(at) > nearest:
+                    at = at[np.argsort(-agree[at], kind="stable")[:nearest]]
+                best[i] += [(int(agree[k]), int(part[0][k])) for k in at]
+                if nearest is not None:
+                    best[i] = sorted(best[i], reverse=True)[:nearest]
+
+        def flush():
+            found = [(int(u), [v for _, v in b]) for u, b in zip(rest[0], best) if b] if rest is not None else []
+            return pa.RecordBatch.from_arrays([pa.array([u for u, _ in found], pa.int64()), pa.array([v for _, v in found], pa.list_(pa.int64()))], names=["a", "others"])
 
-    got = pairs.select("a", "b", F.col("sa"), F.col("sketch")).mapInArrow(run, "a long, b long")
+        met = False
+        for key, part in _groups(batches, 0):
+            cols = [part.column(1).to_numpy(), part.column(2).to_numpy(), part.column(4).to_numpy(), np.frombuffer(b"".join(part.column(3).to_pylist()), np.uint8).reshape(-1, TOKENS)]
+            inner = part.column(5).to_numpy(zero_copy_only=False)
+            if key != now:
+                if rest is not None and not met:
+                    meet(rest)
+                yield flush()
+                now, rest, best, met = key, None, [], False
+            out = [c[~inner] for c in cols]
+            if len(out[0]):
+                rest = out if rest is None else [np.concatenate((x, y)) for x, y in zip(rest, out)]
+                best += [[] for _ in range(len(out[0]))]
+            if inner.any() and rest is not None:
+                if not met:
+                    meet(rest)
+                    met = True
+                meet([c[inner] for c in cols])
+        if rest is not None and not met:
+            meet(rest)
+        yield flush()
+
+    lists = dealt.mapInArrow(run, "a long, others array<long>").groupBy("a").agg(F.array_distinct(F.flatten(F.collect_list("others"))).alias("others"))
+    got = lists.select("a", F.explode("others").alias("b"))
     return got.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
@@ -351,9 +386,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, doc_id
     texts = cut_lineage(found.mapInArrow(same, "class_id long, text string").dropDuplicates(["class_id"]))
     links = cut_lineage(_confirm(first, texts, shingle, percent))
     labels = components(links)
-    across = cut_lineage(_across(members, labels, percent).distinct())
-    if not across.isEmpty():
-        links = links.unionByName(_confirm(across, texts, shingle, percent))
+    for nearest in (NEAREST, None):
+        across = cut_lineage(_across(members, labels, percent, nearest).distinct())
+        if across.isEmpty():
+            break
+        links = links.unionByName(cut_lineage(_confirm(across, texts, shingle, percent)))
         labels = components(links)
 
     up = labels.select(F.col("node").alias("class_id"), "root")
