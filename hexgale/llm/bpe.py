@@ -16,13 +16,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from hexgale.llm.common import pick
+from hexgale.llm.common import Memo, pick
 
 #: Unicode white space, and the word pattern of this vocabulary family.
 SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 WORD = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
-#: Fragments kept per worker before the memo starts anew: bounds its memory.
-MEMO = 400_000
+#: Fragments and words kept per worker, twice: bounds its memory.
+MEMO, PARTS = 600_000, 150_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -43,11 +43,13 @@ class ForcedBoundaryBPE:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.bytes_of = {i: token for token, i in vocab.items()} | {i: s.encode() for s, i in self.special.items()}
         self.id_of_byte = [vocab[bytes([b])] for b in range(256)]
-        self.rank = {}
+        self.rank: dict[tuple[int, int], int] = {}
+        self.merged: list[int] = []
         for n, merge in enumerate(spec["model"]["merges"]):
             left, right = merge.split(" ") if isinstance(merge, str) else merge
             a, b = (bytes(alphabet[c] for c in side) for side in (left, right))
-            self.rank[vocab[a], vocab[b]] = (n, vocab[a + b])
+            self.rank[vocab[a], vocab[b]] = n
+            self.merged.append(vocab[a + b])
         inside = bytearray(65536)
         for token in vocab:
             if token.decode("utf-8", "ignore") in self.special:
@@ -60,29 +62,24 @@ class ForcedBoundaryBPE:
         # white space does the word depend on the whole run; such texts are not cut at blanks.
         self.run = regex.compile(rf"[{SPACE}] (?:[{SPACE}]|\Z)")
         self.split_special = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
-        self.memo: dict[str, tuple[str, int, bytes]] = {}
+        self.memo, self.parts = Memo(MEMO), Memo(PARTS)
 
     def _merge(self, fragment: bytes) -> list[int]:
-        """Apply merges in rank order to a fragment without forced boundaries."""
+        """Apply merges in rank order, leftmost first, to a fragment without forced boundaries."""
         ids = [self.id_of_byte[b] for b in fragment]
-        rank = self.rank
-        while len(ids) > 1:
-            best, merged = None, None
-            for pair in zip(ids, ids[1:]):
-                got = rank.get(pair)
-                if got is not None and (best is None or got[0] < best[0]):
-                    best, merged = got, pair
-            if best is None:
+        get, none = self.rank.get, len(self.merged)
+        ranks = [get(pair, none) for pair in zip(ids, ids[1:])]
+        while ranks:
+            least = min(ranks)
+            if least == none:
                 break
-            out, i, n = [], 0, len(ids)
-            while i < n:
-                if i + 1 < n and ids[i] == merged[0] and ids[i + 1] == merged[1]:
-                    out.append(best[1])
-                    i += 2
-                else:
-                    out.append(ids[i])
-                    i += 1
-            ids = out
+            i = ranks.index(least)
+            ids[i] = self.merged[least]
+            del ids[i + 1], ranks[i]
+            if i < len(ranks):
+                ranks[i] = get((ids[i], ids[i + 1]), none)
+            if i:
+                ranks[i - 1] = get((ids[i - 1], ids[i]), none)
         return ids
 
     def cuts(self, data: bytes) -> list[bytes]:
@@ -95,41 +92,51 @@ class ForcedBoundaryBPE:
         out.append(data[start:])
         return out
 
-    def fragment(self, text: str) -> tuple[str, int, bytes]:
-        """Ids as decimals joined by commas, their number and the bytes they decode to."""
-        ids = [i for word in self.word.findall(text) for part in self.cuts(word.encode()) for i in self._merge(part)]
-        return ",".join(map(str, ids)), len(ids), b"".join(map(self.bytes_of.__getitem__, ids))
-
-    def _section(self, text: str, out: list[tuple[str, int, bytes]]) -> None:
-        memo = self.memo
-        if len(memo) > MEMO:
-            memo.clear()
+    def fragment(self, text: str) -> tuple[str, int, str]:
+        """Ids as decimals joined by commas, their number and the text they decode to."""
+        ids: list[int] = []
+        words = self.word.findall(text)
+        for word, known in zip(words, self.parts.look(words)):
+            if known is None:
+                known = self.parts.young[word] = tuple(i for part in self.cuts(word.encode()) for i in self._merge(part))
+            ids += known
+        # The bytes of whole characters came in, so the bytes of the ids are whole characters again.
+        plain = b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
+        return ",".join(map(str, ids)), len(ids), text if plain == text else plain
+
+    def _section(self, text: str, out: list[tuple[str, int, str]]) -> None:
         if not self.run.search(text):
             head, *rest = text.split(" ")
             keys = [head] if head else []
             keys += [" " + x for x in rest]
         else:
             keys = self.word.findall(text)
-        for key in keys:
-            got = memo.get(key)
-            if got is None:
-                got = self.fragment(key)
-                if len(key) <= 64:
-                    memo[key] = got
-            out.append(got)
-
-    def encode(self, text: str) -> tuple[str, int, bytes]:
-        out: list[tuple[str, int, bytes]] = []
+        got = self.memo.look(keys)
+        if None in got:
+            young = self.memo.young
+            for i, key in enumerate(keys):
+                if got[i] is None:
+                    found = young.get(key) or self.fragment(key)
+                    if len(key) <= 64:
+                        young[key] = found
+                    got[i] = found
+        out += got
+
+    def encode(self, text: str) -> tuple[str, int, str]:
+        out: list[tuple[str, int, str]] = []
         at = 0
         for hit in self.split_special.finditer(text) if self.split_special else ():
             if hit.start() > at:
                 self._section(text[at : hit.start()], out)
             i = self.special[hit[0]]
-            out.append((str(i), 1, self.bytes_of[i]))
+            out.append((str(i), 1, hit[0]))
             at = hit.end()
         if at < len(text):
             self._section(text[at:], out)
-        return ",".join(x[0] for x in out), sum(x[1] for x in out), b"".join(x[2] for x in out)
+        if not out:
+            return "", 0, ""
+        ids, counts, data = zip(*out)
+        return ",".join(ids), sum(counts), "".join(data)
 
     def ids(self, text: str) -> list[int]:
         joined = self.encode(text)[0]
@@ -163,8 +170,7 @@ def bpe_encode(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "
         for batch in batches:
             counts, shas, decoded_shas, ids, decoded = [], [], [], [], []
             for value in batch.column(1):
-                joined, n, data = bpe.encode(value.as_py() or "")
-                plain = data.decode("utf-8", "replace")
+                joined, n, plain = bpe.encode(value.as_py() or "")
                 counts.append(n)
                 shas.append(hashlib.sha256(joined.encode()).hexdigest())
                 decoded_shas.append(hashlib.sha256(plain.encode()).hexdigest())

@@ -12,11 +12,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from hexgale.llm.common import pick
+from hexgale.llm.common import Memo, pick
 
 #: The control characters that Python takes for white space and the tokenizer's pattern does not.
 ODD = re.compile("[\x1c-\x1f]")
-MEMO = 400_000
+MEMO = 500_000
 
 
 class WordTokens:
@@ -27,7 +27,7 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {}
+        self.memo = Memo(MEMO)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch(texts, add_special_tokens=False)
@@ -37,14 +37,14 @@ class WordTokens:
         """The ids as little-endian unsigned 32-bit values."""
         if ODD.search(text):
             return self._encode([text])[0]
-        words, memo = text.split(), self.memo
-        new = [w for w in dict.fromkeys(words) if w not in memo]
-        if len(memo) + len(new) > MEMO:
-            memo.clear()
-            new = list(dict.fromkeys(words))
-        if new:
-            memo.update(zip(new, self._encode(new)))
-        return b"".join(map(memo.__getitem__, words))
+        words = text.split()
+        got = self.memo.look(words)
+        if None in got:
+            young = self.memo.young
+            new = list(dict.fromkeys(w for w, known in zip(words, got) if known is None))
+            young.update(zip(new, self._encode(new)))
+            got = [young[w] if known is None else known for w, known in zip(words, got)]
+        return b"".join(got)
 
 
 @lru_cache(maxsize=4)
