@@ -1,19 +1,23 @@
 """Main text of web pages: structural blocks, and differencing against the page with the nearest URL.
 
-Inside a page, menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and styles are recognised by
-their markup. Where the page marks its article, the text is what is left inside. Where it does not, furniture has to be found
-by comparison: such pages are sorted by host and URL path and paired with the neighbour on the same host that has the longest
-common path; the text lines of both are aligned by longest common subsequence and shared ones are deleted.
+Pages are sorted by host and URL path and each is paired with the neighbour on its host that has the longest common path and
+other lines; the text lines of both are aligned by longest common subsequence and shared ones are deleted. Markup adds to
+this: menus, headers, footers, sidebars, notices, adverts, forms, comments, scripts and styles that are recognised by it are
+not lines at all, and where the page marks its article, lines outside it go as well.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from bisect import bisect_left, bisect_right
 from html.parser import HTMLParser
+from itertools import groupby
 from urllib.parse import urlsplit
 
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -143,15 +147,6 @@ def _shared_prefix(a: str, b: str) -> int:
     return n
 
 
-def difference(own: list[str], neighbours: list[list[str]]) -> list[str]:
-    """Lines not shared with the first neighbour that is not a copy; copies of each other keep all lines."""
-    for other in neighbours:
-        shared = set(common_subsequence(own, other))
-        if len(shared) < len(own):
-            return [x for i, x in enumerate(own) if i not in shared]
-    return own
-
-
 def _key(url: str) -> str:
     """Host and path, so that pages of a host lie together in path order."""
     try:
@@ -161,97 +156,177 @@ def _key(url: str) -> str:
         return f"\0{url}"
 
 
-_PARSED = T.StructType().add("key", T.StringType()).add("lines", T.ArrayType(T.StringType())).add("text", T.StringType())
+def _host(key: str) -> str:
+    return key.split("\0")[0]
 
 
-def _parse(rows: DataFrame) -> DataFrame:
-    """Adds the sort key, and either the finished text or, for pages without a marked article, their lines."""
-    fields = T.StructType([rows.schema["page_id"], rows.schema["url"], *_PARSED.fields])
+def _parse(rows: DataFrame, only: frozenset | None = None) -> DataFrame:
+    """Pages as sort key, lines, a digest that tells lists of lines apart, and whether each line stands in the article.
+    ``only``: keys of the pages wanted, the others are not parsed."""
+    fields = T.StructType([rows.schema["page_id"], rows.schema["url"]]).add("key", "string").add("digest", "string").add("lines", T.ArrayType(T.StringType())).add("inside", T.ArrayType(T.BooleanType()))
 
     def run(batches):
         for b in batches:
-            keys, lines, texts = [], [], []
+            if only is not None:
+                b = b.filter(pa.array([_key(url or "") in only for url in b.column(1).to_pylist()], pa.bool_()))
+            keys, digests, lines, inside = [], [], [], []
             for url, html in zip(b.column(1), b.column(2)):
                 found = blocks(html.as_py() or "")
-                inside = [t for t, marked in found if marked]
                 keys.append(_key(url.as_py() or ""))
-                lines.append(None if inside else [t for t, _ in found])
-                texts.append("\n\n".join(inside) if inside else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.string()), pa.array(lines, pa.list_(pa.string())), pa.array(texts, pa.string())], names=fields.names)
+                lines.append([t for t, _ in found])
+                inside.append([marked for _, marked in found])
+                # Lines have no line feed: white space in them is one space.
+                digests.append(hashlib.blake2b("\n".join(lines[-1]).encode("utf-8", "surrogatepass"), digest_size=16).hexdigest())
+            columns = [pa.array(keys, pa.string()), pa.array(digests, pa.string()), pa.array(lines, pa.list_(pa.string())), pa.array(inside, pa.list_(pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], names=fields.names)
 
     return rows.mapInArrow(run, fields)
 
 
-def _neighbours(loose: DataFrame, n_parts: int) -> DataFrame:
-    """Texts of pages without a marked article, each compared with its neighbours in (host, path) order.
+def main_text(lines: list[str], inside: list[bool], other: list[str] | None) -> str:
+    """Lines not shared with the neighbour's, and of a page that marks its article only those inside."""
+    shared = set(common_subsequence(lines, other)) if other is not None else ()
+    return "\n\n".join(x for i, x in enumerate(lines) if i not in shared and (inside[i] or True not in inside))
 
-    Pages are cut into ranges at sampled keys, so a host of any size spreads over many tasks; the first and the last page of a
-    range are sent to the ranges beside it as well.
-    """
-    n = loose.count()
-    per_range = max(1, n // (4 * n_parts))
-    draw = F.pmod(F.xxhash64("key"), F.lit(max(1, per_range // 8))) == 0
-    sampled = sorted({r["key"] for r in loose.where(draw).select("key").distinct().collect()}) if n > 1000 else []
-    step = max(1, len(sampled) // (4 * n_parts))
-    cuts = sampled[step::step]
 
-    def place(batches):
-        for b in batches:
-            at = [bisect_right(cuts, k.as_py()) for k in b.column(2)]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at, pa.int32())], names=[*b.schema.names, "range"])
-
-    placed = T.StructType([*loose.schema.fields, T.StructField("range", T.IntegerType())])
-    ranged = loose.mapInArrow(place, placed).withColumn("row", F.struct("key", "lines"))
-    ends = ranged.groupBy("range").agg(F.min("row").alias("head"), F.max("row").alias("tail"))
-    filled = [r["range"] for r in ends.select("range").orderBy("range").collect()]
-    beside = [(r, b) for i, r in enumerate(filled) for b in filled[max(0, i - 1) : i]]  # (range, range before it)
-    schema = "range int, before int"
-    pairs = F.broadcast(loose.sparkSession.createDataFrame(beside, schema)) if beside else None
-    both = ranged.select("page_id", "url", "key", "lines", "range", F.lit(True).alias("own"))
-    if pairs is not None:
-        heads = ends.join(pairs, "range").select(F.col("head").alias("row"), F.col("before").alias("range"))
-        tails = ends.select(F.col("range").alias("before"), "tail").join(pairs, "before").select(F.col("tail").alias("row"), "range")
-        guests = heads.unionByName(tails).select(F.lit(None).cast(loose.schema["page_id"].dataType).alias("page_id"), F.lit(None).cast("string").alias("url"), F.col("row.key").alias("key"), F.col("row.lines").alias("lines"), "range", F.lit(False).alias("own"))
-        both = both.unionByName(guests)
-    dealt = both.repartition(n_parts, "range").sortWithinPartitions("range", "key", "lines", "own")
-    fields = T.StructType([loose.schema["page_id"], loose.schema["url"], T.StructField("text", T.StringType())])
-
-    def text_of(before, row, after):
-        near = [x for x in (before, after) if x is not None and x[2].split("\0")[0] == row[2].split("\0")[0] and x[4] == row[4]]
-        near.sort(key=lambda x: -_shared_prefix(x[2], row[2]))
-        return "\n\n".join(difference(row[3], [x[3] for x in near]))
+def _cuts(counts: DataFrame, n_parts: int) -> tuple[list[tuple], dict[tuple, int]]:
+    """Places (key, digest) where ranges of pages begin, and copies under one key that fill ranges of their own, with the
+    number of tasks that they are dealt over."""
+    n = counts.agg(F.sum("n")).first()[0] or 0
+    if n <= 1000:
+        return [], {}
+    per_range = max(1, n // (4 * n_parts))
+    heavy = {(r["key"], r["digest"]): -(-r["n"] // per_range) for r in counts.where(F.col("n") > per_range).collect()}
+    every = max(1, per_range // 8)
+    drawn = counts.where((F.col("n") <= per_range) & (F.pmod(F.xxhash64("key", "digest"), F.lit(every)) == 0))
+    cuts, filled = {*heavy, *((key, digest + "g") for key, digest in heavy)}, 0  # "g": right behind the digest
+    for key, digest, copies in sorted(map(tuple, drawn.select("key", "digest", "n").collect())):
+        filled += copies * every
+        if filled >= per_range:
+            cuts.add((key, digest))
+            filled = 0
+    return sorted(cuts), heavy
+
+
+def _guests(ranged: DataFrame) -> list[tuple]:
+    """(key, digest, range): the last page before and the first page behind each range whose lines differ from those at
+    its border, on the same host. Only names of pages at the borders reach the driver."""
+    page = F.struct("key", "digest")
+    ends = ranged.groupBy("range").agg(F.min(page).alias("head"), F.max(page).alias("tail"))
+    ends = cut_lineage(ends)
+    within = ranged.join(F.broadcast(ends), "range").groupBy("range").agg(F.min(F.when(F.col("digest") != F.col("head.digest"), page)).alias("head2"), F.max(F.when(F.col("digest") != F.col("tail.digest"), page)).alias("tail2"))
+    rows = {r["range"]: r for r in ends.join(within, "range").collect()}
+
+    def walk(order: list[int], near: str, far: str, far2: str) -> list[tuple]:
+        out, last, found = [], None, None
+        for at in order:
+            # A neighbour range of nothing but the lines at this border passes on what it has found itself.
+            if last is not None:
+                found = last[far] if last[far]["digest"] != rows[at][near]["digest"] else last[far2] or found
+            if found is not None and _host(found["key"]) == _host(rows[at][near]["key"]):
+                out.append((found["key"], found["digest"], at))
+            last = rows[at]
+        return out
+
+    return walk(sorted(rows), "head", "tail", "tail2") + walk(sorted(rows, reverse=True), "tail", "head", "head2")
+
+
+def _compared(rows: DataFrame, n_parts: int) -> DataFrame:
+    """Texts of pages, each compared with its neighbour in (host, path) order; pages without lines are not compared.
+
+    Pages are cut into ranges at sampled keys, so a host of any size spreads over many tasks, and a page that stands under
+    one URL very often is dealt over several. The nearest pages with other lines before and behind are sent to each range.
+    Pages are parsed twice, first for keys and digests alone, so that lines are on disk only once, when they are dealt.
+    """
+    spark = rows.sparkSession
+    pages = _parse(rows)
+    counts = cut_lineage(pages.where("size(lines) > 0").groupBy("key", "digest").agg(F.count(F.lit(1)).alias("n")))
+    cuts, heavy = _cuts(counts, n_parts)
+    tasks = {bisect_right(cuts, page): n for page, n in heavy.items()}
+
+    def place(key_at: int, lines_at: int | None = None):
+        def run(batches):
+            row = TaskContext.get().partitionId()
+            for b in batches:
+                at = [bisect_right(cuts, page) for page in zip(b.column(key_at).to_pylist(), b.column(key_at + 1).to_pylist())]
+                if lines_at is not None:
+                    at = [r if n.as_py() else -1 for r, n in zip(at, pc.list_value_length(b.column(lines_at)))]
+                salts = [(row + i) % (n_parts if r < 0 else tasks.get(r, 1)) for i, r in enumerate(at)]
+                row += len(at)
+                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at, pa.int32()), pa.array(salts, pa.int32())], names=[*b.schema.names, "range", "salt"])
+
+        return run
+
+    placed = [T.StructField("range", T.IntegerType()), T.StructField("salt", T.IntegerType())]
+    ranged = counts.mapInArrow(place(0), T.StructType([*counts.schema.fields, *placed]))
+    guests = [(key, digest, at, salt) for key, digest, at in _guests(ranged) for salt in range(tasks.get(at, 1))]
+    both = pages.mapInArrow(place(2, 4), T.StructType([*pages.schema.fields, *placed])).withColumn("own", F.lit(True))
+    if guests:
+        wanted = F.broadcast(spark.createDataFrame(guests, "key string, digest string, range int, salt int"))
+        found = _parse(rows, frozenset(x[0] for x in guests)).join(F.broadcast(wanted.select("key", "digest").distinct()), ["key", "digest"], "left_semi").groupBy("key", "digest").agg(F.first("lines").alias("lines"))
+        both = both.unionByName(found.join(wanted, ["key", "digest"]).withColumn("own", F.lit(False)), allowMissingColumns=True)
+    dealt = both.repartition(n_parts, "range", "salt").sortWithinPartitions("range", "salt", "key", "digest", "own")
+    fields = T.StructType([pages.schema["page_id"], pages.schema["url"], T.StructField("text", T.StringType())])
+
+    def texts(before, run, after):
+        """before, run, after: pages next to each other in order, the pages of each with the same lines."""
+        lines, same = run
+        known: dict = {}
+        for page_id, url, key, inside, own in same:
+            if own:
+                near = [(x[0], y) for x, y in ((before, before and before[1][-1][2]), (after, after and after[1][0][2])) if x is not None and _host(y) == _host(key)]
+                other = max(near, key=lambda x: _shared_prefix(x[1], key))[0] if near else None
+                mark = (id(other), tuple(inside))
+                if mark not in known:
+                    known[mark] = main_text(lines, inside, other)
+                yield page_id, url, known[mark]
+
+    def runs(rows):
+        for _, same in groupby(rows, key=lambda x: x[3]):
+            first = next(same)
+            yield first[4], [(x[0], x[1], x[2], x[5], x[8]) for x in (first, *same)]
+
+    def compare(rows):
+        for _, part in groupby(rows, key=lambda x: (x[6], x[7])):
+            before = run = None
+            for after in runs(part):
+                if run is not None:
+                    yield from texts(before, run, after)
+                before, run = run, after
+            yield from texts(before, run, None)
 
     def run(batches):
-        before = row = None
-        for b in batches:
-            out = []
-            for after in zip(*(c.to_pylist() for c in b.columns)):
-                if row is not None and row[5]:
-                    out.append((row[0], row[1], text_of(before, row, after)))
-                before, row = row, after
-            yield batch(out, b.schema)
-        if row is not None and row[5]:
-            yield batch([(row[0], row[1], text_of(before, row, None))], b.schema)
+        kinds: list = []
+
+        def rows():
+            for b in batches:
+                kinds[:] = [b.schema.field(0).type, b.schema.field(1).type, pa.string()]
+                yield from zip(*(c.to_pylist() for c in b.columns))
+
+        def batch():
+            return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], names=fields.names)
 
-    def batch(out, schema):
-        kinds = [schema.field(0).type, pa.string(), pa.string()]
-        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], names=fields.names)
+        out = []
+        for x in compare(rows()):
+            out.append(x)
+            if len(out) == 256:
+                yield batch()
+                out = []
+        if out:
+            yield batch()
 
-    return dealt.select("page_id", "url", "key", "lines", "range", "own").mapInArrow(run, fields)
+    return dealt.select("page_id", "url", "key", "digest", "lines", "inside", "range", "salt", "own").mapInArrow(run, fields)
 
 
 def extract_main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars): blocks of the main text in page order, joined by two line feeds.
 
-    Character references are decoded, white space inside a block becomes one space, blocks are trimmed; nothing else is
-    dropped and no length is capped. NULL html counts as empty and gives empty text; NULL urls share one empty host. Copies
-    of a page keep their lines. Repeated rows and ids give one row each; an empty table an empty result; other columns are
-    left out. Only pages without a marked article are shuffled.
+    Character references are decoded, white space inside a block becomes one space, blocks are trimmed; no length is
+    capped. Every page that has lines is compared with the page of nearest URL among those on its host that have
+    lines, but not the same; what they share goes, inside a marked article too, and a page whose lines all stand there in the same
+    order becomes empty. Copies of a page are not compared with each other. NULL html counts as empty and gives empty text;
+    NULL urls share one empty host. Repeated rows and ids give one row each; an empty table an empty result; other columns
+    are left out. The input is read several times and has to be a stable table.
     """
     rows = pick(pages, page_id=page_id, url=url, html=html)
-    parsed = _parse(rows)
-    loose = cut_lineage(parsed.where("lines is not null").select("page_id", "url", "key", "lines"))
-    out = parsed.where("lines is null").select("page_id", "url", "text")
-    if not loose.isEmpty():
-        out = out.unionByName(_neighbours(loose, partitions(rows.sparkSession)))
-    return out.select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))
+    return _compared(rows, partitions(rows.sparkSession)).select("page_id", "url", "text", F.char_length("text").cast("long").alias("n_chars"))

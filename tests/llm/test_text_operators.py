@@ -260,6 +260,27 @@ def test_html_hot_host_spans_ranges(spark):
     assert {(r["page_id"], r["text"]) for r in got} == {(i, f"Story number {i}") for i in range(1500)}
 
 
+def test_html_marked_articles_are_compared(spark):
+    """Against brute force: furniture without a telling mark inside articles, copies under other URLs, a hot page, hosts."""
+    rng = random.Random(3)
+    page = "<html><body><p>Outside</p><article><div>Read on our site</div><p>%s</p><p>Edited by staff</p></article></body></html>"
+    stories = [prose(rng, 5) for _ in range(30)]
+    rows = [(i, f"http://h{rng.randrange(3)}.example/{rng.choice('ab')}/{rng.randrange(400)}", page % rng.choice(stories)) for i in range(1200)]
+    rows += [(2000 + i, "http://h0.example/a/hot", page % "Hot story") for i in range(500)]
+    rows += [(3000, "http://one.example/", page % "Alone"), (3001, "http://two.example/1", page % "Copy"), (3002, "http://two.example/2", page % "Copy")]
+    got = {r["page_id"]: r["text"] for r in html.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    assert len(got) == len(rows)
+    listed = {i: [t for t, _ in html.blocks(h)] for i, _, h in rows}
+    keys = {i: html._key(u) for i, u, _ in rows}
+    for i in got:
+        host = [j for j in keys if html._host(keys[j]) == html._host(keys[i]) and listed[j] != listed[i]]
+        near = max((html._shared_prefix(keys[i], keys[j]) for j in host), default=None)
+        others = [listed[j] for j in host if html._shared_prefix(keys[i], keys[j]) == near] or [None]
+        inside = [x != "Outside" for x in listed[i]]
+        assert got[i] in {html.main_text(listed[i], inside, x) for x in others}
+    assert got[2000] == "Hot story" and got[3000] == got[3001].replace("Copy", "Alone") == "Read on our site\n\nAlone\n\nEdited by staff"
+
+
 def test_common_subsequence():
     rng = random.Random(4)
     for _ in range(100):
