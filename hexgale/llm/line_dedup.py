@@ -1,9 +1,8 @@
 """Fuzzy line deduplication by MinHash, in DataFrame operations only.
 
-A line's set is the 64-bit hashes of its 8-byte character shingles (a shorter line is one shingle). The 20 smallest hashes
-stand for the set; ``ROWS * BANDS`` minwise values of them make the bands. Lines that share a band are candidates, exact
-Jaccard similarity of the full sets confirms them, and distributed union-find joins them to components, of which the first
-line in document order stays.
+A line's set is the 64-bit hashes of its 8-byte character shingles (a shorter line is one shingle). ``ROWS * BANDS`` minwise
+values over the whole set make the bands. Lines that share a band are candidates, exact Jaccard similarity of the full sets
+confirms them, and distributed union-find joins them to components, of which the first line in document order stays.
 """
 
 from __future__ import annotations
@@ -17,15 +16,14 @@ from pyspark.sql import functions as F
 from hexgale.llm.common import components
 from hexgale.session import cut_lineage
 
-SHINGLE, SKETCH, ROWS, BANDS = 8, 20, 4, 10
-#: Hashes of a line that are expected below the bound which spares sorting all of them.
-BELOW = 56.0
+SHINGLE, ROWS, BANDS = 8, 4, 10
 SIMILARITY = 0.8
 
 
-#: Pseudo-random 64-bit numbers; the minwise value for a mask is the smallest hash after exclusive or with it.
+#: A minwise value is the smallest hash after rotation and exclusive or with a mask. The rows of a band use different bits of
+#: the hash first, the bands different parts of the range of values, so even small sets give them little in common.
 _RANDOM = random.Random(1729)
-MASKS = [_RANDOM.getrandbits(64) - (1 << 63) for _ in range(ROWS * BANDS)]
+MASKS = [[(band * 2**64 // BANDS + _RANDOM.getrandbits(59)) % 2**64 - 2**63 for _ in range(ROWS)] for band in range(BANDS)]
 
 
 def _once(value: Column, then: Callable[[Column], Column]) -> Column:
@@ -33,35 +31,27 @@ def _once(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), then)[0]
 
 
-def _hashes(line: Column, then: Callable[[Column, Column], Column]) -> Column:
-    """``then`` of the hashes of all shingles of a line that is not empty, and of their number."""
+def _hashes(line: Column) -> Column:
+    """Hashes of all byte shingles of a line that is not empty, repeats included."""
     last = F.greatest(F.octet_length(line) - SHINGLE + 1, F.lit(1))
-    return _once(line.cast("binary"), lambda raw: then(F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.substring(raw, i, F.lit(SHINGLE)))), last))
+    return _once(line.cast("binary"), lambda raw: F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.substring(raw, i, F.lit(SHINGLE)))))
 
 
 def shingles(line: Column) -> Column:
     """Distinct hashes of the byte shingles of a line that is not empty."""
-    return _hashes(line, lambda hashes, n: F.array_distinct(hashes))
+    return F.array_distinct(_hashes(line))
 
 
-def sketch(line: Column) -> Column:
-    """The smallest distinct hashes. Hashes are even over all longs, so a bound by their number leaves few to sort."""
-    span = F.lit(2.0**63)
+def bands(lines: DataFrame) -> DataFrame:
+    """(id, bands) for distinct lines (id, id2, line) that are not empty; bands is an array of longs.
 
-    def smallest(hashes: Column, n: Column) -> Column:
-        # Bounds per number of shingles: worked out once per line, not per hash.
-        low = _once((F.lit(2.0) * F.least(F.lit(1.0), F.lit(BELOW) / n) * span - span).cast("long"), lambda bound: F.filter(hashes, lambda h: h <= bound))
-        return F.slice(F.sort_array(F.array_distinct(low)), 1, SKETCH)
-
-    return _hashes(line, smallest)
-
-
-def bands(line: Column) -> Column:
-    masks = F.array(*map(F.lit, MASKS))
-    starts = F.array(*(F.lit(i) for i in range(1, ROWS * BANDS + 1, ROWS)))
-    minwise = lambda few: F.transform(masks, lambda m: F.array_min(F.transform(few, lambda h: h.bitwiseXOR(m))))
-    banded = lambda values: F.transform(starts, lambda i: F.xxhash64(i, F.slice(values, i, ROWS)))
-    return _once(sketch(line), lambda few: _once(minwise(few), banded))
+    Every shingle is a row, and minima are taken in hash aggregation; repeats of a shingle change no minimum. Where lines
+    are dealt out by id already, nothing is shuffled.
+    """
+    rotated = [F.col("h")] + [F.shiftleft("h", 64 * r // ROWS).bitwiseOR(F.shiftrightunsigned("h", 64 - 64 * r // ROWS)) for r in range(1, ROWS)]
+    each = lines.select("id", "id2", F.explode(_hashes(F.col("line"))).alias("h")).select("id", "id2", *(x.alias(f"r{r}") for r, x in enumerate(rotated)))
+    least = each.groupBy("id", "id2").agg(*(F.min(F.col(f"r{r}").bitwiseXOR(F.lit(MASKS[b][r]))).alias(f"m{b}_{r}") for b in range(BANDS) for r in range(ROWS)))
+    return least.select("id", F.array(*(F.xxhash64(F.lit(b), *(f"m{b}_{r}" for r in range(ROWS))) for b in range(BANDS))).alias("bands"))
 
 
 def _lines(rows: DataFrame) -> DataFrame:
@@ -128,8 +118,9 @@ def line_decisions(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str
     filled = lines.where("line <> ''")
     exact = filled.groupBy("id", "id2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
 
-    # Copies are combined by their hashes with the bands beside them, before any band is dealt out.
-    borne = filled.select("id", "id2", bands(F.col("line")).alias("bands")).groupBy("id", "id2").agg(F.first("bands").alias("bands"))
+    # One text per line: copies are combined before the shuffle, and shingles are made where the text has been dealt to.
+    single = filled.groupBy("id", "id2").agg(F.first("line").alias("line"))
+    borne = bands(single)
     by_band = Window.partitionBy("band")
     dealt = borne.select("id", F.explode("bands").alias("band"))
     ranged = dealt.select("band", "id", F.min("id").over(by_band).alias("lead"), F.max("id").over(by_band).alias("tail"))

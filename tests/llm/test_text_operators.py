@@ -154,6 +154,40 @@ def test_lines(spark):
     assert line_dedup.line_decisions(frame(spark, [])).count() == 0
 
 
+def near_pairs(rng: random.Random, words: range, changed: list[int], n: int) -> list[tuple[float, str, str]]:
+    """Pairs of lines with some words changed, and their similarity."""
+    out = []
+    for _ in range(n):
+        a = prose(rng, rng.choice(words)).split(" ")
+        b = list(a)
+        for at in rng.sample(range(len(b)), rng.choice(changed)):
+            b[at] = prose(rng, 1)
+        sa, sb = ({x.encode()[i : i + 8] for i in range(max(1, len(x.encode()) - 7))} for x in (" ".join(a), " ".join(b)))
+        out.append((len(sa & sb) / len(sa | sb), " ".join(a), " ".join(b)))
+    return out
+
+
+def unbanded(spark, pairs) -> list[bool]:
+    """Whether each pair of lines has no band in common."""
+    lines = [(2 * i + k, 0, x) for i, p in enumerate(pairs) for k, x in enumerate(p[1:])]
+    got = {r["id"]: set(r["bands"]) for r in line_dedup.bands(spark.createDataFrame(lines, "id long, id2 long, line string")).collect()}
+    return [not got[2 * i] & got[2 * i + 1] for i in range(len(pairs))]
+
+
+def test_lines_bands_of_whole_sets(spark):
+    rng = random.Random(4)
+    pairs = [p for p in near_pairs(rng, range(40, 161), [1, 2, 3, 4, 5, 6, 7, 8], 1600) if 0.8 <= p[0] < 0.9]
+    assert len(pairs) > 400 and sum(unbanded(spark, pairs)) <= 0.01 * len(pairs)
+
+
+def test_lines_exactly_as_brute_force(spark):
+    rng = random.Random(12)
+    pairs = near_pairs(rng, range(15, 60), [1, 2, 3], 60)
+    rows = [(2 * i + k, x) for i, p in enumerate(pairs) for k, x in enumerate(p[1:])]
+    got = {r["doc_id"]: r["first_doc"] for r in line_dedup.line_decisions(frame(spark, rows)).collect()}
+    assert got == {2 * i + k: 2 * i if p[0] >= 0.8 else 2 * i + k for i, p in enumerate(pairs) for k in (0, 1)}
+
+
 def check_packing(rows, capacity: int) -> int:
     by: dict = {}
     for r in rows:
