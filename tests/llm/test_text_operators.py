@@ -188,6 +188,20 @@ def test_lines_exactly_as_brute_force(spark):
     assert got == {2 * i + k: 2 * i if p[0] >= 0.8 else 2 * i + k for i, p in enumerate(pairs) for k in (0, 1)}
 
 
+def test_lines_of_repeated_units(spark):
+    """Lines with the same set of shingles are one component, however often they repeat it."""
+    rng = random.Random(6)
+    pairs = []
+    for short, long in [(6, 8), (6, 12), (10, 20)]:
+        pairs += [(1.0, x * short, x * long) for x in (prose(rng, 12) + " " for _ in range(40))]
+    for unit in ["-", "=", "+--", "| ", "ab", " . ", "<br>", "*-*-", "lorem ", "----+"]:
+        pairs += [(1.0, unit * m, unit * n) for m, n in ((30, 31), (70, 90), (64, 640))]
+    assert not any(unbanded(spark, pairs))
+    rows = [(2 * i + k, x) for i, p in enumerate(pairs[:120]) for k, x in enumerate(p[1:])]
+    got = {r["doc_id"]: r["first_doc"] for r in line_dedup.line_decisions(frame(spark, rows)).collect()}
+    assert got == {i: i - i % 2 for i in range(240)}
+
+
 def check_packing(rows, capacity: int) -> int:
     by: dict = {}
     for r in rows:
