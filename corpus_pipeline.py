@@ -17,8 +17,13 @@ from hexgale.session import configure, ensure_checkpoint_dir
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (no text or no letter) go; ``lang`` of the others becomes the predicted one."""
+    """Documents without a language (no text or no letter) go; ``lang`` of the others becomes the predicted one.
+
+    Where nothing could be learned, documents with a letter stay with the ``lang`` they have.
+    """
     model, langs = language.fit_language_model(docs)
+    if model is None:
+        return docs.where(F.col("text").rlike(r"\p{L}")).select(*docs.columns)
     named = language.label_rows(docs, model, langs)
     return named.where(F.col("lang_pred") != language.UNKNOWN).withColumn("lang", F.col("lang_pred")).select(*docs.columns)
 
@@ -29,10 +34,14 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays: five-word shingles, similarity 0.8 or more."""
-    decided = near_dedup.near_duplicates(docs, shingle=5)
-    gone = decided.where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near copies stays, the first by id: five-word shingles, similarity 0.8 or more.
+
+    A row number stands beside the id, so rows that share an id, or have none, are decided one by one.
+    """
+    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
+    decided = near_dedup.near_duplicates(numbered.select(F.struct("doc_id", "__row").alias("at"), "text"), shingle=5, doc_id="at")
+    gone = decided.where(~F.col("kept")).select(F.col("doc_id.__row").alias("__row"))
+    return numbered.join(gone, "__row", "left_anti").select(*docs.columns)
 
 
 def long_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

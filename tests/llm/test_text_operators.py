@@ -519,3 +519,18 @@ def test_pipeline_stages(spark, corpus, tmp_path):
             rows = sorted(before.items())
             size = {i: w[0] - w[1] for (i, _), w in zip(rows, removed([(t or "").encode() for _, t in rows], 200))}
             assert {i: len((t or "").encode()) for i, t in after.items()} == size  # the fixture is ASCII where it repeats
+
+
+def test_pipeline_keeps_texts_when_nothing_is_learned(spark):
+    rows = [(1, "some words"), (2, None), (3, "123 4"), (4, "\u4e2d\u6587"), (None, "\u00e9")]
+    docs = frame(spark, rows).withColumn("lang", F.lit(None).cast("string"))
+    assert {(r["doc_id"], r["text"]) for r in corpus_pipeline.identify(spark, docs, "").collect()} == {rows[0], rows[3], rows[4]}
+
+
+def test_pipeline_near_dedup_decides_rows(spark):
+    """Rows that repeat an id or have none: one row of each group stays, and no other text goes with it."""
+    rng = random.Random(9)
+    a, b, c, d = (prose(rng, 60) for _ in range(4))
+    rows = [(1, a), (2, a + " more"), (2, b), (3, c), (3, c), (3, c), (None, d), (None, d), (4, "")]
+    got = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.near(spark, frame(spark, rows), "").collect())
+    assert got == Counter([(1, a), (2, b), (3, c), (None, d), (4, "")])
