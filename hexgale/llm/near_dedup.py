@@ -109,9 +109,9 @@ _NODE = "node long, tree int, class_id long, n int, sketch binary"
 
 
 def agreement(percent: int) -> int:
-    """Tokens that have to agree: the similarity less 3.2 standard deviations of its estimate (1 in 1400 at the limit itself)."""
+    """Tokens that have to agree: the similarity less five standard deviations of its estimate."""
     p = percent / 100
-    return int(TOKENS * (p - 3.2 * (p * (1 - p) / TOKENS) ** 0.5))
+    return int(TOKENS * (p - 5 * (p * (1 - p) / TOKENS) ** 0.5))
 
 
 def _roots(classes: DataFrame) -> DataFrame:

@@ -534,3 +534,13 @@ def test_pipeline_near_dedup_decides_rows(spark):
     rows = [(1, a), (2, a + " more"), (2, b), (3, c), (3, c), (3, c), (None, d), (None, d), (4, "")]
     got = Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.near(spark, frame(spark, rows), "").collect())
     assert got == Counter([(1, a), (2, b), (3, c), (None, d), (4, "")])
+
+
+def test_near_prefilter_passes_pairs_at_the_limit():
+    """Pairs at exactly 0.8 with 45 shingles in all: the estimate lets every one through to the full sets."""
+    for seed in (5, 25, 36):  # with pairs whose estimates are far off
+        rng = np.random.default_rng(seed)
+        for _ in range(500):
+            union = np.unique(rng.integers(0, 1 << 63, 45, dtype=np.uint64))
+            a, b = near_dedup.minwise(union[:40]), near_dedup.minwise(np.concatenate([union[:36], union[40:]]))
+            assert np.sum(a == b) >= near_dedup.agreement(80)
