@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hexgale.llm import bpe, cover_tree, fingerprints, html, language, line_dedup, lm_score, near_dedup, packing, repeats, tokens
+from hexgale.llm import bpe, cover_tree, fingerprints, hamming_index, html, language, line_dedup, lm_score, merkle, near_dedup, packing, repeats, runs, tokens
 from hexgale.llm.common import table, tokenizer_path
 from hexgale.llm.sql import ORACLES  # noqa: F401  (read by the entry module)
 from hexgale.session import configure
@@ -54,6 +54,18 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.next_edit_likeness(table(spark, sf_dir, "documents"))
 
 
+def op11_hamming_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming_index.nearest_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_digests(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.tamper_check(table(spark, sf_dir, "documents"))
+
+
 _ALL = [
     op1_lm_score,
     op2_embedding_near_dedup,
@@ -65,6 +77,9 @@ _ALL = [
     op8_bpe,
     op9_language_id,
     op10_fingerprints,
+    op11_hamming_neighbours,
+    op12_periodic_runs,
+    op13_merkle_manifest,
 ]
 
 
