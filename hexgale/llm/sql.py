@@ -40,7 +40,7 @@ tab AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
 src AS (SELECT doc_id, coalesce('=' || lang, '') AS tree, n_chars,
                coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head,
                coalesce(strlen(text) || ':' || text, '-') AS tail,
-               xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), x -> ascii(x)::BIGINT)), (c, b) -> xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 7 = 0 AS bad
+               xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 7 = 0 AS bad
         FROM documents, tab),
 dig AS (SELECT doc_id, tree, sha256(head || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS d,
                sha256(head || coalesce(strlen((n_chars + CAST(coalesce(bad, false) AS INT))::VARCHAR) || ':' || (n_chars + CAST(coalesce(bad, false) AS INT)), '-') || tail) AS told FROM src),

@@ -214,7 +214,7 @@ def brute_manifest(rows: list[tuple]) -> list[tuple]:
     return out
 
 
-@pytest.mark.parametrize("sizes", [(1,), (2,), (3, 1), (17, 64, 65, 1, 2), (700, 5, 129)])
+@pytest.mark.parametrize("sizes", [(1,), (3, 1), (700, 64, 65, 1, 2)])
 def test_merkle(spark, sizes):
     """One hot language, languages of one row, odd sizes at every level, NULL anywhere, repeated rows."""
     rng = random.Random(sum(sizes))
