@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hexgale.functions.columns import first_numeric, harmonise, to_day, to_number
 from hexgale.functions.scalar import cap_positive_at_zero, encoder_json
-from hexgale.operators.ordered import MAX_GROUP, ordinal_index, quantiles
+from hexgale.operators.ordered import MAX_GROUP, column_quantiles, ordinal_index, quantiles
 from hexgale.session import cut_lineage
 
 SMOOTH_K = 50.0
@@ -74,25 +74,20 @@ def oof_target_encoding(
     return work.join(table, ["_cat", fold]).drop("_cat")
 
 
-def median_impute(
-    df: DataFrame, columns: Sequence[str], reference: DataFrame | None = None, *, max_group: int = MAX_GROUP
-) -> DataFrame:
+def median_impute(df: DataFrame, columns: Sequence[str], reference: DataFrame | None = None) -> DataFrame:
     """Missing numbers become the column median, 0 for a column without values.
 
-    ``reference`` supplies the medians (the training rows when a holdout is filled). All medians come
-    from one long table.
+    ``reference`` supplies the medians (the training rows when a holdout is filled).
     """
-    medians = column_medians(df if reference is None else reference, columns, max_group=max_group)
+    medians = column_medians(df if reference is None else reference, columns)
     return df.withColumns({c: F.coalesce(to_number(F.col(c)), F.lit(medians[c])) for c in columns})
 
 
-def column_medians(df: DataFrame, columns: Sequence[str], *, max_group: int = MAX_GROUP) -> dict[str, float]:
+def column_medians(df: DataFrame, columns: Sequence[str]) -> dict[str, float]:
     """Median per column, 0 without values. One number per column reaches the driver: they are model
     parameters that training, holdout and scoring rows are all filled with."""
-    options = [F.struct(F.lit(c).alias("c"), to_number(F.col(c)).alias("v")) for c in columns]
-    long = df.select(F.explode(F.array(*options)).alias("s")).select("s.c", "s.v")
-    found = {r["c"]: r["m"] for r in quantiles(long, ["c"], "v", {"m": 0.5}, max_group=max_group).collect()}
-    return {c: float(found[c]) if found.get(c) is not None else 0.0 for c in columns}
+    found = column_quantiles(df.select(*[to_number(F.col(c)).alias(c) for c in columns]), columns, {"m": 0.5})
+    return {c: found[c]["m"] if found[c]["m"] is not None else 0.0 for c in columns}
 
 
 def interactions(df: DataFrame) -> DataFrame:
@@ -145,7 +140,7 @@ def locked_table(
     # Folds by hash of the id: nothing to sort, the same on every partitioning, labels balanced in number.
     out = out.withColumn("_fold", F.pmod(F.xxhash64("sample_id", F.lit(42)), F.lit(folds)).cast("int"))
     out = oof_target_encoding(out, "landcover", "label", "_fold", name="landcover_enc")
-    out = median_impute(cut_lineage(out), NUMERIC_FEATURES, max_group=max_group)
+    out = median_impute(cut_lineage(out), NUMERIC_FEATURES)
     return out.select(
         *[F.col(c).cast(t).alias(c) for c, t in ID_COLUMNS.items()],
         *[F.col(c).cast("double").alias(c) for c in NUMERIC_FEATURES],

@@ -116,7 +116,7 @@ def shift_weights(
     both = unlabelled.select(key, *features, F.lit(0).alias("_dom")).unionByName(
         holdout.select(key, *features, F.lit(1).alias("_dom"))
     )
-    both = cut_lineage(median_impute(both, features, max_group=max_group))
+    both = cut_lineage(median_impute(both, features))
     common = {"featuresCol": "_features", "labelCol": "_dom", "predictionCol": "_pred"}
     if boosted:
         stage = GBTClassifier(maxIter=rounds, stepSize=0.05, maxDepth=5, subsamplingRate=0.8, seed=seed, **common)
@@ -257,7 +257,7 @@ def run_families(
     inside, holdout = flagged.where(~F.col("_hold")).drop("_hold"), flagged.where("_hold").drop("_hold")
     has_holdout = holdout_bbox is not None and not holdout.isEmpty()
 
-    medians = column_medians(inside, every, max_group=max_group)
+    medians = column_medians(inside, every)
     eligible = structurally_valid() & (gate if gate is not None else F.lit(True))
     inside = inside.withColumn("_elig", eligible)
 
@@ -347,7 +347,7 @@ def score_cells(
         {"gust_peak_speed": F.col(value).cast("double"), "gust_peak_percentile": F.col("avg_rank") / F.col("avg_rank_n") * 100.0}
     )
     features = FAMILIES["wind"]
-    medians = column_medians(ranked, features, max_group=max_group)
+    medians = column_medians(ranked, features)
     ready = ranked.withColumns({c: F.coalesce(F.col(c), F.lit(medians[c])) for c in features})
     return score(model, ready, name).drop("avg_rank", "avg_rank_n")
 

@@ -20,6 +20,7 @@ checkpointed when they come out of a join or an aggregation.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -259,6 +260,141 @@ def average_rank(
     return out if keys else out.drop(_ALL)
 
 
+#: Size of a column's quantile sketch (its rank error is about 2 / size), how far around a wanted rank brackets reach,
+#: and values of a column that may be gathered inside a bracket.
+COLUMN_SKETCH, MARGIN, INSIDE = 8192, 0.001, 50_000
+#: Parts a bracket is cut into when it holds too many values.
+_CUT = 64
+
+
+class _ColumnSelect:
+    """Selection of ranks in many columns at once; see :func:`column_quantiles`."""
+
+    def __init__(self, df: DataFrame, columns: Sequence[str], inside: int, margin: float):
+        self.inside, self.margin = inside, margin
+        self.values = df.select(*[F.when(finite(c), F.col(c).cast("double")).alias(f"_v{i}") for i, c in enumerate(columns)])
+        self.names = [f"_v{i}" for i in range(len(columns))]
+
+    def sketched(self, counts: list[Column], inputs: dict[str, Column], shares: list[float]):
+        """Summed counts, and for each input the quantiles of its sketch; sketches are merged in two steps."""
+        parts = self.values.withColumn("_part", F.spark_partition_id() % 64).groupBy("_part")
+        parts = parts.agg(*counts, *[F.kll_sketch_agg_double(x, F.lit(COLUMN_SKETCH)).alias(f"{n}_s") for n, x in inputs.items()])
+        summed = [c for c in parts.columns if c != "_part" and not c.endswith("_s")]
+        merged = [F.kll_merge_agg_double(f"{n}_s").alias(f"{n}_s") for n in inputs]
+        whole = parts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in summed], *merged)
+        cuts = F.array(*[F.lit(float(q)) for q in shares])
+        has = {n: F.kll_sketch_get_n_double(f"{n}_s") > 0 for n in inputs}
+        return whole.select(*summed, *[F.when(has[n], F.kll_sketch_get_quantile_double(f"{n}_s", cuts)).alias(f"{n}_q") for n in inputs]).first()
+
+    def brackets(self, left: dict) -> tuple[dict, list[Column], dict[str, Column]]:
+        """A tag per distinct bracket, counts of the rows below, at the ends and inside, and the values inside."""
+        tags = {b: f"_k{i}" for i, b in enumerate(dict.fromkeys((v, low, high) for (v, _), (low, high, _) in left.items()))}
+        counts, inputs = [], {}
+        for (v, low, high), tag in tags.items():
+            x, within, none = F.col(v), F.col(v).isNotNull(), F.lit(0).cast("long")
+            if low is not None:
+                within = within & (x > F.lit(low))
+            if high is not None:
+                within = within & (x < F.lit(high))
+            counts += [
+                (none if low is None else F.count_if(x < F.lit(low))).alias(f"{tag}_below"),
+                (none if low is None else F.count_if(x == F.lit(low))).alias(f"{tag}_low"),
+                F.count_if(within).alias(f"{tag}_in"),
+                (none if high is None or high == low else F.count_if(x == F.lit(high))).alias(f"{tag}_high"),
+            ]
+            inputs[tag] = F.when(within, x)
+        return tags, counts, inputs
+
+    def narrowed(self, left: dict) -> dict:
+        """Smaller brackets around the same ranks, between quantiles of the values inside."""
+        tags, counts, inputs = self.brackets(left)
+        seen = self.sketched(counts, inputs, [i / _CUT for i in range(1, _CUT)])
+        out = {}
+        for (v, rank), (low, high, _) in left.items():
+            tag = tags[v, low, high]
+            n = seen[f"{tag}_in"]
+            at = (rank - seen[f"{tag}_below"] - seen[f"{tag}_low"]) / max(n, 1) * _CUT
+            if n <= self.inside or not 0 <= at <= _CUT:
+                out[v, rank] = (low, high, min(n, self.inside))
+            else:
+                cuts = [low, *seen[f"{tag}_q"], high]
+                first, last = max(0, math.floor(at - 1)), min(_CUT, math.ceil(at + 1))
+                out[v, rank] = (cuts[first], cuts[last], math.ceil(n * (last - first + 1) / _CUT))
+        return out
+
+    def gathered(self, left: dict) -> tuple[dict, dict]:
+        """Values found at ranks, and brackets on the side where a rank was missed."""
+        tags, counts, inputs = self.brackets(left)
+        lists = [F.sort_array(F.collect_list(x)).alias(f"{t}_x") for t, x in inputs.items()]
+        picks = []
+        for i, ((v, rank), (low, high, _)) in enumerate(left.items()):
+            tag = tags[v, low, high]
+            place = (F.lit(rank) - F.col(f"{tag}_below") - F.col(f"{tag}_low")).cast("int")
+            picks.append(F.when((place >= 0) & (place < F.col(f"{tag}_in")), F.get(f"{tag}_x", place)).alias(f"_p{i}"))
+        kinds = ("below", "low", "in", "high")
+        got = self.values.agg(*counts, *lists).select(*[f"{t}_{k}" for t in tags.values() for k in kinds], *picks).first()
+        found, missed = {}, {}
+        for i, ((v, rank), (low, high, _)) in enumerate(left.items()):
+            below, at_low, n, at_high = (got[f"{tags[v, low, high]}_{k}"] for k in kinds)
+            after = rank - below
+            if after < 0:
+                missed[v, rank] = (None, low, below)
+            elif after < at_low:
+                found[v, rank] = low
+            elif after < at_low + n:
+                found[v, rank] = got[f"_p{i}"]
+            elif after < at_low + n + at_high:
+                found[v, rank] = high
+            else:
+                missed[v, rank] = (high, None, rank + self.inside + 1)
+        return found, missed
+
+
+def column_quantiles(
+    df: DataFrame, columns: Sequence[str], probs: Mapping[str, float], *, inside: int = INSIDE, margin: float = MARGIN
+) -> dict[str, dict[str, float | None]]:
+    """Exact linear-interpolation quantiles of several columns over all rows (B12, D13, L5); None without values.
+
+    No explode, sort or shuffle of rows. A first pass keeps one mergeable sketch per column, all side by side.
+    They give a bracket of values around each wanted rank. A second pass counts the rows below each bracket and
+    at its ends, so equal values, however many, are only counted, and gathers the values strictly inside.
+    Brackets that hold more than ``inside`` values are narrowed first by sketches of their own values, and a
+    bracket that missed its rank gives way to the side it missed. Counts make every result exact, whatever
+    sketches said. The driver receives a few numbers per column.
+    """
+    columns = list(dict.fromkeys(columns))
+    select = _ColumnSelect(df, columns, inside, margin)
+    shares = [float(q) for q in probs.values()]
+    around = [min(1.0, max(0.0, q + side * margin)) for q in shares for side in (-1, 1)]
+    first = select.sketched([F.count(v).alias(f"{v}_n") for v in select.names], {v: F.col(v) for v in select.names}, around)
+    left, found = {}, {}
+    for v in select.names:
+        n = first[f"{v}_n"]
+        for i, q in enumerate(shares):
+            for rank in {math.floor(q * (n - 1)), math.ceil(q * (n - 1))} if n else ():
+                if n <= inside:
+                    left[v, rank] = (None, None, n)
+                else:
+                    low = first[f"{v}_q"][2 * i] if around[2 * i] > 0 else None
+                    high = first[f"{v}_q"][2 * i + 1] if around[2 * i + 1] < 1 else None
+                    left[v, rank] = (low, high, math.ceil(4 * margin * n))
+    while left:
+        while wide := {k: b for k, b in left.items() if b[2] > inside}:
+            left |= select.narrowed(wide)
+        more, left = select.gathered(left)
+        found |= more
+
+    def between(v: str, q: float) -> float | None:
+        n = first[f"{v}_n"]
+        if not n:
+            return None
+        position = q * (n - 1)
+        low, high = found[v, math.floor(position)], found[v, math.ceil(position)]
+        return low + (high - low) * (position - math.floor(position))
+
+    return {c: {name: between(v, q) for name, q in probs.items()} for c, v in zip(columns, select.names)}
+
+
 def quantiles(
     df: DataFrame,
     keys: Sequence[str],
@@ -269,10 +405,14 @@ def quantiles(
 ) -> DataFrame:
     """Exact linear-interpolation quantiles per group, one column per entry of ``probs``.
 
-    Large groups: count per value bucket, keep only the buckets that hold a wanted rank, then rank the
+    Without keys these are :func:`column_quantiles` of the whole table. Large groups: count per value bucket, keep only the buckets that hold a wanted rank, then rank the
     distinct values in those buckets. No full sort and no full shuffle of a large group.
     """
-    df, ks = _keyed(df, keys)
+    if not keys:
+        found = column_quantiles(df, [value], probs)[value]
+        one = df.sparkSession.range(1).select(*[F.lit(found[n]).cast("double").alias(n) for n in probs])
+        return one.where(F.lit(None not in found.values()))
+    ks = list(keys)
     vals = df.select(*ks, F.col(value).cast("double").alias("_v")).where(finite("_v"))
     small, big = split_by_size(vals, ks, "_v", max_group)
     names = list(probs)
@@ -281,7 +421,7 @@ def quantiles(
         *ks, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)]
     )
     if big is None:
-        return small_out if keys else small_out.drop(_ALL)
+        return small_out
 
     tagged = big.withColumn(_B, _bucket("_v"))
     counts = tagged.groupBy(*ks, _B).agg(F.count(F.lit(1)).alias("_c"), F.first(_N).alias(_N))
@@ -320,8 +460,7 @@ def quantiles(
             for i, (n, q) in enumerate(zip(names, qs))
         ],
     )
-    out = small_out.unionByName(big_out)
-    return out if keys else out.drop(_ALL)
+    return small_out.unionByName(big_out)
 
 
 def scalar_quantile(df: DataFrame, value: str | Column, q: float, *, max_group: int = MAX_GROUP) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hexgale.functions.scalar import MONTHS, circular_month_distance, clip, month_name
-from hexgale.operators.ordered import MAX_GROUP, finite, quantiles, settle
+from hexgale.operators.ordered import MAX_GROUP, column_quantiles, finite, quantiles, settle
 
 
 def dense_grid(df: DataFrame, keys: Sequence[str], axis: str, values: Sequence[int], fill: Sequence[str]) -> DataFrame:
@@ -197,19 +197,25 @@ def temporal_from_months(monthly: DataFrame, cell: str, value: str, prefix: str)
     )
 
 
-def metric_summary(df: DataFrame, metrics: Sequence[str], *, max_group: int = MAX_GROUP) -> DataFrame:
-    """n, mean, sd, five percentiles, minimum and maximum of several columns."""
-    long = df.select(
-        F.explode(
-            F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics])
-        ).alias("_m")
-    ).select("_m.metric", "_m.v").where(F.col("v").isNotNull())
-    base = long.groupBy("metric").agg(
-        F.count("v").alias("n"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("sd"),
-        F.min("v").alias("min"), F.max("v").alias("max"),
-    )
+def metric_summary(df: DataFrame, metrics: Sequence[str]) -> DataFrame:
+    """n, mean, sd, five percentiles, minimum and maximum of several columns.
+
+    Columns are summarised side by side in one row, which is then turned.
+    """
     probs = {"p05": 0.05, "p25": 0.25, "median": 0.5, "p75": 0.75, "p95": 0.95}
-    return base.join(quantiles(long, ["metric"], "v", probs, max_group=max_group), "metric")
+    values = {m: F.col(m).cast("double") for m in metrics}
+    quantile = column_quantiles(df, metrics, probs)
+    plain = {"n": F.count, "mean": F.avg, "sd": F.stddev_samp, "min": F.min, "max": F.max}
+    wide = df.agg(*[f(v).alias(f"{m}_{k}") for m, v in values.items() for k, f in plain.items()])
+    rows = [
+        F.struct(
+            F.lit(m).alias("metric"),
+            *[F.col(f"{m}_{k}").alias(k) for k in plain],
+            *[F.lit(quantile[m][p]).cast("double").alias(p) for p in probs],
+        )
+        for m in metrics
+    ]
+    return wide.select(F.explode(F.array(*rows)).alias("_m")).select("_m.*").where(F.col("n") > 0)
 
 
 def category_frequency(df: DataFrame, column: str, domain: Sequence[int] = MONTHS) -> DataFrame:

@@ -167,3 +167,25 @@ def test_large_groups_spread_over_buckets(spark, kind):
     want = {r["x"]: r["row_index"] for r in o.row_index(df, ["k"], "x", max_group=10**9).where("x <> 1.0").collect()}
     assert got.keys() == want.keys() or kind == "nan"
     assert sorted(got.values()) == sorted(want.values())
+
+
+@pytest.mark.parametrize(("inside", "margin"), [(50_000, 0.001), (40, 0.01), (3, 0.0)])
+def test_column_quantiles(spark, inside, margin):
+    """Hot values, heavy tails, missing columns; brackets that are too wide or miss their rank change nothing."""
+    rng = np.random.default_rng(9)
+    n = 3000
+    hot = np.where(rng.random(n) < 0.6, 7.0, rng.normal(size=n))
+    frame = pd.DataFrame({"a": rng.normal(size=n), "b": hot, "c": np.exp(8 * rng.normal(size=n)), "d": rng.integers(0, 5, n).astype(float), "e": np.nan, "f": np.nan})
+    frame.loc[::3, "a"] = np.nan
+    frame.loc[7, "c"] = np.inf
+    frame.loc[11, "f"] = 2.5
+    probs = {"lo": 0.0, "p01": 0.01, "q1": 0.25, "m": 0.5, "q9": 0.9, "p99": 0.99, "hi": 1.0}
+    df = spark.createDataFrame(frame).repartition(5)
+    got = o.column_quantiles(df, list(frame.columns), probs, inside=inside, margin=margin)
+    for c in frame.columns:
+        x = frame[c].to_numpy()
+        x = x[np.isfinite(x)]
+        for name, q in probs.items():
+            assert got[c][name] == (pytest.approx(float(np.quantile(x, q)), rel=1e-12) if len(x) else None)
+    assert o.quantiles(df, [], "e", {"m": 0.5}).count() == 0
+    assert o.column_quantiles(df.limit(0), ["a"], {"m": 0.5}) == {"a": {"m": None}}
