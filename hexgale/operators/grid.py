@@ -184,6 +184,49 @@ def block_average(
     return inside.groupBy(*keys, "row", "col").agg(share.alias("fraction")).where(F.col("fraction") >= minimum)
 
 
+def axis_overlaps(spark, count: int, start: float, step: float, to_count: int, to_start: float, to_step: float) -> DataFrame:
+    """(at, to, length): how much of each source interval along an axis lies in each target interval.
+
+    Source intervals run from ``start`` in steps of ``step``; a source interval meets a run of consecutive targets.
+    Overlaps that are only rounding of touching edges do not count.
+    """
+    low = F.lit(start) + F.col("at") * F.lit(step)
+    high = F.lit(start) + (F.col("at") + 1) * F.lit(step)
+    first = F.greatest(F.floor((low - F.lit(to_start)) / F.lit(to_step)).cast("int"), F.lit(0))
+    last = F.least(F.floor((high - F.lit(to_start)) / F.lit(to_step)).cast("int"), F.lit(to_count - 1))
+    runs = spark.range(count).select(F.col("id").cast("int").alias("at")).where(first <= last)
+    to_low = F.lit(to_start) + F.col("to") * F.lit(to_step)
+    to_high = F.lit(to_start) + (F.col("to") + 1) * F.lit(to_step)
+    length = F.least(high, to_high) - F.greatest(low, to_low)
+    return runs.withColumn("to", F.explode(F.sequence(first, last))).withColumn("length", length).where(F.col("length") > F.lit(1e-9 * min(step, to_step)))
+
+
+def area_average(
+    pixels: DataFrame, fine: Raster, coarse: Raster, value: str, *, minimum: float | None = None, keys: Sequence[str] = (),
+    row: str = "row", col: str = "col",
+) -> DataFrame:
+    """Average of fine pixels in each coarse cell, weighted by the area they share, clipped to 0-1 (I4).
+
+    Grids need not nest. The weight of a pixel is the product of its overlaps along the two axes, so the regrid goes
+    along one axis and then along the other: each step joins a table of one axis and adds up before the next shuffle.
+    Missing pixels have no weight; ``minimum`` keeps cells at or above a share.
+    """
+    spark = pixels.sparkSession
+    across = axis_overlaps(spark, fine.cols, fine.x0, fine.dx, coarse.cols, coarse.x0, coarse.dx)
+    # Rows run downwards: measured from the top of the coarse grid.
+    down = axis_overlaps(spark, fine.rows, coarse.y0 - fine.y0, fine.dy, coarse.rows, 0.0, coarse.dy)
+    known = pixels.select(*keys, F.col(row).alias("_r"), F.col(col).alias("_c"), F.col(value).cast("double").alias("_v"))
+    known = known.where(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    x = across.select(F.col("at").alias("_c"), F.col("to").alias("col"), F.col("length").alias("_x"))
+    y = down.select(F.col("at").alias("_r"), F.col("to").alias("row"), F.col("length").alias("_y"))
+    strips = known.join(x, "_c").groupBy(*keys, "_r", "col").agg(F.sum(F.col("_x") * F.col("_v")).alias("_s"), F.sum("_x").alias("_w"))
+    cells = strips.join(y, "_r").groupBy(*keys, "row", "col").agg(
+        (F.sum(F.col("_y") * F.col("_s")) / F.sum(F.col("_y") * F.col("_w"))).alias("_m")
+    )
+    out = cells.select(*keys, "row", "col", F.greatest(F.least("_m", F.lit(1.0)), F.lit(0.0)).alias("fraction"))
+    return out if minimum is None else out.where(F.col("fraction") >= minimum)
+
+
 def bilinear(targets: DataFrame, raster: DataFrame, shape: Raster, key: str, x: str, y: str, value: str) -> DataFrame:
     """Bilinear value at target nodes from the four surrounding pixel centres with data."""
     fx = (F.col(x) - F.lit(shape.x0)) / F.lit(shape.dx) - F.lit(0.5)

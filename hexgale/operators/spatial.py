@@ -1,139 +1,27 @@
-"""Nearest neighbours, point in polygon, rasterising and polygon measures."""
+"""Neighbours of events, point in polygon, rasterising and polygon measures."""
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hexgale.functions.scalar import EARTH_RADIUS_KM
+from hexgale.operators import tiles
+from hexgale.operators.neighbours import nearest
 from hexgale.operators.ordered import MAX_GROUP, quantiles
-from hexgale.session import cut_lineage
 
 DISTANCE_BINS_KM = [1.0, 5.0, 20.0]
 
 
-def nearest(
-    points: DataFrame,
-    targets: DataFrame,
-    *,
-    point: str,
-    target: str,
-    coords: Sequence[str],
-    keys: Sequence[str] = (),
-    size: float,
-    growth: int = 4,
-    within: float | None = None,
-    other: bool = False,
-) -> DataFrame:
-    """Nearest target of each point in Euclidean distance, lower id first at equal distance.
-
-    Branch and bound over nested grids instead of pairs. Targets with the same coordinates collapse to
-    one row. Starting from one cell over everything, each level replaces the cells a point still
-    considers by their occupied sub-cells, takes the distance to one representative per sub-cell as an
-    upper bound and drops sub-cells that lie farther away. Each step is an equi join on cells, so a
-    dense area is split as finely as ``size`` says and a point only ever meets the targets of the
-    finest cells that can hold its neighbour.
-
-    ``within`` drops points without a target that close. ``other=True`` searches among the points of the
-    same table for another point (C9): a copy at the same place is at distance 0.
-    """
-    ks, dims = list(keys), list(coords)
-    distinct = cut_lineage(
-        targets.where(F.lit(True) if not dims else _known(dims))
-        .groupBy(*ks, *dims)
-        .agg(F.min(target).alias("_tid"), F.count(F.lit(1)).alias("_copies"))
-    )
-    ends = distinct.agg(*[f(c).alias(f"{n}_{c}") for c in dims for n, f in (("lo", F.min), ("hi", F.max))]).first()
-    if ends[0] is None:
-        return points.select(point, F.lit(None).cast("double").alias("distance"), F.lit(None).cast("long").alias("target")).limit(0)
-    origin = {c: ends[f"lo_{c}"] for c in dims}
-    extent = max(max(ends[f"hi_{c}"] - ends[f"lo_{c}"] for c in dims), size)
-    levels = max(1, math.ceil(math.log(extent / size * 1.0001, growth)))
-
-    def cell(c: str, level: int) -> Column:
-        return F.floor((F.col(c) - F.lit(origin[c])) / F.lit(size * growth**level)).cast("long")
-
-    finest = distinct.withColumns({f"_c_{c}": cell(c, 0) for c in dims})
-    occupied: list[DataFrame] = []
-    cells = finest.groupBy(*ks, *[f"_c_{c}" for c in dims]).agg(
-        F.min(F.struct(F.col("_tid").alias("t"), *dims)).alias("_rep"), F.count(F.lit(1)).alias("_cnt")
-    )
-    for level in range(levels):
-        cells = cut_lineage(cells)
-        occupied.append(cells)
-        if level < levels - 1:
-            up = [F.floor(F.col(f"_c_{c}") / F.lit(growth)).cast("long").alias(f"_c_{c}") for c in dims]
-            cells = cells.groupBy(*ks, *up).agg(F.min("_rep").alias("_rep"), F.sum("_cnt").alias("_cnt"))
-
-    def square(terms: list[Column]) -> Column:
-        return sum((t * t for t in terms[1:]), terms[0] * terms[0])
-
-    frontier = points.where(_known(dims)).select(point, *ks, *[F.col(c).alias(f"_p_{c}") for c in dims])
-    for level in range(levels - 1, -1, -1):
-        step = size * growth**level
-        sub = occupied[level]
-        if level == levels - 1:
-            # A handful of top cells per key: every point starts with those of its key.
-            parent = [F.lit(0).alias(f"_c_{c}") for c in dims]
-            frontier = frontier.select("*", *parent)
-            on = [*ks, *[f"_u_{c}" for c in dims]]
-            sub = sub.withColumns({f"_u_{c}": F.lit(0) for c in dims})
-            if not ks:
-                # At most (growth + 1) ** dimensions cells.
-                sub = F.broadcast(sub)
-        else:
-            on = [*ks, *[f"_u_{c}" for c in dims]]
-            sub = sub.withColumns({f"_u_{c}": F.floor(F.col(f"_c_{c}") / F.lit(growth)).cast("long") for c in dims})
-        frontier = frontier.select(
-            point, *ks, *[f"_p_{c}" for c in dims], *[F.col(f"_c_{c}").alias(f"_u_{c}") for c in dims]
-        )
-        joined = frontier.join(sub, on).drop(*[f"_u_{c}" for c in dims])
-        low = {c: F.lit(origin[c]) + F.col(f"_c_{c}") * F.lit(step) for c in dims}
-        rep = square([F.col(f"_p_{c}") - F.col(f"_rep.{c}") for c in dims])
-        gap = square(
-            [F.greatest(low[c] - F.col(f"_p_{c}"), F.col(f"_p_{c}") - low[c] - F.lit(step), F.lit(0.0)) for c in dims]
-        )
-        bound = rep
-        if other:
-            far = square(
-                [F.greatest(F.abs(F.col(f"_p_{c}") - low[c]), F.abs(low[c] + F.lit(step) - F.col(f"_p_{c}"))) for c in dims]
-            )
-            # The representative may be the point itself, which says nothing unless the cell holds more.
-            bound = F.when(rep > 0, rep).when(F.col("_cnt") > 1, far)
-        best = F.min(bound).over(Window.partitionBy(point))  # a few cells per point
-        tolerance = F.lit(1e-9 * size * size)
-        keep = F.col("_best").isNull() | (F.col("_gap") <= F.col("_best") * F.lit(1 + 1e-9) + tolerance)
-        if within is not None:
-            keep = keep & (F.col("_gap") <= F.lit(within * within * (1 + 1e-9)))
-        frontier = joined.withColumns({"_gap": gap, "_best": best}).where(keep)
-    frontier = frontier.select(point, *ks, *[f"_p_{c}" for c in dims], *[f"_c_{c}" for c in dims])
-    pairs = frontier.join(finest, [*ks, *[f"_c_{c}" for c in dims]])
-    d2 = square([F.col(f"_p_{c}") - F.col(c) for c in dims])
-    pairs = pairs.withColumn("_d2", d2)
-    if other:
-        pairs = pairs.where((F.col("_d2") > 0) | (F.col("_copies") > 1))
-    out = pairs.groupBy(point).agg(F.min(F.struct("_d2", "_tid")).alias("_m"))
-    out = out.select(point, F.sqrt("_m._d2").alias("distance"), F.col("_m._tid").alias("target"))
-    return out if within is None else out.where(F.col("distance") <= within)
-
-
-def _known(columns: Sequence[str]) -> Column:
-    ok = F.lit(True)
-    for c in columns:
-        ok = ok & F.col(c).isNotNull() & ~F.isnan(c)
-    return ok
-
-
 def nearest_event(
-    points: DataFrame, events: DataFrame, *, point: str, event: str, x: str, y: str, attributes: Sequence[str], size: float
+    points: DataFrame, events: DataFrame, *, point: str, event: str, x: str, y: str, attributes: Sequence[str]
 ) -> DataFrame:
-    """Nearest event of each point with its distance in km and attributes."""
-    found = nearest(points, events, point=point, target=event, coords=[x, y], size=size)
+    """Nearest event of each point with its distance in km and attributes (C8); points without coordinates keep NULLs."""
+    found = nearest(points, events, point=point, target=event, coords=[x, y])
     named = found.withColumnRenamed("target", event).withColumn("ref_event_dist_km", F.col("distance") / 1000.0)
-    return named.drop("distance").join(events.select(event, *attributes), event)
+    return named.drop("distance").join(events.select(event, *attributes), event, "left")
 
 
 def distance_bin(
@@ -143,9 +31,7 @@ def distance_bin(
 
     Only distances up to the last finite edge matter, so the search stops there.
     """
-    found = nearest(
-        cells, positives, point=cell, target=positive, coords=[x, y], size=bins_km[0] * 1000.0, within=bins_km[-1] * 1000.0
-    )
+    found = nearest(cells, positives, point=cell, target=positive, coords=[x, y], within=bins_km[-1] * 1000.0)
     km = F.col("distance") / 1000.0
     number = F.lit(len(bins_km) + 1)
     for i in range(len(bins_km) - 1, -1, -1):
@@ -160,12 +46,10 @@ def with_sphere(df: DataFrame, lon: str = "lon", lat: str = "lat") -> DataFrame:
     return df.withColumns({"_sx": F.cos(la) * F.cos(lo), "_sy": F.cos(la) * F.sin(lo), "_sz": F.sin(la)})
 
 
-def neighbour_km(df: DataFrame, *, key: str, group: str, lon: str = "lon", lat: str = "lat", size_km: float = 10.0) -> DataFrame:
-    """Great-circle distance of each point to the nearest other point of its group."""
+def neighbour_km(df: DataFrame, *, key: str, group: str, lon: str = "lon", lat: str = "lat") -> DataFrame:
+    """Great-circle distance of each point to the nearest other point of its group (C9), NULL where there is none."""
     pts = with_sphere(df, lon, lat)
-    found = nearest(
-        pts, pts, point=key, target=key, coords=["_sx", "_sy", "_sz"], keys=[group], size=size_km / EARTH_RADIUS_KM, other=True
-    )
+    found = nearest(pts, pts, point=key, target=key, coords=["_sx", "_sy", "_sz"], keys=[group], other=True)
     chord = F.least(F.col("distance") / 2.0, F.lit(1.0))
     return found.select(key, (F.lit(2.0 * EARTH_RADIUS_KM) * F.asin(chord)).alias("nearest_km"))
 
@@ -220,42 +104,11 @@ def bounds(polygons: DataFrame, ring: str = "ring") -> DataFrame:
     )
 
 
-def _tile(c: Column, size: float) -> Column:
-    return F.floor(c / F.lit(size)).cast("long")
-
-
 def point_in_polygon(
-    points: DataFrame, polygons: DataFrame, *, point: str, polygon: str, x: str, y: str, size: float, ring: str = "ring"
+    points: DataFrame, polygons: DataFrame, *, point: str, polygon: str, x: str, y: str, ring: str = "ring"
 ) -> DataFrame:
-    """(point, polygon) rows for points inside by the crossing rule over all rings of a polygon id.
-
-    Polygons are tiled by bounding box and their edges by horizontal band. A point meets only polygons
-    of its tile, and of those only the edges of its band; crossings are counted by an aggregate.
-    """
-    boxes = bounds(polygons, ring).groupBy(polygon).agg(
-        F.min("xmin").alias("xmin"), F.max("xmax").alias("xmax"), F.min("ymin").alias("ymin"), F.max("ymax").alias("ymax")
-    )
-    tiles = boxes.withColumn("_tx", F.explode(F.sequence(_tile(F.col("xmin"), size), _tile(F.col("xmax"), size)))).withColumn(
-        "_ty", F.explode(F.sequence(_tile(F.col("ymin"), size), _tile(F.col("ymax"), size)))
-    )
-    px, py = F.col("_x"), F.col("_y")
-    located = points.select(point, F.col(x).alias("_x"), F.col(y).alias("_y")).withColumns(
-        {"_tx": _tile(px, size), "_ty": _tile(py, size)}
-    )
-    candidates = located.join(tiles, ["_tx", "_ty"]).where(
-        px.between(F.col("xmin"), F.col("xmax")) & py.between(F.col("ymin"), F.col("ymax"))
-    ).select(point, polygon, "_x", "_y", "_ty")
-    lines = edges(polygons, polygon, ring).where(F.col("y1") != F.col("y2"))
-    banded = lines.withColumn(
-        "_ty",
-        F.explode(F.sequence(_tile(F.least("y1", "y2"), size), _tile(F.greatest("y1", "y2"), size))),
-    )
-    spans = (F.col("y1") > py) != (F.col("y2") > py)
-    at = (F.col("x2") - F.col("x1")) * F.try_divide(py - F.col("y1"), F.col("y2") - F.col("y1")) + F.col("x1")
-    crossing = candidates.join(banded, [polygon, "_ty"]).where(spans & (px < at))
-    return (
-        crossing.groupBy(point, polygon).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") % 2 == 1).select(point, polygon)
-    )
+    """(point, polygon) rows for points inside by the crossing rule over all rings of a polygon id."""
+    return tiles.point_in_polygon(points, edges(polygons, polygon, ring), point=point, polygon=polygon, x=x, y=y)
 
 
 def inside_any(points: DataFrame, polygons: DataFrame, **kw) -> DataFrame:
@@ -284,7 +137,7 @@ def touched_cells(polygons: DataFrame, polygon: str, shape, ring: str = "ring")
 
 
 def rasterize(
-    polygons: DataFrame, shape, *, polygon: str, order: str, burn: str, size: float, all_touched: bool = False, ring: str = "ring"
+    polygons: DataFrame, shape, *, polygon: str, order: str, burn: str, all_touched: bool = False, ring: str = "ring"
 ) -> DataFrame:
     """Cells covered by polygons with the burn value of the last polygon in ``order``.
 
@@ -303,7 +156,7 @@ def rasterize(
         .distinct()
         .withColumns({"_cell": F.struct("row", "col"), "_cx": shape.centre_x(F.col("col")), "_cy": shape.centre_y(F.col("row"))})
     )
-    hits = point_in_polygon(cells, polygons, point="_cell", polygon=polygon, x="_cx", y="_cy", size=size, ring=ring).select(
+    hits = point_in_polygon(cells, polygons, point="_cell", polygon=polygon, x="_cx", y="_cy", ring=ring).select(
         polygon, "_cell.row", "_cell.col"
     )
     if all_touched:
@@ -343,23 +196,6 @@ def keep_parts(polygons: DataFrame, polygon: str, part: str, minimum: float, rin
     return polygons.join(areas.where(F.col("part_area") >= minimum), [polygon, part])
 
 
-def boxes_overlap(left: DataFrame, right: DataFrame, *, left_key: str, right_key: str, size: float) -> DataFrame:
-    """Pairs of boxes that intersect (C16): tiles as join key, each pair reported in one tile only."""
-
-    def tiled(df: DataFrame, key: str, p: str) -> DataFrame:
-        out = df.select(key, *[F.col(c).alias(f"{p}{c}") for c in ("xmin", "xmax", "ymin", "ymax")])
-        out = out.withColumn("_tx", F.explode(F.sequence(_tile(F.col(f"{p}xmin"), size), _tile(F.col(f"{p}xmax"), size))))
-        return out.withColumn("_ty", F.explode(F.sequence(_tile(F.col(f"{p}ymin"), size), _tile(F.col(f"{p}ymax"), size))))
-
-    pairs = tiled(left, left_key, "_l").join(tiled(right, right_key, "_r"), ["_tx", "_ty"])
-    overlap = (
-        (F.col("_lxmin") <= F.col("_rxmax")) & (F.col("_rxmin") <= F.col("_lxmax"))
-        & (F.col("_lymin") <= F.col("_rymax")) & (F.col("_rymin") <= F.col("_lymax"))
-    )
-    once = (F.col("_tx") == _tile(F.greatest("_lxmin", "_rxmin"), size)) & (F.col("_ty") == _tile(F.greatest("_lymin", "_rymin"), size))
-    return pairs.where(overlap & once).select(left_key, right_key)
-
-
 def foreign_in_rectangle(df: DataFrame, lon: str, lat: str, bbox: tuple[float, float, float, float], group: str, own: str) -> DataFrame:
     """Points inside a rectangle that belong to another group."""
     return df.where(F.col(lon).between(bbox[0], bbox[2]) & F.col(lat).between(bbox[1], bbox[3]) & (F.col(group) != own))

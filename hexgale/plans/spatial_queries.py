@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from hexgale.functions import projection as pj
 from hexgale.functions.projection import laea_inverse, with_laea
 from hexgale.functions.scalar import in_bbox, normalize_longitude
+from hexgale.operators import distance
 from hexgale.operators import grid as gr
 from hexgale.operators import spatial as sp
+from hexgale.operators import tiles
 from hexgale.operators.composite import period_number, period_start
 from hexgale.plans.adapters import EVENTS, ORIGIN, PERIODS, POINTS, cell_periods, event_points, points, table
 from hexgale.plans.registry import query
@@ -143,14 +145,31 @@ def nearest_node(spark, sf):
     return gr.nearest_node(event_points(spark, sf), cells.withColumnRenamed("value", "node"), shape, "lon", "lat", ["node"])
 
 
-@query("block_average", "row:l col:l fraction:d",
+@query("block_average_points", "row:l col:l fraction:d",
        f"""WITH {EVENTS} --final-- SELECT floor(73.0 - lat)::BIGINT AS row, floor(lon + 12.0)::BIGINT AS col,
        avg(CASE WHEN method = 'BUILDING' THEN 1.0 ELSE 0.0 END) AS fraction FROM ev GROUP BY 1, 2 HAVING fraction >= 0.1""")
-def block_average(spark, sf):
+def block_average_points(spark, sf):
     e = event_points(spark, sf).withColumn("m", F.when(F.col("method") == "BUILDING", 1.0).otherwise(0.0))
     return gr.block_average(e, COARSE, "lon", "lat", "m", minimum=0.1)
 
 
+#: Fine and coarse grid over Europe that do not nest, the coarse one shifted and of another shape.
+FINE, SKEW = gr.Raster(-11.0, 72.0, 0.3, 0.4, 95, 180), gr.Raster(-11.7, 72.5, 1.1, 0.9, 43, 50)
+
+
+@query("block_average", "row:l col:l fraction:d",
+       f"""WITH {EVENTS}, fp AS (SELECT floor((72.0::DOUBLE - lat) / 0.4::DOUBLE) AS fr, floor((lon + 11.0::DOUBLE) / 0.3::DOUBLE) AS fc, avg(CASE WHEN method = 'BUILDING' THEN 1.0 ELSE 0.0 END) AS v FROM ev GROUP BY 1, 2),
+       g AS (SELECT r AS row, c AS col FROM (SELECT unnest(range(43)) AS r), (SELECT unnest(range(50)) AS c)),
+       o AS (SELECT row, col, v,
+         least(-11.0 + 0.3::DOUBLE * (fc + 1), -11.7 + 1.1::DOUBLE * (col + 1)) - greatest(-11.0 + 0.3::DOUBLE * fc, -11.7 + 1.1::DOUBLE * col) AS dx,
+         least(72.0 - 0.4::DOUBLE * fr, 72.5 - 0.9::DOUBLE * row) - greatest(72.0 - 0.4::DOUBLE * (fr + 1), 72.5 - 0.9::DOUBLE * (row + 1)) AS dy FROM fp, g)
+       --final-- SELECT row, col, sum(dx * dy * v) / sum(dx * dy) AS fraction FROM o WHERE dx > 1e-9 AND dy > 1e-9 GROUP BY 1, 2""")
+def block_average(spark, sf):
+    e = event_points(spark, sf).withColumns({"row": FINE.row(F.col("lat")), "col": FINE.col(F.col("lon"))})
+    share = e.groupBy("row", "col").agg(F.avg(F.when(F.col("method") == "BUILDING", 1.0).otherwise(0.0)).alias("m"))
+    return gr.area_average(share, FINE, SKEW, "m")
+
+
 @query("bilinear_regrid", "event_id:l bilinear:d",
        f"""WITH {EVENTS}, {RAST}, k AS (SELECT event_id, lon + 11.0 - 0.5 AS fx, y0 - lat - 0.5 AS fy FROM ev, sh),
        n AS (SELECT event_id, fx, fy, floor(fx)::BIGINT + j AS c, floor(fy)::BIGINT + i AS r,
@@ -250,12 +269,14 @@ def cube_sampling(spark, sf):
 
 @query("nearest_event", "event_id:l point_id:l ref_event_dist_km:d class_id:l",
        f"""WITH {EPROJ}, pp AS (SELECT * FROM (WITH {PROJ} SELECT * FROM pp)),
-       d AS (SELECT event_id, point_id, class_id, (ep.x - pp.x) * (ep.x - pp.x) + (ep.y - pp.y) * (ep.y - pp.y) AS d2 FROM ep, pp)
-       --final-- SELECT event_id, arg_min(point_id, (d2, point_id)) AS point_id, sqrt(min(d2)) / 1000 AS ref_event_dist_km,
-       arg_min(class_id, (d2, point_id)) AS class_id FROM d GROUP BY 1""")
+       d AS (SELECT event_id, point_id, class_id, (ep.x - pp.x) * (ep.x - pp.x) + (ep.y - pp.y) * (ep.y - pp.y) AS d2 FROM ep, pp WHERE event_id % 61 <> 0),
+       n AS (SELECT event_id, arg_min(point_id, (d2, point_id)) AS point_id, sqrt(min(d2)) / 1000 AS ref_event_dist_km, arg_min(class_id, (d2, point_id)) AS class_id FROM d GROUP BY 1)
+       --final-- SELECT ep.event_id, point_id, ref_event_dist_km, class_id FROM ep LEFT JOIN n USING (event_id)""")
 def nearest_event(spark, sf):
     e, p = with_laea(event_points(spark, sf)), with_laea(points(spark, sf))
-    return sp.nearest_event(e, p, point="event_id", event="point_id", x="x_laea", y="y_laea", attributes=["class_id"], size=50_000.0)
+    # Some events come without coordinates.
+    e = e.withColumn("x_laea", F.when(F.col("event_id") % 61 != 0, F.col("x_laea")))
+    return sp.nearest_event(e, p, point="event_id", event="point_id", x="x_laea", y="y_laea", attributes=["class_id"])
 
 
 @query("distance_bins", "event_id:l dist_km:d dist_bin:l",
@@ -268,14 +289,32 @@ def distance_bins(spark, sf):
     return sp.distance_bin(e, p, cell="event_id", positive="point_id", x="x_laea", y="y_laea", bins_km=[50.0, 150.0, 300.0])
 
 
+#: 200 x 200 cells of 20 km in LAEA Europe.
+WIDE = gr.Raster(2_500.0, 5_500.0, 20.0, 20.0, 200, 200)
+
+
+@query("distance_raster", "row:l col:l distance:d dist_bin:l",
+       f"""WITH pp AS (SELECT * FROM (WITH {PROJ} SELECT * FROM pp)),
+       pos AS (SELECT DISTINCT floor((5500 - y / 1000) / 20) AS pr, floor((x / 1000 - 2500) / 20) AS pc FROM pp),
+       g AS (SELECT r AS row, c AS col FROM (SELECT unnest(range(200)) AS r), (SELECT unnest(range(200)) AS c)),
+       d AS (SELECT row, col, sqrt(min(pow(20 * (row - pr), 2) + pow(20 * (col - pc), 2))) AS distance FROM g, pos
+         WHERE pr BETWEEN 0 AND 199 AND pc BETWEEN 0 AND 199 GROUP BY 1, 2)
+       --final-- SELECT row, col, distance, CASE WHEN distance <= 50 THEN 1 WHEN distance <= 150 THEN 2 WHEN distance <= 300 THEN 3 ELSE 4 END AS dist_bin FROM d""")
+def distance_raster(spark, sf):
+    p = with_laea(points(spark, sf)).select(
+        WIDE.row(F.col("y_laea") / 1000).alias("row"), WIDE.col(F.col("x_laea") / 1000).alias("col")
+    )
+    return distance.binned(distance.distance_raster(p, WIDE), [50.0, 150.0, 300.0])
+
+
 _NN = """nn AS (SELECT a.event_id, any_value(a.country) AS country, min(2 * 6371.0088 * asin(sqrt(
       pow(sin(radians(b.lat - a.lat) / 2), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * pow(sin(radians(b.lon - a.lon) / 2), 2)))) AS km
     FROM ev a JOIN ev b ON a.country = b.country AND a.event_id <> b.event_id GROUP BY 1)"""
 
 
-@query("knn_mean_distance", "event_id:l nearest_km:d", f"WITH {EVENTS}, {_NN} --final-- SELECT event_id, km AS nearest_km FROM nn")
+@query("knn_mean_distance", "event_id:l nearest_km:d", f"WITH {EVENTS}, {_NN} --final-- SELECT event_id, km AS nearest_km FROM ev LEFT JOIN nn USING (event_id)")
 def knn_mean_distance(spark, sf):
-    return sp.neighbour_km(event_points(spark, sf), key="event_id", group="country", size_km=50.0)
+    return sp.neighbour_km(event_points(spark, sf), key="event_id", group="country")
 
 
 @query("group_dispersion",
@@ -323,13 +362,13 @@ def _pip(src: str, key: str, x: str, y: str) -> str:
 
 @query("point_in_polygon", "event_id:l poly:l", f"WITH {EVENTS}, {EDGES} --final-- {_pip('ev', 'event_id', 'lon', 'lat')}")
 def point_in_polygon(spark, sf):
-    return sp.point_in_polygon(event_points(spark, sf), polygons(spark, sf), point="event_id", polygon="poly", x="lon", y="lat", size=1.0)
+    return sp.point_in_polygon(event_points(spark, sf), polygons(spark, sf), point="event_id", polygon="poly", x="lon", y="lat")
 
 
 @query("polygon_footprint", "event_id:l",
        f"WITH {EVENTS}, {EDGES}, h AS ({_pip('ev', 'event_id', 'lon', 'lat')}) --final-- SELECT DISTINCT event_id FROM h")
 def polygon_footprint(spark, sf):
-    return sp.inside_any(event_points(spark, sf), polygons(spark, sf), point="event_id", polygon="poly", x="lon", y="lat", size=1.0)
+    return sp.inside_any(event_points(spark, sf), polygons(spark, sf), point="event_id", polygon="poly", x="lon", y="lat")
 
 
 @query("polygon_centroid", "poly:l area:d centroid_x:d centroid_y:d",
@@ -352,7 +391,7 @@ _RC = "rc AS (SELECT r AS row, c AS col, -12.0 + (c + 0.5) AS x, 73.0 - (r + 0.5
 @query("rasterize_polygons", "row:l col:l value:l",
        f"""WITH {EDGES}, {_RC}, h AS ({_pip('rc', 'row, col', 'x', 'y')}) --final-- SELECT row, col, max(poly) AS value FROM h GROUP BY 1, 2""")
 def rasterize_polygons(spark, sf):
-    return sp.rasterize(polygons(spark, sf), COARSE, polygon="poly", order="poly", burn="poly", size=1.0)
+    return sp.rasterize(polygons(spark, sf), COARSE, polygon="poly", order="poly", burn="poly")
 
 
 @query("mask_cells", "event_id:l",
@@ -363,11 +402,22 @@ def mask_cells(spark, sf):
     return gr.mask_cells(e, rasterize_polygons(spark, sf), ["row", "col"])
 
 
+@query("rasterize_touched", "row:l col:l value:l",
+       f"""WITH {EDGES}, {_RC}, h AS ({_pip('rc', 'row, col', 'x', 'y')}),
+       t AS (SELECT row, col, poly FROM rc, ed WHERE greatest(x1, x2) >= x - 0.5 AND least(x1, x2) <= x + 0.5 AND greatest(y1, y2) >= y - 0.5 AND least(y1, y2) <= y + 0.5
+         AND abs((x2 - x1) * (y - y1) - (y2 - y1) * (x - x1)) <= 0.5 * (abs(x2 - x1) + abs(y2 - y1)))
+       --final-- SELECT row, col, max(poly) AS value FROM (SELECT * FROM h UNION ALL SELECT * FROM t) GROUP BY 1, 2""")
+def rasterize_touched(spark, sf):
+    return sp.rasterize(polygons(spark, sf), COARSE, polygon="poly", order="poly", burn="poly", all_touched=True)
+
+
 @query("boxes_overlap", "poly:l event_id:l",
-       f"""WITH {EVENTS}, {EDGES}, b AS (SELECT poly, min(x1) AS x0, max(x1) AS x1, min(y1) AS y0, max(y1) AS y1 FROM ed GROUP BY 1)
-       --final-- SELECT poly, event_id FROM b, ev WHERE x0 <= lon + 0.5 AND lon - 0.5 <= x1 AND y0 <= lat + 0.5 AND lat - 0.5 <= y1""")
+       f"""WITH {EVENTS}, {EDGES}, b AS (SELECT poly, min(x1) AS x0, max(x1) AS x1, min(y1) AS y0, max(y1) AS y1 FROM ed GROUP BY 1),
+       h AS (SELECT event_id, lon, lat, 5 * pow(10.0, -(event_id % 5)) AS half FROM ev)
+       --final-- SELECT poly, event_id FROM b, h WHERE x0 <= lon + half AND lon - half <= x1 AND y0 <= lat + half AND lat - half <= y1""")
 def boxes_overlap(spark, sf):
     left = sp.bounds(polygons(spark, sf))
-    e = event_points(spark, sf)
-    right = e.select("event_id", (e.lon - 0.5).alias("xmin"), (e.lon + 0.5).alias("xmax"), (e.lat - 0.5).alias("ymin"), (e.lat + 0.5).alias("ymax"))
-    return sp.boxes_overlap(left, right, left_key="poly", right_key="event_id", size=2.0)
+    # Boxes of ten degrees down to a thousandth of one.
+    e = event_points(spark, sf).withColumn("half", 5 * F.pow(F.lit(10.0), -(F.col("event_id") % 5)))
+    right = e.select("event_id", (e.lon - e.half).alias("xmin"), (e.lon + e.half).alias("xmax"), (e.lat - e.half).alias("ymin"), (e.lat + e.half).alias("ymax"))
+    return tiles.boxes_overlap(left, right, left_key="poly", right_key="event_id")
