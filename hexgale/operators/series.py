@@ -178,6 +178,88 @@ def harmonic_residual(
     return df.join(beta, list(keys)).withColumn(name, y - fit).drop(*[f"_b{j}" for j in range(size)])
 
 
+#: Positions of an axis up to which a series is handled as one array.
+LONGEST = 20_000
+
+
+def series_arrays(
+    df: DataFrame, keys: Sequence[str], position: str, value: str, n: int, *, absolute: float = 0.2, relative: float = 0.10, back: float = 0.05,
+    min_values: int = MIN_VALUES, order: int = HARMONICS, period: int = PERIODS_PER_YEAR,
+) -> DataFrame:
+    """Clamp, gap fill and harmonic residual of each series in one stage (E8, E9, E10): a row of arrays per series.
+
+    Columns: keys and the arrays ``clamped``, ``filled`` and ``residual`` over positions 1..n; series with fewer than
+    ``min_values`` values have NULL in the last two. Rows are shuffled once, by series; every step after that is an
+    array function. An axis (a calendar) has at most ``LONGEST`` positions; :func:`spike_clamp`, :func:`gap_fill` and
+    :func:`harmonic_residual` do the same row by row for longer ones. A position outside the axis fails the job.
+    """
+    if n > LONGEST:
+        raise ValueError(f"an axis of {n} positions is too long for one array per series")
+    # In order, with the gaps between neighbours and at the ends as NULLs.
+    own = F.array_sort(F.collect_list(F.struct(F.col(position).cast("int").alias("p"), F.col(value).cast("double").alias("v"))))
+    rows = df.groupBy(*keys).agg(own.alias("_o"))
+    outside = (F.col("_o")[0]["p"] < 1) | (F.element_at("_o", -1)["p"] > n)
+    rows = rows.withColumn("_o", F.when(outside, F.raise_error(F.lit(f"position outside 1..{n}"))).otherwise(F.col("_o")))
+    nothing = F.lit(None).cast("double")
+    ends = F.concat(F.transform(F.slice("_o", 2, n), lambda o: o["p"]), F.array(F.lit(n + 1)))
+    dense = F.zip_with("_o", ends, lambda o, end: F.concat(F.array(o["v"]), F.array_repeat(nothing, end - o["p"] - 1)))
+    rows = rows.withColumn("_y", F.concat(F.array_repeat(nothing, F.col("_o")[0]["p"] - 1), F.flatten(dense)))
+
+    def clamp(v: Column, i: Column) -> Column:
+        before = F.array_sort(F.array_compact(F.array(*[F.get("_y", i - k) for k in (1, 2, 3)])))
+        known = F.size(before)
+        low, high = F.get(before, F.floor((known - 1) / 2).cast("int")), F.get(before, F.ceil((known - 1) / 2).cast("int"))
+        base = (low + high) / 2
+        floor = base - F.greatest(F.lit(absolute), F.lit(relative) * F.greatest(base, F.lit(0.0)))
+        return F.when((i >= 3) & (v < floor) & (F.get("_y", i + 1) >= base - F.lit(back)), floor).otherwise(v)
+
+    rows = rows.withColumn("clamped", F.transform("_y", clamp))
+    points = F.transform("clamped", lambda v, i: F.struct(i.alias("i"), v.alias("v")))
+    rows = rows.withColumn("_k", F.filter(points, lambda k: k["v"].isNotNull()))
+
+    def line(a: Column, b: Column) -> Column:
+        """From a known value up to the place before the next one."""
+        share = lambda i: (i - a["i"]) / (b["i"] - a["i"])
+        return F.transform(F.sequence(a["i"], b["i"] - 1), lambda i: a["v"] + (b["v"] - a["v"]) * share(i))
+
+    first, last, count = F.col("_k")[0], F.element_at("_k", -1), F.size("_k")
+    lines = F.zip_with(F.slice("_k", 1, count - 1), F.slice("_k", 2, count - 1), line)
+    filled = F.concat(F.array_repeat(first["v"], first["i"]), F.flatten(lines), F.array_repeat(last["v"], F.lit(n) - last["i"]))
+    rows = rows.withColumn("filled", F.when(count >= max(min_values, 2), filled))
+    inverse, size = harmonic_inverse(n, order, period), 2 * order + 1
+
+    def moment(j: int) -> Column:
+        parts = F.transform("filled", lambda v, i: v * harmonic_basis(i + 1, order, period)[j])
+        return F.aggregate(parts, F.lit(0.0), lambda total, x: total + x)
+
+    rows = rows.withColumn("_m", F.array(*[moment(j) for j in range(size)]))
+    beta = [sum((F.lit(float(inverse[j, i])) * F.col("_m")[i] for i in range(size)), F.lit(0.0)) for j in range(size)]
+    rows = rows.withColumn("_b", F.array(*beta))
+
+    def residual(v: Column, i: Column) -> Column:
+        return v - sum((F.col("_b")[j] * b for j, b in enumerate(harmonic_basis(i + 1, order, period))), F.lit(0.0))
+
+    return rows.withColumn("residual", F.transform("filled", residual)).select(*keys, "clamped", "filled", "residual")
+
+
+def series_rows(arrays: DataFrame, keys: Sequence[str], names: Sequence[str], position: str = "pos") -> DataFrame:
+    """One row per position of series that have all of the named arrays."""
+    # A filter on the arrays would be computed a second time below; a NULL position tells the same.
+    rows = arrays.select(*keys, F.posexplode_outer(F.arrays_zip(*names)).alias("_i", "_z")).where("_i IS NOT NULL")
+    return rows.select(*keys, (F.col("_i") + 1).alias(position), *[f"_z.{c}" for c in names])
+
+
+def array_window_mean(events: DataFrame, arrays: DataFrame, cell: str, index: str, value: str, *, half: int = 1) -> DataFrame:
+    """Mean of an array's values in the positions around each event (E11): one join by series, no row per position."""
+    joined = events.join(arrays.select(cell, F.col(value).alias("_a")), cell, "left")
+    low, high = F.greatest(F.col(index) - half, F.lit(1)), F.least(F.col(index) + half, F.size("_a"))
+    near = F.when(low <= high, F.array_compact(F.slice("_a", low.cast("int"), (high - low + 1).cast("int"))))
+    total = F.aggregate(near, F.lit(0.0), lambda a, x: a + x)
+    mean = F.when(F.size(near) > 0, total / F.size(near))
+    flag = F.when(F.col("mag").isNotNull(), F.lit("step2")).otherwise(F.lit("step3"))
+    return joined.withColumn("mag", mean).withColumn("step_flag", flag).drop("_a")
+
+
 def layer_calendar(layers: DataFrame, layer: str) -> DataFrame:
     """Nearest layer for each day of the layers' date range, the earlier one at equal distance.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from hexgale.functions import columns as col
@@ -19,7 +20,7 @@ from hexgale.plans.registry import query
 from hexgale.plans.spatial_queries import EPROJ, PROJ
 from hexgale.session import cut_lineage, ensure_checkpoint_dir
 from hexgale.sources import tables
-from hexgale.streaming.composites import file_stream, run_available, tumbling_composite
+from hexgale.streaming.composites import file_stream, resumable_composite, run_available, tumbling_composite
 
 # --- pixels and validation --------------------------------------------------------------------------
 
@@ -577,6 +578,36 @@ def stream_tumbling_composite(spark, sf):
     return spark.read.parquet(f"{base}/out")
 
 
+class _Stopped(Exception):
+    """Stands for a lost driver."""
+
+
+@query("resumed_composite", "user_id:l period_start:t max_value:d n_values:l",
+       """SELECT user_id, CAST(DATE '2001-01-01' + 16 * CAST(floor(date_diff('day', DATE '2001-01-01', CAST(ts AS DATE)) / 16.0) AS INTEGER) AS DATE) AS period_start,
+       max(value) AS max_value, count(value) AS n_values FROM events GROUP BY 1, 2""")
+def resumed_composite(spark, sf):
+    """Files by quarter, a tenth of all days late in a last file; the run breaks off in its third batch and is taken up again."""
+    base = f"{ensure_checkpoint_dir(spark)}/resumed-{uuid.uuid4().hex}"
+    events = table(spark, sf, "events").select("user_id", "ts", "value")
+    piece = F.when(F.pmod(F.xxhash64("user_id", "ts"), F.lit(10)) == 0, 5).otherwise(F.quarter("ts"))
+    events.withColumn("piece", piece).repartitionByRange(5, "piece").drop("piece").write.parquet(f"{base}/in")
+    files = file_stream(spark, f"{base}/in", events.schema, files_per_batch=1)
+
+    def breaks(number: int) -> None:
+        if number == 2:
+            raise _Stopped
+
+    def run(after_write=None):
+        return resumable_composite(files, ["user_id"], "ts", "value", f"{base}/out", f"{base}/state", every=2, after_write=after_write)
+
+    try:
+        run(breaks)
+    except StreamingQueryException as stopped:
+        if "_Stopped" not in str(stopped):
+            raise
+    return run()
+
+
 @query("forest_flag", "cell_id:l mask_forest:b n:l",
        f"""WITH {OBS}, g AS (SELECT cell_id, count(*) AS n FROM obs GROUP BY 1)
        --final-- SELECT s_suppkey AS cell_id, coalesce(s_acctbal, 0) > 0 AS mask_forest, n FROM supplier LEFT JOIN g ON cell_id = s_suppkey""")

@@ -68,9 +68,7 @@ ser AS (SELECT c.cell_id, p.pos, y FROM (SELECT DISTINCT cell_id FROM med) c CRO
 
 
 def layers(spark, sf):
-    med = quantiles(observations(spark, sf), ["cell_id", "period_no"], "gust", {"m": 0.5})
-    med = med.select("cell_id", (F.col("period_no") + 1).alias("pos"), (F.col("m") / 10).alias("y"))
-    return series.dense_positions(cut_lineage(med), ["cell_id"], "pos", N_T, "y")
+    return series.dense_positions(cut_lineage(median_layers(spark, sf)), ["cell_id"], "pos", N_T, "y")
 
 
 CLAMP = SERIES + """,
@@ -117,8 +115,17 @@ be AS (SELECT cell_id, {', '.join('+'.join(f'({float(_INV[j, i])!r}) * m{i}' for
 res AS (SELECT cell_id, pos, filled - ({' + '.join(f'b{j} * {b}' for j, b in enumerate(_BASIS))}) AS residual FROM fil JOIN be USING (cell_id))"""
 
 
+def median_layers(spark, sf):
+    med = quantiles(observations(spark, sf), ["cell_id", "period_no"], "gust", {"m": 0.5})
+    return med.select("cell_id", (F.col("period_no") + 1).alias("pos"), (F.col("m") / 10).alias("y"))
+
+
+def residual_arrays(spark, sf):
+    return series.series_arrays(median_layers(spark, sf), ["cell_id"], "pos", "y", N_T)
+
+
 def residuals(spark, sf):
-    return series.harmonic_residual(filled(spark, sf), ["cell_id"], "pos", "filled", N_T)
+    return series.series_rows(residual_arrays(spark, sf), ["cell_id"], ["residual"])
 
 
 @query("harmonic_residual", "cell_id:l pos:l residual:d", f"WITH {RESID} --final-- SELECT cell_id, pos, residual FROM res")
@@ -155,7 +162,7 @@ def nearest_date_asof(spark, sf):
        --final-- SELECT sample_id, avg(residual) AS mag, CASE WHEN avg(residual) IS NULL THEN 'step3' ELSE 'step2' END AS step_flag
        FROM nr LEFT JOIN res ON res.cell_id = nr.cell_id AND pos BETWEEN layer_index - 1 AND layer_index + 1 GROUP BY 1""")
 def event_window_mean(spark, sf):
-    return series.event_window_mean(_nearest(spark, sf), residuals(spark, sf), "cell_id", "layer_index", "pos", "residual")
+    return series.array_window_mean(_nearest(spark, sf), residual_arrays(spark, sf), "cell_id", "layer_index", "residual")
 
 
 _LOOK = f"""{PERIODS}, {_SAMPLES}, hit AS (

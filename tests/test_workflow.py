@@ -246,6 +246,50 @@ def test_resuming_adds_nothing_twice(spark, tmp_path):
     assert st.pending_rows(df.unionByName(df.withColumn("k", F.lit(999))), done, ["k"]).select("k").distinct().collect()[0]["k"] == 999
 
 
+@pytest.mark.parametrize("where", ["part", "mark", "merge", "after"])
+def test_composite_is_taken_up_where_it_stopped(spark, tmp_path, where, monkeypatch):
+    """A run that breaks off while it writes, before or after its marker, or while it merges, ends like one that did not."""
+    src, out, ckpt = (str(tmp_path / p) for p in ("in", "out", "ck"))
+    rows = [(c, dt.datetime(2001, 1, 1) + dt.timedelta(days=d), float((d * 7 + c) % 13)) for c in range(3) for d in range(80)]
+    df = spark.createDataFrame(rows, "c int, ts timestamp, v double")
+    late = F.pmod(F.xxhash64("c", "ts"), F.lit(4)) == 0
+    df.where(~late).repartitionByRange(4, "ts").write.parquet(src)
+    broken, write, mark = [], st.BatchSink.write, st.BatchSink.mark
+
+    def lose(now: bool):
+        if now and not broken:
+            broken.append(1)
+            raise RuntimeError("lost")
+
+    def write_or_lose(self, part, number):
+        if where == "part" and number == 1 and not broken:
+            part.limit(1).write.mode("overwrite").parquet(f"{self.path}/part-1")
+            lose(True)
+        write(self, part, number)
+
+    def mark_or_lose(self, kind, number):
+        lose((where, kind, number) in (("mark", "part", 1), ("merge", "merged", 1)))
+        mark(self, kind, number)
+
+    monkeypatch.setattr(st.BatchSink, "write", write_or_lose)
+    monkeypatch.setattr(st.BatchSink, "mark", mark_or_lose)
+
+    def run():
+        stream = st.file_stream(spark, src, df.schema, files_per_batch=1)
+        return st.resumable_composite(stream, ["c"], "ts", "v", out, ckpt, every=2, after_write=lambda number: lose(where == "after" and number == 2))
+
+    with pytest.raises(Exception, match="lost"):
+        run()
+    assert broken
+    want = st.tumbling_composite(df.where(~late), ["c"], "ts", "v")
+    got = run()
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    # Late days correct periods that were complete before.
+    df.where(late).coalesce(2).write.mode("append").parquet(src)
+    got, want = run(), st.tumbling_composite(df, ["c"], "ts", "v")
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
 def test_positions_do_not_depend_on_partitioning(spark):
     df = spark.range(500).withColumn("h", F.pmod(F.xxhash64("id"), F.lit(997)).cast("double"))
     a = row_index(df, [], "h", ["id"], max_group=40)
