@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from hexgale.session import cut_lineage
 
 #: Most places of a leaf, children of a node as a power of two, nodes of a level up to which it is broadcast.
-LEAF, FAN_BITS, SMALL = 32, 3, 20_000
+LEAF, FAN_BITS, SMALL = 64, 4, 20_000
 FAN = 2**FAN_BITS
 
 
@@ -57,7 +57,7 @@ def build_tree(targets: DataFrame, target: str, dims: Sequence[str], keys: Seque
     """Count-bounded tree over the distinct places of targets; every leaf holds at most ``leaf`` places."""
     ks, dims = list(keys), list(dims)
     work = cut_lineage(_places(targets, target, ks, dims, keep).withColumn("_node", F.lit(1).cast("long")))
-    on, levels, contents = [*ks, "_node"], [], None
+    on, levels, sizes, contents = [*ks, "_node"], [], [], None
     shares = F.array(*[F.lit(i / FAN) for i in range(1, FAN)])
     while True:
         stats = work.groupBy(*on).agg(
@@ -69,7 +69,8 @@ def build_tree(targets: DataFrame, target: str, dims: Sequence[str], keys: Seque
         box = [f"{n}_{c}" for c in dims for n in ("lo", "hi")]
         levels.append(stats.select(*on, "cnt", *box))
         large = stats.where(F.col("cnt") > leaf)
-        n_large = large.count()
+        n_large, n_nodes = stats.agg(F.count_if(F.col("cnt") > leaf), F.count(F.lit(1))).first()
+        sizes.append(n_nodes)
         if not n_large:
             contents = work if contents is None else contents.unionByName(work)
             break
@@ -86,20 +87,20 @@ def build_tree(targets: DataFrame, target: str, dims: Sequence[str], keys: Seque
         splits = large.select(*on, axis.alias("_axis"), cuts.alias("_cuts"))
         if n_large <= SMALL:
             splits = F.broadcast(splits)
-        moved = cut_lineage(work.join(splits, on, "left"))
+        moved = work.join(splits, on, "left")
         ended = moved.where("_cuts IS NULL").select(*work.columns)
         contents = ended if contents is None else contents.unionByName(ended)
         x = F.element_at(F.array(*dims), F.col("_axis") + 1)
         child = F.size(F.filter("_cuts", lambda v: v < x))
-        work = moved.where("_cuts IS NOT NULL").withColumn("_node", F.col("_node") * FAN + child).select(*work.columns)
+        work = cut_lineage(moved.where("_cuts IS NOT NULL").withColumn("_node", F.col("_node") * FAN + child).select(*work.columns))
     # A leaf has at most ``leaf`` places and a node at most ``FAN`` children.
     contents = contents.groupBy(*on).agg(F.collect_list(F.struct(*dims, F.col("_ids").alias("ids"))).alias("_items"))
     children = []
-    for level in levels[1:]:
+    for level, n_nodes in zip(levels[1:], sizes[1:]):
         one = F.struct(F.col("_node").alias("node"), "cnt", (F.col("cnt") <= leaf).alias("leaf"), *box)
         up = level.select(*ks, F.shiftright("_node", FAN_BITS).alias("_node"), one.alias("_c"))
-        up = cut_lineage(up.groupBy(*on).agg(F.collect_list("_c").alias("_children")))
-        children.append(F.broadcast(up) if up.count() <= SMALL else up)
+        up = up.groupBy(*on).agg(F.collect_list("_c").alias("_children"))
+        children.append(F.broadcast(up) if n_nodes <= SMALL else up)
     return Tree(levels[0], children, cut_lineage(contents))
 
 
@@ -155,14 +156,19 @@ def nearest_pairs(
         """The k nearest of a leaf's targets as sorted {d2, id}."""
         def of_place(i: Column) -> Column:
             d2 = _sum_of_squares([i[c] - at[c] for c in dims])
+            if need == 1:
+                return F.struct(d2.alias("d2"), i["ids"][0].alias("id"))
             return F.transform(i["ids"], lambda t: F.struct(d2.alias("d2"), t.alias("id")))
 
-        every = F.flatten(F.transform("_items", of_place))
+        every = F.transform("_items", of_place)
+        every = every if need == 1 else F.flatten(every)
         if other:
             every = F.filter(every, lambda h: h["id"] != F.col(point))
-        return F.slice(F.sort_array(every), 1, k)
+        return F.array_compact(F.array(F.array_min(every))) if k == 1 else F.slice(F.sort_array(every), 1, k)
 
-    asked = points.where(known(dims)).select(point, *ks, *[F.col(c).cast("double").alias(f"_p_{c}") for c in dims])
+    # Coordinates are used in many expressions below, so they are computed once; points go everywhere by their key.
+    asked = cut_lineage(points.select(point, *ks, *[F.col(c).cast("double").alias(f"_p_{c}") for c in dims]))
+    asked = asked.where(known([f"_p_{c}" for c in dims]))
     roots = tree.roots if ks else F.broadcast(tree.roots)  # one row without keys
     walk = asked.withColumn("_node", F.lit(1).cast("long")).join(roots, on)
     bound = F.when(F.col("cnt") >= need, far(None))

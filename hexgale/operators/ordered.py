@@ -326,13 +326,16 @@ class _ColumnSelect:
         """Values found at ranks, and brackets on the side where a rank was missed."""
         tags, counts, inputs = self.brackets(left)
         lists = [F.sort_array(F.collect_list(x)).alias(f"{t}_x") for t, x in inputs.items()]
+        counts = [c for i, c in enumerate(counts) if i % 4 != 2]  # the lists tell how many lie inside
+        inside = {f"{t}_in": F.size(f"{t}_x") for t in inputs}
         picks = []
         for i, ((v, rank), (low, high, _)) in enumerate(left.items()):
             tag = tags[v, low, high]
             place = (F.lit(rank) - F.col(f"{tag}_below") - F.col(f"{tag}_low")).cast("int")
-            picks.append(F.when((place >= 0) & (place < F.col(f"{tag}_in")), F.get(f"{tag}_x", place)).alias(f"_p{i}"))
+            picks.append(F.when(place >= 0, F.get(f"{tag}_x", place)).alias(f"_p{i}"))
         kinds = ("below", "low", "in", "high")
-        got = self.values.agg(*counts, *lists).select(*[f"{t}_{k}" for t in tags.values() for k in kinds], *picks).first()
+        whole = self.values.agg(*counts, *lists).withColumns(inside)
+        got = whole.select(*[f"{t}_{k}" for t in tags.values() for k in kinds], *picks).first()
         found, missed = {}, {}
         for i, ((v, rank), (low, high, _)) in enumerate(left.items()):
             below, at_low, n, at_high = (got[f"{tags[v, low, high]}_{k}"] for k in kinds)

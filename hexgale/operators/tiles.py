@@ -139,24 +139,24 @@ def tile_polygons(edges: DataFrame, polygon: str, most: int = MOST) -> tuple[Gri
         F.min(F.least("x1", "x2")).alias("xmin"), F.max(F.greatest("x1", "x2")).alias("xmax"),
         F.min(F.least("y1", "y2")).alias("ymin"), F.max(F.greatest("y1", "y2")).alias("ymax"),
     )
-    boxes = cut_lineage(boxes)
     grid = grid_over(boxes)
     start = boxes.withColumn("lv", grid.own_level(F.greatest(F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin"))))
     start = start.select(polygon, "lv", F.explode(_corners("lv", "xmin", "xmax", "ymin", "ymax", grid)).alias("t")).select(polygon, "lv", "t.*")
     dealt = edges.join(start, polygon).withColumns({"up": F.lit(0), "up_right": F.lit(None).cast("double")})
-    finest, done, contents = None, [], []
-    while True:
+    done, contents, most_in = [], [], {}
+    for depth in range(DEEPER + 1):
         tiles, own = _classed(dealt, polygon, grid)
-        if finest is None:
-            finest = tiles.agg(F.max("lv")).first()[0]
-            finest = min(FINEST, (finest or 0) + DEEPER)
-        crowded = (F.col("n_edges") > most) & (F.col("lv") < finest)
+        crowded = (F.col("n_edges") > most) & F.lit(depth < DEEPER)
         done.append(tiles.where(~crowded))
         on = [polygon, "lv", "i", "j"]
         contents.append(own.join(tiles.where(~crowded & (F.col("n_edges") > 0)).select(*on, F.col("n_edges").alias("n")), on))
-        large = tiles.where(crowded)
-        if large.isEmpty():
+        seen = tiles.groupBy("lv", crowded.alias("crowded")).agg(F.max("n_edges").alias("n")).collect()  # a row or two per level
+        for r in seen:
+            if not r["crowded"]:
+                most_in[r["lv"]] = max(r["n"], most_in.get(r["lv"], 0))
+        if not any(r["crowded"] for r in seen):
             break
+        large = tiles.where(crowded)
         quarter = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)]))
         dealt = own.join(large.select(*on, "bit"), on).select(
             polygon, (F.col("lv") + 1).alias("lv"), (F.col("i") * 2).alias("_i"), (F.col("j") * 2).alias("_j"), *_EDGE,
@@ -166,14 +166,13 @@ def tile_polygons(edges: DataFrame, polygon: str, most: int = MOST) -> tuple[Gri
     every, lists = done[0], contents[0]
     for more, further in zip(done[1:], contents[1:]):
         every, lists = every.unionByName(more), lists.unionByName(further)
-    levels = every.groupBy("lv").agg(F.max("n_edges").alias("n")).collect()
     piece = F.pmod(F.xxhash64(*_EDGE), F.ceil(F.col("n") / most)).cast("int")
     lists = lists.groupBy(*on, F.when(F.col("n") > most, piece).otherwise(0).alias("piece")).agg(F.collect_list(F.struct(*_EDGE)).alias("edges"))
-    several = any(r["n"] > most for r in levels)
+    several = max(most_in.values(), default=0) > most
     none = F.array().cast("array<struct<x1:double,y1:double,x2:double,y2:double>>")
     first = every.select(*on, F.when(F.col("n_edges") > most, F.lit(-1)).otherwise(0).alias("piece"), "bit")
     joined = first.join(lists, [*on, "piece"], "full").withColumn("edges", F.coalesce("edges", none)).withColumn("bit", F.coalesce("bit", F.lit(0)))
-    return grid, cut_lineage(joined.drop("piece")), sorted(r["lv"] for r in levels), several
+    return grid, joined.drop("piece"), sorted(most_in), several
 
 
 def point_in_polygon(points: DataFrame, edges: DataFrame, *, point: str, polygon: str, x: str, y: str, most: int = MOST) -> DataFrame:
