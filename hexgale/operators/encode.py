@@ -103,6 +103,33 @@ def interactions(df: DataFrame) -> DataFrame:
     )
 
 
+#: Upper limit of susceptibility in model tables: flat terrain would make it as large as the rounding allows.
+SUSCEPTIBILITY_LIMIT = 1000.0
+
+
+def model_features(df: DataFrame, *, cross: bool = False) -> DataFrame:
+    """Derived columns a model table lacks (B14): exposure from the first column that stands in for it, susceptibility
+    (height / |roughness|, at most 1000), with ``cross`` also wind and interaction terms.
+
+    Columns that are already there are kept, and nothing is derived from columns that are missing.
+    """
+    numeric = ["LAI_departure", "gust_peak_speed", "days_since_gust_peak", "gust_peak_percentile", "windwardness", "slope", "exposure",
+               "exposure_intensity", "terrain_roughness", "tree_height", "ref_storm_id"]
+    out = df.withColumns({c: to_number(F.col(c)) for c in numeric if c in df.columns})
+    if "exposure" not in out.columns:
+        source = next((c for c in ("exposure_intensity", "exposure_signed") if c in out.columns), None)
+        out = out.withColumn("exposure", F.col(source) if source else F.lit(None).cast("double"))
+    height, rough = F.col("tree_height"), F.col("terrain_roughness")
+    ratio = height / (F.abs(rough) + EPS)
+    terms = {"susceptibility": (["tree_height", "terrain_roughness"], F.when(ratio.isNotNull(), F.least(ratio, F.lit(SUSCEPTIBILITY_LIMIT))))}
+    if cross:
+        terms["wind_impact"] = (["gust_peak_speed", "exposure"], F.col("gust_peak_speed") * F.col("exposure"))
+        terms["height_exposure"] = (["tree_height", "windwardness"], height * F.col("windwardness"))
+        terms["roughness_exposure"] = (["terrain_roughness", "exposure"], rough * F.col("exposure"))
+    there = set(out.columns)
+    return out.withColumns({name: term for name, (needed, term) in terms.items() if name not in there and there.issuperset(needed)})
+
+
 def locked_table(
     df: DataFrame, *, folds: int = 5, renames: Mapping[str, str] | None = None, order: Sequence[str] = ("lon", "lat"),
     max_group: int = MAX_GROUP,

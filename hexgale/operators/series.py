@@ -319,6 +319,7 @@ def lookback_peak(
     days: int = LOOKBACK_DAYS,
     percentile: bool = True,
     digits: int | None = 2,
+    direction_digits: int = 1,
     max_group: int = MAX_GROUP,
 ) -> DataFrame:
     """Peak of a cell's series in the ``days`` before an event, its age, direction and percentile.
@@ -355,7 +356,7 @@ def lookback_peak(
         cell,
         F.col("_p.v").alias("max_wind_event"),
         F.date_diff("_ev", F.col("_p.d")).cast("double").alias("days_since_peak"),
-        F.col("_p.dir").alias("struct_wind_dir_from_deg"),
+        F.round("_p.dir", direction_digits).alias("struct_wind_dir_from_deg"),
         "n_window",
     )
     if percentile:

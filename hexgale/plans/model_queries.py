@@ -286,6 +286,20 @@ def _locked(spark, sf):
     return encode.locked_table(_features(spark, sf))
 
 
+@query("model_features", "l_orderkey:l l_linenumber:l exposure:d susceptibility:d wind_impact:d roughness_exposure:d",
+       """SELECT l_orderkey, l_linenumber, l_discount - 0.05 AS exposure,
+       CASE WHEN l_linenumber <> 3 THEN least(1000.0, l_quantity / (abs(l_tax - 0.04) + 1e-6)) END AS susceptibility,
+       l_extendedprice / 1009.0::DOUBLE * (l_discount - 0.05) AS wind_impact, (l_tax - 0.04) * (l_discount - 0.05) AS roughness_exposure FROM lineitem""")
+def model_features(spark, sf):
+    """No exposure column but a signed one, no windwardness, flat terrain in some rows."""
+    li = table(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", (F.col("l_discount") - 0.05).alias("exposure_signed"), (F.col("l_tax") - 0.04).alias("terrain_roughness"),
+        F.when(F.col("l_linenumber") != 3, F.col("l_quantity")).alias("tree_height"), (F.col("l_extendedprice") / 1009.0).cast("string").alias("gust_peak_speed"),
+    )
+    names = ["l_orderkey", "l_linenumber", "exposure", "susceptibility", "wind_impact", "roughness_exposure"]
+    return encode.model_features(li, cross=True).select(*names)
+
+
 @query("holdout_split", "hold:b n:l n_pos:l",
        f"""WITH {EVENTS} --final-- SELECT lon BETWEEN 10.96 AND 24.17 AND lat BETWEEN 55.25 AND 69.06 AS hold, count(*) AS n,
        count(*) FILTER (area > 5000) AS n_pos FROM ev GROUP BY 1""")

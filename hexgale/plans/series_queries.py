@@ -166,7 +166,7 @@ def event_window_mean(spark, sf):
 
 
 _LOOK = f"""{PERIODS}, {_SAMPLES}, hit AS (
-  SELECT s.sample_id, s.cell_id, s.event_day, p.gust, p.obs_date, CAST(p.period_no * 7 % 360 AS DOUBLE) AS dir,
+  SELECT s.sample_id, s.cell_id, s.event_day, p.gust, p.obs_date, CAST(p.period_no * 713 % 36000 AS DOUBLE) / 100 AS dir,
          row_number() OVER (PARTITION BY s.sample_id ORDER BY p.gust DESC, p.obs_date) AS rn
   FROM smp s JOIN per p ON p.cell_id = s.cell_id AND p.obs_date BETWEEN s.event_day - 32 AND s.event_day),
 pk AS (SELECT * FROM hit WHERE rn = 1)"""
@@ -174,13 +174,13 @@ pk AS (SELECT * FROM hit WHERE rn = 1)"""
 
 @query("lookback_peak", "sample_id:l max_wind_event:d days_since_peak:d struct_wind_dir_from_deg:d",
        f"""WITH {_LOOK} --final-- SELECT s.sample_id, gust AS max_wind_event, date_diff('day', obs_date, pk.event_day) AS days_since_peak,
-       dir AS struct_wind_dir_from_deg FROM smp s LEFT JOIN pk USING (sample_id)""")
+       round(dir, 1) AS struct_wind_dir_from_deg FROM smp s LEFT JOIN pk USING (sample_id)""")
 def lookback_peak(spark, sf):
     return _lookback(spark, sf, False)
 
 
 def _lookback(spark, sf, percentile):
-    per = cell_periods(spark, sf).withColumn("dir", F.pmod(F.col("period_no") * 7, F.lit(360)).cast("double"))
+    per = cell_periods(spark, sf).withColumn("dir", F.pmod(F.col("period_no") * 713, F.lit(36000)).cast("double") / 100)
     return series.lookback_peak(
         samples(spark, sf), per, sample="sample_id", cell="cell_id", event_day="event_day", obs_day="obs_date",
         value="gust", direction="dir", percentile=percentile, digits=None,

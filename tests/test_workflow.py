@@ -295,3 +295,11 @@ def test_positions_do_not_depend_on_partitioning(spark):
     a = row_index(df, [], "h", ["id"], max_group=40)
     b = row_index(df.repartition(9), [], "h", ["id"])
     assert a.exceptAll(b).isEmpty()
+
+
+def test_model_features(spark):
+    df = spark.createDataFrame([("30", 0.0, 0.5), ("x", 2.0, 0.5), (None, None, None), ("4", -2.0, float("nan"))], "tree_height string, terrain_roughness double, exposure_intensity double")
+    got = [tuple(r) for r in encode.model_features(df, cross=True).select("susceptibility", "exposure", "roughness_exposure").collect()]
+    assert got == [(1000.0, 0.5, 0.0), (None, 0.5, 1.0), (None, None, None), (pytest.approx(2.0, rel=1e-6), None, None)]
+    kept = encode.model_features(df.withColumn("susceptibility", F.lit(5.0)).withColumn("exposure", F.lit("7")).drop("terrain_roughness"), cross=True)
+    assert {(r["susceptibility"], r["exposure"]) for r in kept.collect()} == {(5.0, 7.0)} and "roughness_exposure" not in kept.columns
