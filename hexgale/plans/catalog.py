@@ -5,6 +5,7 @@ from hexgale.plans import (  # noqa: F401
     model_queries,
     regime_queries,
     series_queries,
+    source_queries,
     spatial_queries,
 )
 from hexgale.plans.registry import REGISTRY
