@@ -363,9 +363,15 @@ _SP = " UNION ALL ".join(
 )
 
 
-@query("spearman_grid", "x_name:s y_name:s rho:d n:l", f"WITH {REGIME} --final-- {_SP}")
+#: Two-sided tail of Student's t for whole degrees of freedom: a finite sum in sine and cosine of atan(t / sqrt(dof)).
+_P = """greatest(0, 1 - CASE WHEN n % 2 = 0
+  THEN abs(rho) * list_sum([exp(lgamma(k + 0.5) - lgamma(k + 1)) / sqrt(pi()) * pow(1 - rho * rho, k) for k in range(0, (n - 2) // 2)])
+  ELSE 2 / pi() * (asin(abs(rho)) + abs(rho) * coalesce(list_sum([sqrt(pi()) / 2 * exp(lgamma(k) - lgamma(k + 0.5)) * pow(1 - rho * rho, k - 0.5) for k in range(1, (n - 1) // 2)]), 0)) END)"""
+
+
+@query("spearman_grid", "x_name:s y_name:s rho:d n:l p_value:d", f"WITH {REGIME}, s AS ({_SP}) --final-- SELECT *, {_P} AS p_value FROM s")
 def spearman_grid(spark, sf):
-    return cor.spearman_grid(regime_cells(spark, sf), PAIRS)
+    return cor.spearman_grid(regime_cells(spark, sf), PAIRS, p_value=True)
 
 
 TESTS = [("mean_prob", "z_anomaly", "anomaly_frequency"), ("mean_prob", "anomaly_frequency", "z_anomaly"),
@@ -380,9 +386,9 @@ _PS = " UNION ALL ".join(
 )
 
 
-@query("partial_spearman", "x_name:s y_name:s control:s rho:d n:l", f"WITH {REGIME} --final-- {_PS}")
+@query("partial_spearman", "x_name:s y_name:s control:s rho:d n:l p_value:d", f"WITH {REGIME}, s AS ({_PS}) --final-- SELECT *, {_P} AS p_value FROM s")
 def partial_spearman(spark, sf):
-    return cor.partial_spearman(regime_cells(spark, sf), TESTS)
+    return cor.partial_spearman(regime_cells(spark, sf), TESTS, p_value=True)
 
 
 def _wp(x: str, y: str, w: str = "w") -> str:

@@ -127,6 +127,20 @@ def test_p_values(spark):
     assert got[0] == pytest.approx(0.0248, abs=2e-4) and got[1] == pytest.approx(0.757, abs=2e-3) and got[2] == 0.0 and got[3] is None
 
 
+def test_p_values_against_the_finite_sum(spark):
+    """For an even number of degrees of freedom Student's tail is a finite sum."""
+    cases = [(r, n) for n in (4, 12, 100, 5000) for r in (0.0, 1e-6, 0.01, 0.03, -0.2, 0.5, -0.9, 0.9999)] + [(0.004, 1_000_000), (-0.001, 1_000_000), (float("nan"), 8), (0.3, 2)]
+    df = spark.createDataFrame([(i, r, n) for i, (r, n) in enumerate(cases)], "i int, rho double, n int")
+    got = {r["i"]: r["p"] for r in df.select("i", cor.correlation_p_value("rho", "n").alias("p")).collect()}
+    for i, (r, n) in enumerate(cases[:-2]):
+        ratio, total = 1.0, 0.0
+        for k in range((n - 2) // 2):
+            total += ratio * (1 - r * r) ** k
+            ratio *= (2 * k + 1) / (2 * k + 2)
+        assert got[i] == pytest.approx(1 - abs(r) * total, abs=1e-9)
+    assert got[len(cases) - 2] is None and got[len(cases) - 1] is None
+
+
 def test_nearest_layer_prefers_the_earlier(spark):
     layers = spark.createDataFrame([(D(2020, 1, 1),), (D(2020, 1, 5),), (D(2020, 1, 17),)], "l date")
     ev = spark.createDataFrame([(1, D(2020, 1, 3)), (2, D(2020, 1, 4)), (3, D(2019, 1, 1)), (4, D(2021, 1, 1)), (5, None)], "k int, d date")
