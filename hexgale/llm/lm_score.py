@@ -1,226 +1,261 @@
-"""Stupid-backoff language-model scores, computed relationally.
+"""Stupid-backoff language-model scores over words, computed relationally.
 
-The model is over bytes: n-grams of 1 to ``order`` bytes are whole numbers, so tables are exact. Every scan partition counts
-its n-grams; the counts are shuffled by n-gram and summed to the corpus tables, and each partition gets back the totals of
-the n-grams it holds (a join of the exploded n-grams with the count tables, each n-gram once per partition). Its documents
-meet that table, look up every position and sum the scores per document.
+The text is cut into blocks of some megabytes. Every block gives one row per distinct n-gram with its count; the rows are
+shuffled by n-gram and summed to the corpus counts, without a cutoff, and each block gets back the totals of those of its
+n-grams that other blocks hold too (of all others it knows the total already). There its documents meet the counts, and the
+scores of all positions are summed per document.
 
-The score of a byte after a context is count(context + byte) / count(context) for the longest context for which the
-n-gram's count reaches ``cutoff``, times ``alpha`` for every byte the context had to be shortened; a lone byte has
-count / total. Logarithms are whole millionths, so sums do not depend on their order.
+Every document is scored by the counts of all other documents: its own occurrences are taken off first, since in a model
+without cutoff that holds the text itself no n-gram would ever be unseen. The score of a word after a context is
+count(context + word) / count(context) for the longest context, up to ``order`` - 1 words, with which the word occurs in
+another document, times ``alpha`` for every word the context had to be shortened. A lone word has count / number of words; a
+word in no other document counts as one occurrence, shortened once more. Logarithms are whole millionths, so sums do not
+depend on their order. N-grams are 64-bit hashes of their words.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from hexgale.llm.common import partitions, pick
 
-ORDER, CUTOFF, ALPHA = 5, 5, 0.4
+ORDER, ALPHA = 3, 0.4
 MICRO = 1_000_000
-#: Bytes of text worked on at a time.
-LOT = 1 << 21
+#: Bytes of text worked on at a time, and bytes of text that share one count table.
+LOT, BLOCK = 1 << 21, 1 << 24
+#: Number of block ``j`` of scan partition ``p``: p * SPREAD + j.
+SPREAD = 1 << 24
+KNOWN_WORDS = 1 << 19
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads every bit."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
 
+class Words(dict):
+    """Hashes of words, remembered up to a bound."""
 
-def grams(data: np.ndarray, ends: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """(last position, n-gram number) of all n-grams that lie within one text; ``ends``: end of each position's text.
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= KNOWN_WORDS:
+            self.clear()
+        value = self[word] = xxhash.xxh64_intdigest(word)
+        return value
 
-    The number holds the length above the bytes, so n-grams of all lengths share one table.
+
+def grams(texts: list[bytes], order: int, words: Words) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """(per n: hash of the n-gram that ends at each position, number of the text, place in the text) of all words.
+
+    Where fewer than n words stand before the end of the n-gram, its hash means nothing (place < n - 1).
     """
-    m = len(data) - n + 1
-    if m <= 0:
+    cut = [t.split() for t in texts]
+    sizes = np.array([len(c) for c in cut], dtype=np.int64)
+    n_words = int(sizes.sum())
+    one = np.fromiter((words[w] for c in cut for w in c), dtype=np.uint64, count=n_words)
+    text = np.repeat(np.arange(len(texts)), sizes)
+    place = np.arange(n_words) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    levels = [_mix(one)]
+    for n in range(2, order + 1):
+        longer = np.zeros(n_words, dtype=np.uint64)
+        longer[1:] = _mix(levels[-1][:-1] * np.uint64(0x9E3779B97F4A7C15) + one[1:] + np.uint64(n))
+        levels.append(longer)
+    return [level.view(np.int64) for level in levels], text, place
+
+
+def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and their summed counts."""
+    if not keys:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    key = np.zeros(m, dtype=np.int64)
-    for j in range(n):
-        key = (key << 8) | data[j : j + m]
-    start = np.flatnonzero(np.arange(n, m + n) <= ends[:m])
-    return start + n - 1, key[start] | (n << 48)
+    key, num = np.concatenate(keys), np.concatenate(counts)
+    sort = np.argsort(key)
+    key, num = key[sort], num[sort]
+    first = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), key[1:] != key[:-1])))
+    return key[first], np.add.reduceat(num, first) if len(first) else num
 
 
-def _join_texts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    sizes = np.array([len(t) for t in texts], dtype=np.int64)
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    return data, np.repeat(np.cumsum(sizes), sizes), sizes
+def count_grams(texts: list[bytes], order: int, words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and counts of all n-grams that lie within one text, n = 1 .. order, sorted by hash."""
+    levels, _, place = grams(texts, order, words)
+    every = np.concatenate([level[place >= n] for n, level in enumerate(levels)])
+    return np.unique(every, return_counts=True)
 
 
-def count_grams(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Numbers and counts of all n-grams of the texts, n = 1 .. order.
+def document_sums(texts: list[bytes], table: tuple[np.ndarray, np.ndarray], corpus: int, order: int, alpha: float, words: Words) -> tuple[np.ndarray, ...]:
+    """(words, sum of scores in millionths, positions scored by a shorter context than they have) of each text."""
+    keys, totals = table
+    levels, text, place = grams(texts, order, words)
+    n_words = len(text)
+    sizes = np.bincount(text, minlength=len(texts))
+    step = int(np.rint(np.log(alpha) * MICRO))
+    score, backed = np.zeros(n_words, np.int64), np.ones(n_words, bool)
+    most = np.minimum(place + 1, order)
+    # Words of all other documents; the score of a word that none of them holds.
+    base = np.maximum(corpus - sizes, 1)[text]
+    score[:] = np.rint(np.log(1.0 / base) * MICRO).astype(np.int64) + most * step
+    for n, level in enumerate(levels, start=1):
+        at = np.flatnonzero(place >= n - 1)
+        other = np.zeros(n_words, np.int64)
+        if len(at):
+            # Equal n-grams side by side, in the order of texts: runs within a text are the text's own count.
+            at = at[np.argsort(level[at], kind="stable")]
+            key, owner = level[at], text[at]
+            new = np.concatenate(([True], key[1:] != key[:-1]))
+            total = totals[np.searchsorted(keys, key[new])][np.cumsum(new) - 1]
+            cuts = np.flatnonzero(new | np.concatenate(([True], owner[1:] != owner[:-1])))
+            own = np.diff(np.append(cuts, len(at)))
+            other[at] = total - np.repeat(own, own)
+        hit = np.flatnonzero(other > 0)
+        score[hit] = np.rint(np.log(other[hit] / base[hit]) * MICRO).astype(np.int64) + (most[hit] - n) * step
+        backed[hit] = most[hit] > n
+        # What the next longer n-gram is divided by: its context, which ends one word earlier.
+        base = np.concatenate((np.ones(min(1, n_words), np.int64), other[:-1]))
+    edge = np.concatenate(([0], np.cumsum(sizes)))
+    total, back = np.concatenate(([0], np.cumsum(score))), np.concatenate(([0], np.cumsum(backed)))
+    return sizes, total[edge[1:]] - total[edge[:-1]], back[edge[1:]] - back[edge[:-1]]
 
-    An n-gram is coded by the code of its first n-1 bytes and its last byte; codes stay dense, so counting needs no sort.
-    """
-    data, ends, _ = _join_texts(texts)
-    found, counts = [], []
-    code = np.zeros(len(data), dtype=np.int64)  # of the n-gram that begins here
-    at = np.arange(len(data))
-    names = np.zeros(1, dtype=np.int64)
-    for n in range(1, order + 1):
-        keep = at + n <= ends[at] if len(at) else np.zeros(0, bool)
-        at, code = at[keep], code[keep]
-        if not len(at):
-            break
-        wide = code * 256 + data[at + n - 1]
-        if len(names) * 256 <= 1 << 25:
-            table = np.bincount(wide, minlength=len(names) * 256)
-            used = np.flatnonzero(table)
-            size = table[used]
-            del table
-            dense = np.zeros(len(names) * 256, dtype=np.int32)
-            dense[used] = np.arange(len(used))
-            code = dense[wide].astype(np.int64)
-            del dense
-        else:
-            used, code, size = np.unique(wide, return_inverse=True, return_counts=True)
-        names = (names[used >> 8] << 8) | (used & 255)
-        found.append(names | (n << 48))
-        counts.append(size)
-    return (np.concatenate(found), np.concatenate(counts)) if found else (np.empty(0, np.int64), np.empty(0, np.int64))
-
-
-class Scores:
-    """Log scores, in millionths, of the n-grams of one partition that reach the cutoff (single bytes always)."""
-
-    def __init__(self, keys: np.ndarray, totals: np.ndarray, corpus: int, order: int, cutoff: int, alpha: float):
-        n = keys >> 48
-        keep = (n == 1) | (totals >= cutoff)
-        sort = np.argsort(keys[keep])
-        self.keys, totals = keys[keep][sort], totals[keep][sort]
-        self.order = order
-        n = self.keys >> 48
-        body = self.keys & ((1 << 48) - 1)
-        context = np.where(n > 1, (body >> 8) | ((n - 1) << 48), self.keys)
-        base = np.where(n > 1, totals[np.minimum(np.searchsorted(self.keys, context), max(0, len(self.keys) - 1))], corpus)
-        self.values = np.rint(np.log(totals / base) * MICRO).astype(np.int64)
-        self.step = int(np.rint(np.log(alpha) * MICRO))
-
-    def document_sums(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(sum of the scores of all positions, number of positions scored by a shorter context) of each text."""
-        data, ends, sizes = _join_texts(texts)
-        n_bytes = len(data)
-        score, backed = np.zeros(n_bytes, np.int64), np.zeros(n_bytes, np.int64)
-        starts = ends - np.repeat(sizes, sizes)
-        most = np.minimum(np.arange(n_bytes) - starts + 1, self.order)
-        open_ = np.arange(n_bytes)
-        for n in range(self.order, 0, -1):
-            now = open_[most[open_] >= n]
-            if not len(now):
-                continue
-            key = np.zeros(len(now), dtype=np.int64)
-            for j in range(n - 1, -1, -1):
-                key = (key << 8) | data[now - j]
-            key |= n << 48
-            at = np.minimum(np.searchsorted(self.keys, key), max(0, len(self.keys) - 1))
-            hit = self.keys[at] == key
-            short = most[now[hit]] - n
-            score[now[hit]] = self.values[at[hit]] + short * self.step
-            backed[now[hit]] = short > 0
-            done = np.zeros(n_bytes, dtype=bool)
-            done[now[hit]] = True
-            open_ = open_[~done[open_]]
-        edge = np.concatenate(([0], np.cumsum(sizes)))
-        total, back = np.concatenate(([0], np.cumsum(score))), np.concatenate(([0], np.cumsum(backed)))
-        return total[edge[1:]] - total[edge[:-1]], back[edge[1:]] - back[edge[:-1]]
-
-
-def _lots(values: list):
-    """Runs of neighbouring rows with about LOT bytes of text."""
+
+def _raw(value: str | None) -> bytes:
+    return (value or "").encode()
+
+
+def _lots(values: list[str | None], most: int) -> Iterator[list[bytes]]:
+    """Runs of neighbouring rows with about ``most`` bytes of text."""
     lot, size = [], 0
     for v in values:
-        raw = (v or "").encode() if isinstance(v, str) or v is None else v
+        raw = _raw(v)
         lot.append(raw)
         size += len(raw)
-        if size >= LOT:
+        if size >= most:
             yield lot
             lot, size = [], 0
     if lot:
         yield lot
 
 
-def stupid_backoff(docs: DataFrame, order: int = ORDER, cutoff: int = CUTOFF, alpha: float = ALPHA, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, score_micro, n_backed_off, mean_score) of every whole text, by a model of all texts.
+class Blocks:
+    """Block numbers of the rows of one scan partition, from the sizes of its texts in scan order alone."""
+
+    def __init__(self, most: int) -> None:
+        self.most, self.block, self.size = most, 0, 0
 
-    score_micro is the sum of the natural logarithms in millionths, n_backed_off the number of bytes scored with a shorter
-    context than they have, mean_score the mean logarithm per byte (NULL without a byte). NULL text counts as empty: it
-    has no n-gram and scores 0. NULL and repeated ids and repeated rows are scored row by row and all count towards the
-    tables. Empty input gives an empty result; other columns are left out.
+    def __call__(self, values: list[str | None]) -> list[int]:
+        out = []
+        for v in values:
+            if self.size >= self.most:
+                self.block, self.size = self.block + 1, 0
+            out.append(self.block)
+            self.size += len(_raw(v))
+        return out
 
-    An n-gram in every document is one row per scan partition, whatever its frequency; texts are shuffled once, by scan
-    partition, whose size the reader bounds. The input is read twice and has to be a stable table. One number, the corpus
-    size, reaches the driver.
+
+def stupid_backoff(
+    docs: DataFrame, order: int = ORDER, alpha: float = ALPHA, doc_id: str = "doc_id", text: str = "text",
+    *, lot_bytes: int = LOT, block_bytes: int = BLOCK,
+) -> DataFrame:
+    """(doc_id, n_words, score_micro, n_backed_off, mean_score) of every whole text, by a model of all other texts.
+
+    Words are `[^\\x20\\x09-\\x0D]+`. score_micro is the sum of the natural logarithms in millionths, n_backed_off the number
+    of words scored with a shorter context than they have, mean_score the mean logarithm per word (NULL without a word).
+    NULL text counts as empty: it has no n-gram and scores 0. NULL and repeated ids and repeated rows are scored row by row,
+    each by all other rows, so a repeated text is seen in its copy. Empty input gives an empty result; other columns are
+    left out.
+
+    An n-gram in every document is one row per block, whatever its frequency; texts are shuffled once, by block. A task holds
+    the counts of one block (a text longer than a block is one of its own). The input is read twice and has to be a stable
+    table. One number, the corpus size, reaches the driver.
     """
-    if not 1 <= order <= 6:
-        raise ValueError("order must be 1 to 6")
+    if order < 1:
+        raise ValueError("order must be at least 1")
     rows = pick(docs, doc_id=doc_id, text=text)
-    spark = rows.sparkSession
-    n_parts = partitions(spark)
-    block = F.spark_partition_id().alias("block")
+    n_parts = partitions(rows.sparkSession)
+    place = F.spark_partition_id().alias("scan")
 
     def count(batches):
-        # One table per scan partition, merged as it grows, so memory is bounded by its distinct n-grams.
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        which = None
-
-        def merge():
-            key = np.concatenate([k for k, _ in held])
-            num = np.concatenate([c for _, c in held])
-            order_ = np.argsort(key, kind="stable")
-            key, num = key[order_], num[order_]
-            first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            return key[first], np.add.reduceat(num, first)
+        blocks, words, at, which, keys, counts = Blocks(block_bytes), Words(), None, 0, [], []
+
+        def rows_of(number):
+            key, num = _merge(keys, counts)
+            for lo in range(0, len(key), 1 << 17):
+                part = slice(lo, lo + (1 << 17))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key[part]), number, np.int64)), pa.array(key[part]), pa.array(num[part])], names=["block", "gram", "n"])
+
+        for b in batches:
+            values = b.column(1).to_pylist()
+            numbers = np.array(blocks(values), dtype=np.int64)
+            if b.num_rows:
+                which = b.column(0)[0].as_py() * SPREAD
+            for number in np.unique(numbers):
+                if at is not None and number != at:
+                    yield from rows_of(which + at)
+                    keys, counts = [], []
+                at = number
+                lo, hi = np.searchsorted(numbers, [number, number + 1])
+                for lot in _lots(values[lo:hi], lot_bytes):
+                    key, num = count_grams(lot, order, words)
+                    keys.append(key)
+                    counts.append(num)
+        if at is not None:
+            yield from rows_of(which + at)
 
+    def deal(batches):
+        blocks = Blocks(block_bytes)
         for b in batches:
             if b.num_rows:
-                which = b.column(0)[0].as_py()
-            for lot in _lots(b.column(1).to_pylist()):
-                k, c = count_grams(lot, order)
-                if len(k):
-                    held.append((k, c))
-                if len(held) > 8:
-                    held = [merge()]
-        if held:
-            key, num = merge()
-            for at in range(0, len(key), 1 << 17):
-                part = slice(at, at + (1 << 17))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key[part]), which, np.int32)), pa.array(key[part]), pa.array(num[part])], names=["block", "gram", "n"])
-
-    counted = rows.select(block, "text").mapInArrow(count, "block int, gram long, n long")
-    corpus = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    totals = counted.withColumn("total", F.sum("n").over(Window.partitionBy("gram")))
-    lone = F.shiftright("gram", 48) == 1
-    table = totals.where(lone | (F.col("total") >= cutoff)).select("block", F.lit(0).alias("kind"), F.col("gram"), "total", F.lit(None).cast(rows.schema["doc_id"].dataType).alias("doc_id"), F.lit(None).cast("string").alias("text"))
-    texts = rows.select(block, F.lit(1).alias("kind"), F.lit(0).cast("long").alias("gram"), F.lit(0).cast("long").alias("total"), "doc_id", "text")
+                numbers = np.array(blocks(b.column(2).to_pylist()), dtype=np.int64) + b.column(0)[0].as_py() * SPREAD
+                yield pa.RecordBatch.from_arrays([pa.array(numbers), b.column(1), b.column(2)], names=["block", "doc_id", "text"])
+
+    id_type = rows.schema["doc_id"].dataType
+    counted = rows.select(place, "text").mapInArrow(count, "block long, gram long, n long")
+    total = F.sum("n").over(Window.partitionBy("gram")).alias("total")
+    shared = counted.select("block", "gram", "n", total).where(F.col("total") != F.col("n"))
+    table = shared.select("block", F.lit(0).alias("kind"), "gram", "total", F.lit(None).cast(id_type).alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    dealt_type = T.StructType([T.StructField("block", T.LongType()), T.StructField("doc_id", id_type), T.StructField("text", T.StringType())])
+    texts = rows.select(place, "doc_id", "text").mapInArrow(deal, dealt_type)
+    none = F.lit(0).cast("long")
+    texts = texts.select("block", F.lit(1).alias("kind"), none.alias("gram"), none.alias("total"), "doc_id", "text")
     dealt = table.unionByName(texts).repartition(n_parts, "block").sortWithinPartitions("block", "kind", "gram")
-    fields = T.StructType([rows.schema["doc_id"]] + [T.StructField(n, t) for n, t in (("n_bytes", T.LongType()), ("score_micro", T.LongType()), ("n_backed_off", T.LongType()), ("mean_score", T.DoubleType()))])
+    words_of = F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    corpus = rows.agg(F.sum(words_of.cast("long"))).first()[0] or 0
+    fields = T.StructType([T.StructField("doc_id", id_type)] + [T.StructField(n, t) for n, t in (("n_words", T.LongType()), ("score_micro", T.LongType()), ("n_backed_off", T.LongType()), ("mean_score", T.DoubleType()))])
+
+    def finish(ids, raw, keys, totals, words):
+        """Scores of one block: counts of its own, replaced by the totals of what other blocks hold too."""
+        table = _merge(*map(list, zip(*(count_grams(lot, order, words) for lot in _lots(raw, lot_bytes)))))
+        if keys:
+            table[1][np.searchsorted(table[0], np.concatenate(keys))] = np.concatenate(totals)
+        size, total, back = (np.concatenate(x) for x in zip(*(document_sums(lot, table, corpus, order, alpha, words) for lot in _lots(raw, lot_bytes))))
+        mean = pa.array(total / np.maximum(size, 1) / MICRO, mask=size == 0)
+        return pa.RecordBatch.from_arrays([ids, pa.array(size, pa.int64()), pa.array(total, pa.int64()), pa.array(back, pa.int64()), mean], names=fields.names)
 
     def score(batches):
-        scores, at, keys, sums = None, None, [], []
+        words, at, keys, totals, ids, raw = Words(), None, [], [], [], []
         for b in batches:
             blocks, kinds = b.column(0).to_numpy(), b.column(1).to_numpy()
             cuts = [0, *(np.flatnonzero((blocks[1:] != blocks[:-1]) | (kinds[1:] != kinds[:-1])) + 1).tolist(), len(blocks)]
             for lo, hi in zip(cuts, cuts[1:]):
                 if hi == lo:
                     continue
-                part = b.slice(lo, hi - lo)
                 if blocks[lo] != at:
-                    at, keys, sums, scores = blocks[lo], [], [], None
+                    if raw:
+                        yield finish(pa.concat_arrays(ids), raw, keys, totals, words)
+                    at, keys, totals, ids, raw = blocks[lo], [], [], [], []
+                part = b.slice(lo, hi - lo)
                 if kinds[lo] == 0:
                     keys.append(part.column(2).to_numpy())
-                    sums.append(part.column(3).to_numpy())
-                    continue
-                if scores is None:
-                    empty = np.empty(0, np.int64)
-                    scores = Scores(np.concatenate(keys) if keys else empty, np.concatenate(sums) if sums else empty, corpus, order, cutoff, alpha)
-                    keys, sums = [], []
-                total, back, size = [], [], []
-                for lot in _lots(part.column(5).to_pylist()):
-                    s, k = scores.document_sums(lot)
-                    total += s.tolist()
-                    back += k.tolist()
-                    size += [len(x) for x in lot]
-                mean = [s / n / MICRO if n else None for s, n in zip(total, size)]
-                yield pa.RecordBatch.from_arrays([part.column(4), pa.array(size, pa.int64()), pa.array(total, pa.int64()), pa.array(back, pa.int64()), pa.array(mean, pa.float64())], names=fields.names)
+                    totals.append(part.column(3).to_numpy())
+                else:
+                    ids.append(part.column(4))
+                    raw += part.column(5).to_pylist()
+        if raw:
+            yield finish(pa.concat_arrays(ids), raw, keys, totals, words)
 
     return dealt.select("block", "kind", "gram", "total", "doc_id", "text").mapInArrow(score, fields)

@@ -2,22 +2,24 @@
 
 from __future__ import annotations
 
-#: Every byte of every text (as two hex digits) with the bytes before it, all n-grams, and all corpus counts.
+#: Every word of every text with the words before it, all n-grams, and their counts in all other texts.
 OP1 = """
-WITH d AS (SELECT doc_id, regexp_extract_all(hex(encode(coalesce(text, ''))), '..') AS bytes FROM documents),
-p AS (SELECT doc_id, unnest(bytes) AS b, generate_subscripts(bytes, 1) AS i FROM d),
-w AS (SELECT doc_id, i, b, lag(b, 1) OVER o AS b1, lag(b, 2) OVER o AS b2, lag(b, 3) OVER o AS b3, lag(b, 4) OVER o AS b4 FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
-g AS (SELECT doc_id, i, 1 AS n, b AS gram FROM w
-      UNION ALL SELECT doc_id, i, 2, b1 || b FROM w WHERE b1 IS NOT NULL
-      UNION ALL SELECT doc_id, i, 3, b2 || b1 || b FROM w WHERE b2 IS NOT NULL
-      UNION ALL SELECT doc_id, i, 4, b3 || b2 || b1 || b FROM w WHERE b3 IS NOT NULL
-      UNION ALL SELECT doc_id, i, 5, b4 || b3 || b2 || b1 || b FROM w WHERE b4 IS NOT NULL),
-c AS MATERIALIZED (SELECT gram, count(*) AS k FROM g GROUP BY gram),
-s AS (SELECT c.gram, CAST(round_even(ln(c.k / coalesce(x.k, (SELECT count(*) FROM p))) * 1000000, 0) AS BIGINT) AS micro
-      FROM c LEFT JOIN c x ON length(c.gram) > 2 AND x.gram = c.gram[: length(c.gram) - 2] WHERE length(c.gram) = 2 OR c.k >= 5),
-best AS (SELECT g.doc_id, g.i, max(g.n) AS n, max_by(s.micro, g.n) AS micro FROM g JOIN s USING (gram) GROUP BY g.doc_id, g.i),
-sums AS (SELECT doc_id, sum(micro + (least(i, 5) - n) * CAST(round_even(ln(0.4) * 1000000, 0) AS BIGINT)) AS score_micro, sum(CAST(n < least(i, 5) AS INT)) AS backed FROM best GROUP BY doc_id)
-SELECT d.doc_id, CAST(len(bytes) AS BIGINT) AS n_bytes, CAST(coalesce(score_micro, 0) AS BIGINT) AS score_micro, CAST(coalesce(backed, 0) AS BIGINT) AS n_backed_off
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+p AS (SELECT doc_id, len(words) AS size, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM d),
+w AS (SELECT doc_id, size, i, w, lag(w, 1) OVER o AS w1, lag(w, 2) OVER o AS w2 FROM p WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+g AS (SELECT doc_id, i, 1 AS n, w AS gram, '' AS context FROM w
+      UNION ALL SELECT doc_id, i, 2, w1 || ' ' || w, w1 FROM w WHERE w1 IS NOT NULL
+      UNION ALL SELECT doc_id, i, 3, w2 || ' ' || w1 || ' ' || w, w2 || ' ' || w1 FROM w WHERE w2 IS NOT NULL),
+own AS MATERIALIZED (SELECT doc_id, gram, count(*) AS k FROM g GROUP BY doc_id, gram),
+c AS MATERIALIZED (SELECT gram, sum(k) AS k FROM own GROUP BY gram),
+other AS MATERIALIZED (SELECT doc_id, gram, CAST(c.k - own.k AS BIGINT) AS k FROM own JOIN c USING (gram) WHERE c.k > own.k
+      UNION ALL SELECT doc_id, '', greatest((SELECT count(*) FROM p) - len(words), 1) FROM d),
+best AS (SELECT g.doc_id, i, max(n) AS n, max_by(o.k / x.k, n) AS share
+         FROM g JOIN other o ON o.doc_id = g.doc_id AND o.gram = g.gram JOIN other x ON x.doc_id = g.doc_id AND x.gram = g.context GROUP BY g.doc_id, i),
+s AS (SELECT w.doc_id, least(w.i, 3) - coalesce(n, 0) AS short, coalesce(share, 1.0 / o.k) AS share
+      FROM w JOIN other o ON o.doc_id = w.doc_id AND o.gram = '' LEFT JOIN best ON best.doc_id = w.doc_id AND best.i = w.i),
+sums AS (SELECT doc_id, sum(CAST(round_even(ln(share) * 1000000, 0) AS BIGINT) + short * CAST(round_even(ln(0.4) * 1000000, 0) AS BIGINT)) AS score_micro, sum(CAST(short > 0 AS INT)) AS backed FROM s GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(score_micro, 0) AS BIGINT) AS score_micro, CAST(coalesce(backed, 0) AS BIGINT) AS n_backed_off
 FROM d LEFT JOIN sums USING (doc_id)
 """
 

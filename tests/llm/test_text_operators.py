@@ -71,25 +71,37 @@ def test_components(spark):
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_lm_score(spark, corpus):
-    texts = [(t or "").encode() for _, t in corpus]
-    count: Counter = Counter(b[i : i + n] for b in texts for n in range(1, 6) for i in range(len(b) - n + 1))
+@pytest.mark.parametrize("lot, block", [(lm_score.LOT, lm_score.BLOCK), (300, 900)])
+def test_lm_score(spark, corpus, lot, block):
+    texts = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in corpus]
+
+    def count_of(words: list[str]) -> Counter:
+        return Counter(tuple(words[i : i + n]) for n in (1, 2, 3) for i in range(len(words) - n + 1))
+
+    count = sum(map(count_of, texts), Counter())
     total = sum(map(len, texts))
     step = int(np.rint(np.log(lm_score.ALPHA) * lm_score.MICRO))
 
-    def score(b: bytes) -> int:
-        out = 0
-        for i in range(len(b)):
-            most = min(5, i + 1)
+    def micro(share: float) -> int:
+        return int(np.rint(np.log(share) * lm_score.MICRO))
+
+    def score(words: list[str]) -> tuple[int, int]:
+        own, out, backed = count_of(words), 0, 0
+        elsewhere = max(total - len(words), 1)
+        for i in range(len(words)):
+            most = min(3, i + 1)
+            value, short = micro(1 / elsewhere), most
             for n in range(most, 0, -1):
-                gram = b[i + 1 - n : i + 1]
-                if n == 1 or count[gram] >= lm_score.CUTOFF:
-                    out += int(np.rint(np.log(count[gram] / (count[gram[:-1]] if n > 1 else total)) * lm_score.MICRO)) + (most - n) * step
+                gram = tuple(words[i + 1 - n : i + 1])
+                if count[gram] > own[gram]:
+                    value, short = micro((count[gram] - own[gram]) / (count[gram[:-1]] - own[gram[:-1]] if n > 1 else elsewhere)), most - n
                     break
-        return out
+            out, backed = out + value + short * step, backed + (short > 0)
+        return out, backed
 
-    got = Counter((r["doc_id"], r["n_bytes"], r["score_micro"]) for r in lm_score.stupid_backoff(frame(spark, corpus)).collect())
-    assert got == Counter((i, len(b), score(b)) for (i, _), b in zip(corpus, texts))
+    got = lm_score.stupid_backoff(frame(spark, corpus), lot_bytes=lot, block_bytes=block).collect()
+    assert Counter((r["doc_id"], r["n_words"], r["score_micro"], r["n_backed_off"]) for r in got) == Counter((i, len(w), *score(w)) for (i, _), w in zip(corpus, texts))
+    assert all(r["mean_score"] is None if not r["n_words"] else abs(r["mean_score"] - r["score_micro"] / r["n_words"] / 1e6) < 1e-9 for r in got)
     assert lm_score.stupid_backoff(frame(spark, [])).count() == 0
 
 
