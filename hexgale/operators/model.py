@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hexgale.functions.scalar import clip_probability, logistic, logit
-from hexgale.operators.encode import column_medians, departure_weight, holdout_flag, median_impute, structurally_valid
+from hexgale.operators.encode import column_medians, departure_weight, holdout_flag, median_impute, structurally_valid, to_number
 from hexgale.operators.ordered import MAX_GROUP, average_rank, quantiles, row_index
 from hexgale.operators.rank_metrics import rank_metrics, stratified_rank_metrics
 from hexgale.session import cut_lineage
@@ -121,7 +121,7 @@ def shift_weights(
     if boosted:
         stage = GBTClassifier(maxIter=rounds, stepSize=0.05, maxDepth=5, subsamplingRate=0.8, seed=seed, **common)
     else:
-        stage = LogisticRegression(maxIter=2000, **common)
+        stage = LogisticRegression(maxIter=2000, tol=1e-9, **common)
     stage = stage.setProbabilityCol("_prob").setRawPredictionCol("_raw")
     scored = score(_pipeline(features, stage).fit(both), both.where("_dom = 0"), "_p")
     p = clip_probability(F.col("_p"))
@@ -161,34 +161,41 @@ def best_c(grid: DataFrame, metric: str = "prauc") -> float:
     return float(best["c"]) if best else float(C_GRID[0])
 
 
-@dataclass
+def two_classes(df: DataFrame, label: str, least: int = 1) -> bool:
+    """Whether a table has at least ``least`` rows and both classes; without them no model is fitted (K6, K7)."""
+    r = df.agg(F.count(F.lit(1)).alias("n"), F.min(label).alias("lo"), F.max(label).alias("hi")).first()
+    return r["n"] >= least and r["lo"] != r["hi"]
+
+
+@dataclass(frozen=True)
 class OffsetModel:
-    """Binomial GLM with offset: full prediction by MLlib, component as an expression."""
+    """Binomial GLM with offset as column expressions."""
 
-    model: object
-    features: list[str]
+    intercept: float
+    coefficients: Mapping[str, float]
+
+    def _linear(self) -> Column:
+        lp = F.lit(float(self.intercept))
+        for c, b in self.coefficients.items():
+            lp = lp + F.lit(float(b)) * F.col(c)
+        return lp
 
     def component(self) -> Column:
         """Prediction without the offset (K6)."""
-        lp = F.lit(float(self.model.intercept))
-        for b, c in zip(self.model.coefficients, self.features):
-            lp = lp + F.lit(float(b)) * F.col(c)
-        return clip_probability(logistic(lp))
+        return clip_probability(logistic(self._linear()))
 
     def full(self, offset: Column) -> Column:
-        lp = F.lit(float(self.model.intercept)) + offset
-        for b, c in zip(self.model.coefficients, self.features):
-            lp = lp + F.lit(float(b)) * F.col(c)
-        return clip_probability(logistic(lp))
+        return clip_probability(logistic(self._linear() + offset))
 
 
 def fit_offset_glm(df: DataFrame, features: Sequence[str], label: str, offset: str, weight: str | None = None) -> OffsetModel:
     """Binomial GLM with a logit link and an offset (K6)."""
     vec = VectorAssembler(inputCols=list(features), outputCol="_features").transform(df)
     glm = GeneralizedLinearRegression(
-        family="binomial", link="logit", featuresCol="_features", labelCol=label, offsetCol=offset, maxIter=200, predictionCol="_pred"
+        family="binomial", link="logit", featuresCol="_features", labelCol=label, offsetCol=offset, maxIter=200, tol=1e-9, predictionCol="_pred"
     )
-    return OffsetModel((glm.setWeightCol(weight) if weight else glm).fit(vec), list(features))
+    fitted = (glm.setWeightCol(weight) if weight else glm).fit(vec)
+    return OffsetModel(float(fitted.intercept), {c: float(b) for c, b in zip(features, fitted.coefficients)})
 
 
 def residual_out_of_fold(
@@ -202,7 +209,7 @@ def residual_out_of_fold(
         train = work.where((F.col(fold) != f) & F.col("_ok"))
         held = work.where(F.col(fold) == f)
         value = F.lit(None).cast("double")
-        if train.count() >= min_rows:
+        if two_classes(train, label, min_rows):
             value = F.when(F.col("_ok"), fit_offset_glm(train, features, label, "_off", weight).component())
         part = held.withColumn(name, value)
         out = part if out is None else out.unionByName(part)
@@ -228,6 +235,44 @@ def _tagged_metrics(df: DataFrame, split: str, label: str, column: str, key: str
     return rank_metrics(df, [], label, column, key, max_group=max_group).select(F.lit(split).alias("split"), "*")
 
 
+def _eligible(gate: tuple[str, float] | None) -> Column:
+    """Rows of the residual model: structurally valid and, with a gate, at or above its threshold."""
+    ok = structurally_valid()
+    return ok if gate is None else ok & F.coalesce(to_number(F.col(gate[0])) >= gate[1], F.lit(False))
+
+
+def resolve_gate(df: DataFrame, column: str, threshold: float) -> tuple[str, float]:
+    """The gate in the scale of the column: percentiles may be stored as 0-1 or 0-100."""
+    if column != "gust_peak_percentile":
+        return column, float(threshold)
+    top = df.agg(F.max(to_number(F.col(column)))).first()[0] or 0.0
+    percent = threshold * 100.0 if threshold <= 1.0 else threshold
+    return column, float(percent if top > 1.5 else percent / 100.0)
+
+
+def score_run(df: DataFrame, models: Mapping[str, PipelineModel], settings: Mapping) -> DataFrame:
+    """Rows scored by the models of a run, fresh or loaded: families, residual model and, if there is one, the meta model (K7).
+
+    Missing features are filled with the medians of the training rows; whether a row is eligible for the residual model is
+    judged before that. Without a residual model its logit is neutral (0).
+    """
+    columns, medians = settings["columns"], settings["medians"]
+    out = df.withColumn("_elig", _eligible(tuple(settings["gate"]) if settings["gate"] else None))
+    out = out.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(medians[c])) for c in medians})
+    for f in columns:
+        out = score(models[f], out, f"pred_{f}")
+    if settings["use_residual"]:
+        part, full = F.lit(None).cast("double"), F.lit(None).cast("double")
+        if settings["residual"]:
+            glm = OffsetModel(**settings["residual"])
+            part = F.when(F.col("_elig"), glm.component())
+            full = F.when(F.col("_elig"), glm.full(logit(F.col("pred_wind"))))
+        out = out.withColumns({"pred_residual": part, "pred_residual_full": full})
+        out = out.withColumn("residual_logit", logit(F.coalesce("pred_residual", F.lit(0.5))))
+    out = out.drop("_elig")
+    return score(models["meta"], out, "pred_meta") if "meta" in models else out
+
+
 def run_families(
     df: DataFrame,
     families: Sequence[str],
@@ -242,11 +287,15 @@ def run_families(
     shift: bool = True,
     shift_rounds: int = 400,
     residual: bool = False,
-    gate: Column | None = None,
+    gate: tuple[str, float] | None = None,
     select_metric: str = "prauc",
     max_group: int = MAX_GROUP,
 ) -> FamilyRun:
-    """Out-of-fold base models, stacked meta model, refit on all training rows and holdout scores (K2-K7)."""
+    """Out-of-fold base models, stacked meta model, refit on all training rows and holdout scores (K2-K7).
+
+    The final meta model is fitted on the scores of the refitted models, the same that rows to be scored get. ``gate`` is
+    (column, threshold) for the residual model. Training rows of one class are an error.
+    """
     known = [f for f in FAMILIES if f in families]
     if not known or len(known) != len(set(families)):
         raise ValueError(f"families must be among {list(FAMILIES)}")
@@ -255,16 +304,23 @@ def run_families(
     held = holdout_flag(holdout_bbox) if holdout_bbox else F.lit(False)
     flagged = df.withColumn("_hold", held).withColumn(label, F.col(label).cast("int"))
     inside, holdout = flagged.where(~F.col("_hold")).drop("_hold"), flagged.where("_hold").drop("_hold")
+    if not two_classes(inside, label):
+        raise ValueError("training rows need both classes")
     has_holdout = holdout_bbox is not None and not holdout.isEmpty()
 
-    medians = column_medians(inside, every)
-    eligible = structurally_valid() & (gate if gate is not None else F.lit(True))
-    inside = inside.withColumn("_elig", eligible)
+    residual_cols = sorted({c for f in known if f != "wind" for c in columns[f]})
+    use_residual = residual and "wind" in known and bool(residual_cols)
+    settings = {
+        "families": known, "columns": columns, "medians": column_medians(inside, every), "folds": k, "seed": SEED,
+        "gate": resolve_gate(inside, *gate) if gate else None, "use_residual": use_residual, "residual": None,
+    }
 
     def filled(part: DataFrame) -> DataFrame:
-        return part.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(medians[c])) for c in every})
+        return part.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(v)) for c, v in settings["medians"].items()})
 
-    train = cut_lineage(departure_weight(cut_lineage(filled(inside)), max_group=max_group))
+    # Whether a row is eligible is judged before its gaps are filled.
+    inside = cut_lineage(departure_weight(inside, max_group=max_group))
+    train = filled(inside.withColumn("_elig", _eligible(settings["gate"])))
     if shift and has_holdout:
         w = shift_weights(
             train.where(F.col(label) == 0), filled(holdout).where(F.col(label) == 0), every, key, rounds=shift_rounds, max_group=max_group
@@ -279,8 +335,6 @@ def run_families(
     for f in known:
         oof = cut_lineage(out_of_fold(oof, "fold", k, fitter(f), f"pred_{f}"))
     meta = [f"pred_{f}" for f in known]
-    residual_cols = sorted({c for f in known if f != "wind" for c in columns[f]})
-    use_residual = residual and "wind" in known and bool(residual_cols)
     if use_residual:
         oof = group_folds(oof, storm_group("ref_storm_id", key), label, k, name="storm_fold", max_group=max_group)
         oof = residual_out_of_fold(cut_lineage(oof), residual_cols, label, "pred_wind", "storm_fold", k, "weight", F.col("_elig"))
@@ -289,32 +343,24 @@ def run_families(
     c = best_c(meta_grid(oof, meta, label, "fold", k, key, grid=grid, max_group=max_group), select_metric)
     oof = cut_lineage(meta_out_of_fold(oof, meta, label, "fold", k, c))
     metrics = _tagged_metrics(oof, "IN_OOF", label, "pred_meta", key, max_group)
+
     models = {f: fitter(f)(train) for f in known}
-    models["meta"] = fit_meta(oof, meta, label, c, oof.count())
-    run = FamilyRun(oof, metrics, models=models, settings={"families": known, "columns": columns, "best_c": c, "folds": k, "seed": SEED})
-    glm = None
     if use_residual:
         ok = oof.where("_elig").withColumn("_off", logit(F.col("pred_wind")))
-        glm = fit_offset_glm(ok, residual_cols, label, "_off", "weight") if ok.count() >= MIN_RESIDUAL_ROWS else None
-        run.metrics = run.metrics.unionByName(
+        if two_classes(ok, label, MIN_RESIDUAL_ROWS):
+            glm = fit_offset_glm(ok, residual_cols, label, "_off", "weight")
+            settings["residual"] = {"intercept": glm.intercept, "coefficients": dict(glm.coefficients)}
+        metrics = metrics.unionByName(
             _tagged_metrics(oof.where("residual IS NOT NULL"), "IN_OOF_RESIDUAL", label, "residual", key, max_group)
         )
+    refitted = cut_lineage(score_run(inside, models, settings))
+    models["meta"] = fit_meta(refitted, meta, label, c, refitted.count())
+    settings["best_c"] = c
+    run = FamilyRun(oof, metrics, models=models, settings=settings)
     if not has_holdout:
         return run
 
-    scored = filled(holdout.withColumn("_elig", eligible))
-    for f in known:
-        scored = score(models[f], scored, f"pred_{f}")
-    if use_residual:
-        off = logit(F.col("pred_wind"))
-        none = F.lit(None).cast("double")
-        scored = scored.withColumns(
-            {
-                "pred_residual": F.when(F.col("_elig"), glm.component()) if glm else none,
-                "pred_residual_full": F.when(F.col("_elig"), glm.full(off)) if glm else none,
-            }
-        ).withColumn("residual_logit", logit(F.coalesce("pred_residual", F.lit(0.5))))
-    scored = cut_lineage(score(models["meta"], scored, "pred_meta"))
+    scored = cut_lineage(score_run(holdout, models, settings))
     run.holdout = scored
     parts = [_tagged_metrics(scored, "HOLDOUT", label, "pred_meta", key, max_group)]
     if use_residual:
@@ -353,7 +399,7 @@ def score_cells(
 
 
 def save_artifact(path: str, run: FamilyRun, spark) -> None:
-    """Models as MLlib pipelines and one JSON row of settings."""
+    """Models as MLlib pipelines and one JSON row of settings: medians, gate and residual model, all that ``score_run`` needs."""
     for name, model in run.models.items():
         model.write().overwrite().save(f"{path}/{name}")
     row = [(json.dumps(run.settings, sort_keys=True),)]

@@ -159,6 +159,27 @@ def test_full_run(spark, tmp_path):
     model.save_artifact(str(tmp_path / "m"), run, spark)
     models, settings = model.load_artifact(str(tmp_path / "m"), spark)
     assert settings["families"] == ["wind", "struct"] and set(models) == {"wind", "struct", "meta"}
+    # A loaded run scores new rows as the fresh one did, gaps and ineligible rows included.
+    rows = _samples(spark).withColumn("tree_height", F.when(F.col("sample_id") % 7 != 0, F.col("tree_height")))
+    fresh, loaded = (model.score_run(rows, m, s).select("sample_id", "pred_wind", "pred_residual", "pred_residual_full", "pred_meta").orderBy("sample_id").collect()
+                     for m, s in ((run.models, run.settings), (models, settings)))
+    assert fresh == loaded and all((r["pred_residual"] is None) == (r["sample_id"] % 7 == 0 or r["pred_residual_full"] is None) for r in fresh)
+    again = model.score_run(_samples(spark).where("lon BETWEEN 8 AND 12 AND lat BETWEEN 8 AND 12"), models, settings)
+    assert [tuple(r) for r in again.select("sample_id", "pred_meta").orderBy("sample_id").collect()] == [tuple(r) for r in run.holdout.select("sample_id", "pred_meta").orderBy("sample_id").collect()]
+
+
+def test_models_of_one_class(spark):
+    ones = _samples(spark).withColumn("label", F.lit(1))
+    with pytest.raises(ValueError):
+        model.run_families(ones, ["wind"], None, k=2, trees=2, depth=2)
+    rows = ones.withColumns({"fold": F.col("sample_id") % 2, "pred_wind": F.lit(0.4), "weight": F.lit(1.0)})
+    out = model.residual_out_of_fold(rows, ["exposure"], "label", "pred_wind", "fold", 2, "weight", F.lit(True))
+    assert out.count() == 600 and out.where("residual IS NOT NULL").isEmpty()
+    # The residual model is left out where its eligible rows have one class; its feature is neutral then.
+    mixed = _samples(spark).withColumn("exposure", F.when(F.col("label") == 1, F.col("exposure")))
+    run = model.run_families(mixed, ["wind", "cross"], (8.0, 8.0, 12.0, 12.0), k=2, trees=2, depth=2, grid=(1.0,), shift=False, residual=True, gate=("gust_peak_percentile", 0.1))
+    assert run.settings["residual"] is None and run.settings["gate"] == ("gust_peak_percentile", 10.0)
+    assert run.holdout.where("residual_logit <> 0 OR pred_residual IS NOT NULL OR pred_meta IS NULL").isEmpty()
 
 
 def test_sources(spark, tmp_path):
