@@ -7,10 +7,10 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GeneralizedLinearRegression
+from pyspark.ml.regression import GeneralizedLinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,17 +83,23 @@ def fit_forest(
     df: DataFrame, features: Sequence[str], label: str, weight: str | None = None, *, trees: int = 600,
     depth: int = MAX_DEPTH, seed: int = SEED,
 ) -> PipelineModel:
-    """Weighted random forest (K3); leaves are limited by depth only."""
-    rf = RandomForestClassifier(
+    """Weighted random forest (K3); leaves are limited by depth only.
+
+    Regression trees on the 0/1 label: the splits are those of Gini impurity and the mean of a leaf is its probability.
+    MLlib's classification trees merge leaves of the same majority class, which loses the probabilities within it.
+    A lone tree takes all rows and features.
+    """
+    rf = RandomForestRegressor(
         featuresCol="_features", labelCol=label, numTrees=trees, maxDepth=depth, minInstancesPerNode=1, seed=seed,
-        predictionCol="_pred", probabilityCol="_prob", rawPredictionCol="_raw",
+        featureSubsetStrategy="sqrt" if trees > 1 else "all", bootstrap=trees > 1, predictionCol="_pred",
     )
     return _pipeline(features, rf.setWeightCol(weight) if weight else rf).fit(df)
 
 
 def score(model: PipelineModel, df: DataFrame, name: str) -> DataFrame:
     """Probability of class 1 as a plain column (K9)."""
-    out = model.transform(df).withColumn(name, vector_to_array("_prob")[1])
+    out = model.transform(df)
+    out = out.withColumn(name, vector_to_array("_prob")[1] if "_prob" in out.columns else F.col("_pred"))
     return out.drop("_features", "_pred", "_prob", "_raw")
 
 

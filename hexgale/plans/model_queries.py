@@ -427,6 +427,117 @@ def shift_weights(spark, sf):
     return model.shift_weights(zero.where(~hold), zero.where(hold), _MODEL_COLS, "sample_id", boosted=False)
 
 
+# Designs with few distinct values: trees and unpenalised regressions reproduce weighted means of groups, which SQL knows.
+# Folds come from the customer, so that SQL can deal the same ones.
+DESIGN = """
+ds AS (SELECT o_orderkey AS sample_id, o_custkey % 12 AS lon, (o_custkey // 12) % 12 AS lat, o_custkey % 5 AS fold, o_custkey % 50 AS ref_storm_id,
+              CAST(o_totalprice / 100000.0 + 0.25 * (o_orderkey % 7) > 0.5 * CAST(substr(o_orderpriority, 1, 1) AS INT) + 1 AS INT) AS label, CAST(substr(o_orderpriority, 1, 1) AS INT) AS level, CAST(month(o_orderdate) AS DOUBLE) AS tree_height,
+              o_totalprice / 100000.0 AS size FROM orders)"""
+
+
+def _design(spark, sf):
+    level = F.substring("o_orderpriority", 1, 1).cast("int")
+    label = F.col("o_totalprice") / 100000.0 + F.lit(0.25) * (F.col("o_orderkey") % 7) > F.lit(0.5) * level + 1
+    return table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("sample_id"), (F.col("o_custkey") % 12).alias("lon"), (F.floor(F.col("o_custkey") / 12) % 12).alias("lat"),
+        (F.col("o_custkey") % 5).alias("fold"), (F.col("o_custkey") % 50).alias("ref_storm_id"), label.cast("int").alias("label"),
+        level.alias("level"), F.month("o_orderdate").cast("double").alias("tree_height"), (F.col("o_totalprice") / 100000.0).alias("size"),
+        *[(level == i).cast("double").alias(f"level_{i}") for i in range(2, 6)],
+    )
+
+
+_LEVELS = [f"level_{i}" for i in range(2, 6)]
+
+
+@query("oof_tree_means", "sample_id:l pred:d",
+       f"""WITH {DESIGN} --final-- SELECT a.sample_id, b.pred FROM ds a JOIN (SELECT f.fold, level, sum(label * size) / sum(size) AS pred
+           FROM ds JOIN (SELECT unnest([0, 1, 2, 3, 4]) AS fold) f ON ds.fold <> f.fold GROUP BY f.fold, level) b ON a.fold = b.fold AND a.level = b.level""")
+def oof_tree_means(spark, sf):
+    rows = cut_lineage(_design(spark, sf))
+    return model.out_of_fold(rows, "fold", 5, lambda t: model.fit_forest(t, ["level"], "label", "size", trees=1), "pred")
+
+
+@query("offset_glm_means", "sample_id:l residual:d",
+       f"""WITH {DESIGN}, g AS (SELECT f.fold, level, sum(label * size) / sum(size) AS m, 0.2 + 0.1 * level AS w
+           FROM ds JOIN (SELECT unnest([0, 1, 2, 3, 4]) AS fold) f ON ds.fold <> f.fold GROUP BY f.fold, level)
+       --final-- SELECT sample_id, round(1 / (1 + exp(ln(w / (1 - w)) - ln(m / (1 - m)))), 5) AS residual FROM ds JOIN g USING (fold, level)""")
+def offset_glm_means(spark, sf):
+    rows = cut_lineage(_design(spark, sf).withColumn("pred_wind", F.lit(0.2) + F.lit(0.1) * F.col("level")))
+    out = model.residual_out_of_fold(rows, _LEVELS, "label", "pred_wind", "fold", 5, "size", F.lit(True))
+    return out.withColumn("residual", F.round("residual", 5))
+
+
+@query("shift_weight_ratios", "sample_id:l shift_weight:d",
+       f"""WITH {DESIGN}, r AS (SELECT level, count(*) FILTER (fold = 0) / count(*) FILTER (fold <> 0) AS w FROM ds WHERE label = 0 GROUP BY level),
+       u AS (SELECT sample_id, w FROM ds JOIN r USING (level) WHERE label = 0 AND fold <> 0)
+       --final-- SELECT sample_id, round(least(w, (SELECT quantile_cont(w, 0.99) FROM u)), 4) AS shift_weight FROM u""")
+def shift_weight_ratios(spark, sf):
+    zero = cut_lineage(_design(spark, sf).where("label = 0"))
+    out = model.shift_weights(zero.where("fold <> 0"), zero.where("fold = 0"), _LEVELS, "sample_id", boosted=False)
+    return out.withColumn("shift_weight", F.round("shift_weight", 4))
+
+
+@query("meta_conditions", "c:d mean_pred:d slope_gap:d",
+       f"WITH {DESIGN} --final-- SELECT unnest([0.01, 0.1, 1, 10, 100]) AS c, (SELECT round(avg(label), 4) FROM ds) AS mean_pred, 0 AS slope_gap")
+def meta_conditions(spark, sf):
+    """A penalised regression is the optimum where the mean prediction is the mean label and sum(x (p - y)) = -coefficient / C."""
+    rows = cut_lineage(_design(spark, sf).withColumn("x", F.col("size") / 5.0))
+    n, out = rows.count(), None
+    for c in model.C_GRID:
+        fitted = model.fit_meta(rows, ["x"], "label", c, n)
+        slope = float(fitted.stages[-1].coefficients[0])
+        gap = F.avg(F.col("x") * (F.col("p") - F.col("label"))) + F.lit(slope / (c * n))
+        part = model.score(fitted, rows, "p").agg(F.lit(float(c)).alias("c"), F.round(F.avg("p"), 4).alias("mean_pred"), F.round(gap, 4).alias("slope_gap"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("score_cells_by_class", "cell_id:l period_no:l gust_peak_percentile:d pred_wind:d",
+       f"""WITH {PERIODS}, g AS (SELECT cell_id, period_no, floor(gust / 5) AS v FROM per)
+       --final-- SELECT cell_id, period_no, (rank() OVER (PARTITION BY cell_id ORDER BY v) + (count(*) OVER (PARTITION BY cell_id, v) - 1) / 2.0) / count(*) OVER (PARTITION BY cell_id) * 100 AS gust_peak_percentile,
+                 CAST(v AS INT) % 2 AS pred_wind FROM g""")
+def score_cells_by_class(spark, sf):
+    cells = cut_lineage(cell_periods(spark, sf).withColumn("v", F.floor(F.col("gust") / 5).cast("double")))
+    train = cells.select(F.col("v").alias("gust_peak_speed"), F.lit(50.0).alias("gust_peak_percentile"), (F.col("v") % 2).alias("label"))
+    return model.score_cells(model.fit_forest(train, _MODEL_COLS, "label", trees=1), cells, "cell_id", "v")
+
+
+RUNS = {"wind": ["wind"], "wind_struct": ["wind", "struct"], "wind_cross": ["wind", "cross"], "all": ["wind", "struct", "cross"]}
+HELD = "(lon BETWEEN 8 AND 12 AND lat BETWEEN 0 AND 12)"
+
+
+def _run(spark, sf, families, k, grid, residual):
+    level = F.col("level").cast("double")
+    rows = cut_lineage(_design(spark, sf).select(
+        "sample_id", "lon", "lat", "label", "ref_storm_id", "tree_height", (-F.col("size")).alias("LAI_departure"), (level * 8).alias("gust_peak_speed"),
+        F.lit(1.0).alias("terrain_roughness"), level.alias("exposure"), (level * F.col("tree_height")).alias("height_exposure"),
+    ))
+    return model.run_families(rows, families, (8.0, 0.0, 12.0, 12.0), k=k, trees=1, grid=grid, shift=False, residual=residual)
+
+
+@query("family_predictions", "split:s sample_id:l label:l pred_wind:d scored:b",
+       f"""WITH {DESIGN}, i AS (SELECT *, size AS s FROM ds WHERE NOT {HELD}),
+       w AS (SELECT level, sum(label * (least(s, (SELECT quantile_cont(s, 0.99) FROM i)) + 1e-3)) / sum(least(s, (SELECT quantile_cont(s, 0.99) FROM i)) + 1e-3) AS m FROM i GROUP BY level)
+       --final-- SELECT CASE WHEN {HELD} THEN 'HOLDOUT' ELSE 'IN_OOF' END AS split, sample_id, label, CASE WHEN {HELD} THEN m END AS pred_wind, true AS scored FROM ds JOIN w USING (level)""")
+def family_predictions(spark, sf):
+    """Prediction table of one run with residual and meta model: holdout scores of the wind family are known means, all rows have scores."""
+    out = model.prediction_table(_run(spark, sf, ["wind", "struct"], 2, (1.0,), True))
+    scored = F.lit(True)
+    for c in ("pred_wind", "pred_struct", "pred_meta"):
+        scored = scored & F.coalesce(F.col(c).between(0, 1), F.lit(False))
+    return out.select("split", "sample_id", "label", F.when(F.col("split") == "HOLDOUT", F.col("pred_wind")).alias("pred_wind"), scored.alias("scored"))
+
+
+@query("family_comparison", "model:s n_rows:l n_pos:l measured:b",
+       f"""WITH {DESIGN} --final-- SELECT model, count(*) AS n_rows, sum(label) AS n_pos, true AS measured
+           FROM ds, (SELECT unnest({list(RUNS)}) AS model) WHERE {HELD} GROUP BY model""")
+def family_comparison(spark, sf):
+    """Holdout metrics of the four family runs, one row each."""
+    runs = {name: _run(spark, sf, families, 2, (1.0,), False).metrics for name, families in RUNS.items()}
+    out = rank_metrics.comparison_table(runs)
+    return out.withColumn("measured", F.coalesce(F.col("roc_auc").between(0, 1) & F.col("prauc").between(0, 1), F.lit(False)))
+
+
 @query("score_cells", "cell_id:l period_no:l gust_peak_percentile:d pred_wind:d")
 def score_cells(spark, sf):
     forest = model.fit_forest(_wind_rows(spark, sf), _MODEL_COLS, "label", "weight", trees=5, depth=5)
