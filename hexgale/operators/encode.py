@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hexgale.functions.columns import first_numeric, harmonise, to_day, to_number
 from hexgale.functions.scalar import cap_positive_at_zero, encoder_json
-from hexgale.operators.ordered import MAX_GROUP, column_quantiles, ordinal_index, quantiles
+from hexgale.operators.ordered import MAX_GROUP, column_quantiles, handed_out, ordinal_index, quantiles
 from hexgale.session import cut_lineage
 
 SMOOTH_K = 50.0
@@ -54,11 +54,11 @@ def oof_target_encoding(
     """Out-of-fold smoothed encoding: totals minus the row's own fold (K8).
 
     Sums per (category, fold) are small; a category a fold's training rows do not hold falls back to the
-    training mean.
+    training mean. Few categories and folds are few keys, so unless there are very many the rows are not dealt out by them.
     """
     c = F.coalesce(F.col(category).cast("string"), F.lit(MISSING))
     work = df.withColumn("_cat", c)
-    parts = work.groupBy("_cat", fold).agg(F.sum(label).alias("_p"), F.count(F.lit(1)).alias("_n"))
+    parts = cut_lineage(work.groupBy("_cat", fold).agg(F.sum(label).alias("_p"), F.count(F.lit(1)).alias("_n")))
     cats = parts.groupBy("_cat").agg(F.sum("_p").alias("_cp"), F.sum("_n").alias("_cn"))
     folds = parts.groupBy(fold).agg(F.sum("_p").alias("_fp"), F.sum("_n").alias("_fn"))
     total = parts.agg(F.struct(F.sum("_p").alias("p"), F.sum("_n").alias("n")).alias("t")).scalar()
@@ -71,7 +71,7 @@ def oof_target_encoding(
             ).alias(name),
         )
     )
-    return work.join(table, ["_cat", fold]).drop("_cat")
+    return work.join(handed_out(cut_lineage(table)), ["_cat", fold]).drop("_cat")
 
 
 def median_impute(df: DataFrame, columns: Sequence[str], reference: DataFrame | None = None) -> DataFrame:

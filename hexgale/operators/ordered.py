@@ -57,6 +57,19 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return out if how in ("left_anti", "left_semi") else out.drop(*(f"_r_{k}" for k in keys))
 
 
+#: Rows up to which a table is handed to every task.
+SMALL_TABLE = 200_000
+
+
+def handed_out(table: DataFrame) -> DataFrame:
+    """A checkpointed table marked for broadcast if it is counted to hold at most ``SMALL_TABLE`` rows.
+
+    A join with few keys would otherwise deal all rows of the other side to as many tasks, and adaptive execution does not
+    turn to a broadcast by itself where most partitions of the small side are empty.
+    """
+    return F.broadcast(table) if table.limit(SMALL_TABLE + 1).count() <= SMALL_TABLE else table
+
+
 def large_groups(df: DataFrame, keys: Sequence[str], max_group: int = MAX_GROUP) -> DataFrame:
     """Groups above ``max_group`` rows with their size; at most rows / max_group of them."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(_N)).where(F.col(_N) > F.lit(max_group))
