@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import gc
 import importlib
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hexgale.session import cut_lineage, ensure_checkpoint_dir
+from hexgale import session
+from hexgale.session import cut_lineage
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,10 +36,7 @@ def store(df: DataFrame) -> DataFrame:
     Like a checkpoint it cuts the lineage and survives lost executors; for rows with texts it takes half the room. The
     tables are called ``llm-<random>`` and may be deleted when the result of the operator has been written.
     """
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/llm-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
+    return session.store(df, "llm")
 
 
 def release(spark: SparkSession) -> None:

@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 
 from hexgale.functions.scalar import clip_probability, logistic, logit
 from hexgale.operators.encode import column_medians, departure_weight, holdout_flag, median_impute, structurally_valid, to_number
-from hexgale.operators.ordered import MAX_GROUP, average_rank, quantiles, row_index
+from hexgale.operators.ordered import MAX_GROUP, average_rank, handed_out, null_safe_join, quantiles, row_index
 from hexgale.operators.rank_metrics import rank_metrics, stratified_rank_metrics
-from hexgale.session import cut_lineage
+from hexgale.session import cut_lineage, store
 
 SEED = 20251017
 MAX_DEPTH = 30  # the deepest tree MLlib grows
@@ -47,21 +47,28 @@ def storm_group(storm: str, row_id: str) -> Column:
 
 
 def group_folds(
-    df: DataFrame, group: Column, label: str, k: int, *, name: str = "fold", seed: int = SEED, max_group: int = MAX_GROUP
+    df: DataFrame, group: Column, label: str, k: int, *, by: Sequence[str] = (), name: str = "fold", seed: int = SEED,
+    max_group: int = MAX_GROUP,
 ) -> DataFrame:
     """Fold per group, dealt out in hash order within label strata (K1).
 
     Only the group table is ordered. A group is whole in one fold by construction, so a group with a third
-    of the rows makes its fold large but never leaks.
+    of the rows makes its fold large but never leaks. ``by`` names the columns that the group is worked out from, where
+    it is the same for many rows: it is then worked out once for each of their values instead of in every row, and
+    rows find their fold by these columns.
     """
-    work = df.withColumn("_group", group)
-    groups = work.groupBy("_group").agg(
-        F.max((F.col(label) == 1).cast("int")).alias("_s"),
-        F.pmod(F.xxhash64("_group", F.lit(seed)), F.lit(2**52)).cast("double").alias("_h"),
+    work = df if by else df.withColumn("_group", group)
+    labels = work.groupBy(*(by or ["_group"])).agg(F.max((F.col(label) == 1).cast("int")).alias("_s"))
+    labels = cut_lineage(labels.withColumn("_group", group) if by else labels)
+    groups = labels.groupBy("_group").agg(
+        F.max("_s").alias("_s"), F.pmod(F.xxhash64("_group", F.lit(seed)), F.lit(2**52)).cast("double").alias("_h")
     )
     placed = row_index(groups, ["_s"], "_h", ["_group"], name="_i", max_group=max_group)
     folds = placed.select("_group", F.pmod(F.col("_i") - 1, F.lit(k)).cast("int").alias(name))
-    return work.join(folds, "_group").drop("_group")
+    if not by:
+        return work.join(handed_out(cut_lineage(folds)), "_group").drop("_group")
+    folds = cut_lineage(labels.join(folds, "_group").select(*by, name))
+    return null_safe_join(work, handed_out(folds), by)
 
 
 def leaking_groups(df: DataFrame, group: Column, fold: str) -> DataFrame:
@@ -122,16 +129,22 @@ def shift_weights(
     both = unlabelled.select(key, *features, F.lit(0).alias("_dom")).unionByName(
         holdout.select(key, *features, F.lit(1).alias("_dom"))
     )
-    both = cut_lineage(median_impute(both, features))
+    # Written once and narrow, then filled: the medians take several passes over it, the fit and the scores three more.
+    both = median_impute(store(both), features)
     common = {"featuresCol": "_features", "labelCol": "_dom", "predictionCol": "_pred"}
     if boosted:
         stage = GBTClassifier(maxIter=rounds, stepSize=0.05, maxDepth=5, subsamplingRate=0.8, seed=seed, **common)
     else:
         stage = LogisticRegression(maxIter=2000, tol=1e-9, **common)
     stage = stage.setProbabilityCol("_prob").setRawPredictionCol("_raw")
-    scored = score(_pipeline(features, stage).fit(both), both.where("_dom = 0"), "_p")
-    p = clip_probability(F.col("_p"))
-    weights = cut_lineage(scored.select(key, (p / (F.lit(1.0) - p)).alias("_w")))
+    fitted = _pipeline(features, stage).fit(both)
+    if boosted:
+        scored, p = score(fitted, both.where("_dom = 0"), "_p"), clip_probability(F.col("_p"))
+    else:
+        # The probability of a regression is a column expression: no vectors, and no feature is missing here.
+        linear = sum((F.lit(float(b)) * F.col(c) for c, b in zip(features, fitted.stages[-1].coefficients)), F.lit(float(fitted.stages[-1].intercept)))
+        scored, p = both.where("_dom = 0"), clip_probability(logistic(linear))
+    weights = store(scored.select(key, (p / (F.lit(1.0) - p)).alias("_w")))
     cap = quantiles(weights, [], "_w", {"c": cap_q}, max_group=max_group).scalar()
     return weights.select(key, F.least(F.col("_w"), cap).alias("shift_weight"))
 
@@ -332,7 +345,7 @@ def run_families(
             train.where(F.col(label) == 0), filled(holdout).where(F.col(label) == 0), every, key, rounds=shift_rounds, max_group=max_group
         )
         train = train.join(w, key, "left").withColumn("weight", F.col("weight") * F.coalesce("shift_weight", F.lit(1.0))).drop("shift_weight")
-    train = cut_lineage(group_folds(train, location_group(), label, k, max_group=max_group))
+    train = cut_lineage(group_folds(train, location_group(), label, k, by=["lon", "lat"], max_group=max_group))
 
     def fitter(f: str) -> Callable[[DataFrame], PipelineModel]:
         return lambda part: fit_forest(part, columns[f], label, "weight", trees=trees, depth=depth)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 #: Runtime SQL settings. All can be changed on a running session.
@@ -55,6 +57,19 @@ def cut_lineage(df):
     return df.checkpoint()
 
 
+def store(df, prefix: str = "rows"):
+    """Write a frame as a compressed table in the shared checkpoint folder and read it again.
+
+    Like a checkpoint it cuts the lineage and survives lost executors, but later steps read only the columns they use and
+    filter while they read, and the reads are split anew, however few tasks wrote. The tables are called
+    ``<prefix>-<random>`` and may be deleted when the result has been written.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark)}/{prefix}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def local_session(cores: int | str = 8, partitions: int = 8, memory: str = "12g") -> SparkSession:
     """Local session for tests and the benchmark."""
     spark = (
