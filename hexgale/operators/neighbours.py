@@ -20,6 +20,8 @@ from hexgale.session import cut_lineage
 #: Most places of a leaf, children of a node as a power of two, nodes of a level up to which it is broadcast.
 LEAF, FAN_BITS, SMALL = 64, 4, 20_000
 FAN = 2**FAN_BITS
+#: Partitions of the points per core of the cluster.
+SPREAD = 3
 
 
 @dataclass
@@ -166,8 +168,10 @@ def nearest_pairs(
             every = F.filter(every, lambda h: h["id"] != F.col(point))
         return F.array_compact(F.array(F.array_min(every))) if k == 1 else F.slice(F.sort_array(every), 1, k)
 
-    # Coordinates are used in many expressions below, so they are computed once; points go everywhere by their key.
-    asked = cut_lineage(points.select(point, *ks, *[F.col(c).cast("double").alias(f"_p_{c}") for c in dims]))
+    # Coordinates are used in many expressions below, so they are computed once; points go everywhere by their key. A walk
+    # takes long for the few bytes of a point, so points are dealt over all cores whatever their size.
+    asked = points.select(point, *ks, *[F.col(c).cast("double").alias(f"_p_{c}") for c in dims])
+    asked = cut_lineage(asked.repartition(SPREAD * points.sparkSession.sparkContext.defaultParallelism, point))
     asked = asked.where(known([f"_p_{c}" for c in dims]))
     roots = tree.roots if ks else F.broadcast(tree.roots)  # one row without keys
     walk = asked.withColumn("_node", F.lit(1).cast("long")).join(roots, on)
