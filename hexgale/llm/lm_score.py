@@ -1,9 +1,9 @@
 """Stupid-backoff language-model scores over words, computed relationally.
 
-The text is cut into blocks of some megabytes. Every block gives one row per distinct n-gram with its count; the rows are
-shuffled by n-gram and summed to the corpus counts, without a cutoff, and each block gets back the totals of those of its
-n-grams that other blocks hold too (of all others it knows the total already). There its documents meet the counts, and the
-scores of all positions are summed per document.
+The text is cut into blocks of some megabytes. Every block counts its distinct n-grams and deals the sorted hashes out by
+range: one row per block and range of hashes. The rows of a range are summed to the corpus counts, without a cutoff, and
+each block gets back how often other blocks hold each of its n-grams, in the order in which it sent them, so no hash travels
+back. There its documents meet the counts, and the scores of all positions are summed per document.
 
 Every document is scored by the counts of all other documents: its own occurrences are taken off first, since in a model
 without cutoff that holds the text itself no n-gram would ever be unseen. The score of a word after a context is
@@ -16,11 +16,12 @@ depend on their order. N-grams are 64-bit hashes of their words.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,6 +34,8 @@ LOT, BLOCK = 1 << 21, 1 << 24
 #: Number of block ``j`` of scan partition ``p``: p * SPREAD + j.
 SPREAD = 1 << 24
 KNOWN_WORDS = 1 << 19
+#: N-grams of the corpus, repeats counted, per range of hashes.
+RANGE = 1 << 22
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -82,6 +85,42 @@ def _merge(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray
     return key[first], np.add.reduceat(num, first) if len(first) else num
 
 
+def pack(values: np.ndarray) -> list[bytes]:
+    """Whole numbers as byte planes, lowest first and as many as the largest number has, each compressed by itself."""
+    planes = values.astype("<u8").view(np.uint8).reshape(-1, 8)
+    used = (int(values.max()).bit_length() + 7) // 8 if len(values) else 0
+    return [pa.compress(planes[:, i].tobytes(), codec="zstd", asbytes=True) for i in range(used)]
+
+
+def unpack(planes: list[bytes], n: int) -> np.ndarray:
+    out = np.zeros((n, 8), dtype=np.uint8)
+    for i, plane in enumerate(planes):
+        out[:, i] = np.frombuffer(pa.decompress(plane, decompressed_size=n, codec="zstd", asbytes=True), np.uint8)
+    return out.reshape(-1).view("<u8")
+
+
+def ranges(key: np.ndarray, num: np.ndarray, bits: int) -> Iterator[tuple[int, int, list[bytes], list[bytes]]]:
+    """(range, distinct hashes, gaps between them, counts less one) of sorted hashes, by their ``bits`` highest bits."""
+    shift = 64 - bits
+    which = key >> shift
+    cuts = [0, *(np.flatnonzero(which[1:] != which[:-1]) + 1).tolist(), len(key)]
+    for lo, hi in zip(cuts, cuts[1:]):
+        if hi > lo:
+            start = which[lo] << shift
+            yield int(which[lo]), hi - lo, pack(np.diff(key[lo:hi], prepend=start).view(np.uint64)), pack(num[lo:hi] - 1)
+
+
+def held_elsewhere(keys: list[np.ndarray], counts: list[np.ndarray]) -> list[np.ndarray]:
+    """For sorted distinct keys of several holders: how often all the others together hold each."""
+    key, num = np.concatenate(keys), np.concatenate(counts)
+    sort = np.argsort(key, kind="stable")
+    key, num = key[sort], num[sort]
+    new = np.concatenate(([True], key[1:] != key[:-1]))
+    other = np.empty(len(key), np.int64)
+    other[sort] = np.add.reduceat(num, np.flatnonzero(new))[np.cumsum(new) - 1] - num
+    return np.split(other, np.cumsum([len(k) for k in keys])[:-1])
+
+
 def count_grams(texts: list[bytes], order: int, words: Words) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and counts of all n-grams that lie within one text, n = 1 .. order, sorted by hash."""
     levels, _, place = grams(texts, order, words)
@@ -169,24 +208,31 @@ def stupid_backoff(
     each by all other rows, so a repeated text is seen in its copy. Empty input gives an empty result; other columns are
     left out.
 
-    An n-gram in every document is one row per block, whatever its frequency; texts are shuffled once, by block. A task holds
-    the counts of one block (a text longer than a block is one of its own). The input is read twice and has to be a stable
-    table. One number, the corpus size, reaches the driver.
+    An n-gram in every document is one hash per block, whatever its frequency; texts are shuffled once, by block. A task holds
+    the counts of one block (a text longer than a block is one of its own) or of one range of hashes, of which there are more
+    the more words the corpus has. The input is read three times and has to be a stable table. One number, the corpus size,
+    reaches the driver.
     """
     if order < 1:
         raise ValueError("order must be at least 1")
     rows = pick(docs, doc_id=doc_id, text=text)
-    n_parts = partitions(rows.sparkSession)
+    n_parts, id_type = partitions(rows.sparkSession), rows.schema["doc_id"].dataType
     place = F.spark_partition_id().alias("scan")
+    words_of = F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    corpus = rows.agg(F.sum(words_of.cast("long"))).first()[0] or 0
+    bits = max(4 * n_parts, order * corpus // RANGE, 1).bit_length()
+
+    def batch_of(some, names):
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.binary()), pa.list_(pa.binary())]
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*some), kinds)], names=names)
 
     def count(batches):
         blocks, words, at, which, keys, counts = Blocks(block_bytes), Words(), None, 0, [], []
 
         def rows_of(number):
-            key, num = _merge(keys, counts)
-            for lo in range(0, len(key), 1 << 17):
-                part = slice(lo, lo + (1 << 17))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key[part]), number, np.int64)), pa.array(key[part]), pa.array(num[part])], names=["block", "gram", "n"])
+            parts = ranges(*_merge(keys, counts), bits)
+            while some := list(islice(parts, 256)):
+                yield batch_of([(number, *x) for x in some], ["block", "range", "n", "gaps", "counts"])
 
         for b in batches:
             values = b.column(1).to_pylist()
@@ -213,31 +259,47 @@ def stupid_backoff(
                 numbers = np.array(blocks(b.column(2).to_pylist()), dtype=np.int64) + b.column(0)[0].as_py() * SPREAD
                 yield pa.RecordBatch.from_arrays([pa.array(numbers), b.column(1), b.column(2)], names=["block", "doc_id", "text"])
 
-    id_type = rows.schema["doc_id"].dataType
-    counted = rows.select(place, "text").mapInArrow(count, "block long, gram long, n long")
-    total = F.sum("n").over(Window.partitionBy("gram")).alias("total")
-    shared = counted.select("block", "gram", "n", total).where(F.col("total") != F.col("n"))
-    table = shared.select("block", F.lit(0).alias("kind"), "gram", "total", F.lit(None).cast(id_type).alias("doc_id"), F.lit(None).cast("string").alias("text"))
+    counted = rows.select(place, "text").mapInArrow(count, "block long, range long, n int, gaps array<binary>, counts array<binary>")
+
+    def total(batches):
+        at, blocks, keys, counts = None, [], [], []
+
+        def replies():
+            return batch_of([(block, at, len(x), pack(x)) for block, x in zip(blocks, held_elsewhere(keys, counts))], ["block", "range", "n", "others"])
+
+        for b in batches:
+            for block, which, n, gaps, num in zip(*(c.to_pylist() for c in b.columns)):
+                if which != at:
+                    if blocks:
+                        yield replies()
+                    at, blocks, keys, counts = which, [], [], []
+                blocks.append(block)
+                keys.append(np.cumsum(unpack(gaps, n)).view(np.int64) + (which << (64 - bits)))
+                counts.append(unpack(num, n).astype(np.int64) + 1)
+        if blocks:
+            yield replies()
+
+    summed = counted.repartition(n_parts, "range").sortWithinPartitions("range").mapInArrow(total, "block long, range long, n int, others array<binary>")
+    table = summed.select("block", F.lit(0).alias("kind"), "range", "n", "others", F.lit(None).cast(id_type).alias("doc_id"), F.lit(None).cast("string").alias("text"))
     dealt_type = T.StructType([T.StructField("block", T.LongType()), T.StructField("doc_id", id_type), T.StructField("text", T.StringType())])
     texts = rows.select(place, "doc_id", "text").mapInArrow(deal, dealt_type)
-    none = F.lit(0).cast("long")
-    texts = texts.select("block", F.lit(1).alias("kind"), none.alias("gram"), none.alias("total"), "doc_id", "text")
-    dealt = table.unionByName(texts).repartition(n_parts, "block").sortWithinPartitions("block", "kind", "gram")
-    words_of = F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
-    corpus = rows.agg(F.sum(words_of.cast("long"))).first()[0] or 0
+    texts = texts.select("block", F.lit(1).alias("kind"), F.lit(0).cast("long").alias("range"), F.lit(0).alias("n"), F.lit(None).cast("array<binary>").alias("others"), "doc_id", "text")
+    dealt = table.unionByName(texts).repartition(n_parts, "block").sortWithinPartitions("block", "kind", "range")
     fields = T.StructType([T.StructField("doc_id", id_type)] + [T.StructField(n, t) for n, t in (("n_words", T.LongType()), ("score_micro", T.LongType()), ("n_backed_off", T.LongType()), ("mean_score", T.DoubleType()))])
 
-    def finish(ids, raw, keys, totals, words):
-        """Scores of one block: counts of its own, replaced by the totals of what other blocks hold too."""
-        table = _merge(*map(list, zip(*(count_grams(lot, order, words) for lot in _lots(raw, lot_bytes)))))
-        if keys:
-            table[1][np.searchsorted(table[0], np.concatenate(keys))] = np.concatenate(totals)
+    def finish(ids, raw, others, words):
+        """Scores of one block: counts of its own and, in the order of its hashes, those of all other blocks."""
+        key, num = _merge(*map(list, zip(*(count_grams(lot, order, words) for lot in _lots(raw, lot_bytes)))))
+        other = np.concatenate([np.empty(0, np.int64), *others])
+        if len(other) != len(key):
+            raise RuntimeError("the input changed while it was read")
+        table = key, num + other
         size, total, back = (np.concatenate(x) for x in zip(*(document_sums(lot, table, corpus, order, alpha, words) for lot in _lots(raw, lot_bytes))))
         mean = pa.array(total / np.maximum(size, 1) / MICRO, mask=size == 0)
         return pa.RecordBatch.from_arrays([ids, pa.array(size, pa.int64()), pa.array(total, pa.int64()), pa.array(back, pa.int64()), mean], names=fields.names)
 
     def score(batches):
-        words, at, keys, totals, ids, raw = Words(), None, [], [], [], []
+        words, at, others, ids, raw = Words(), None, [], [], []
         for b in batches:
             blocks, kinds = b.column(0).to_numpy(), b.column(1).to_numpy()
             cuts = [0, *(np.flatnonzero((blocks[1:] != blocks[:-1]) | (kinds[1:] != kinds[:-1])) + 1).tolist(), len(blocks)]
@@ -246,16 +308,15 @@ def stupid_backoff(
                     continue
                 if blocks[lo] != at:
                     if raw:
-                        yield finish(pa.concat_arrays(ids), raw, keys, totals, words)
-                    at, keys, totals, ids, raw = blocks[lo], [], [], [], []
+                        yield finish(pa.concat_arrays(ids), raw, others, words)
+                    at, others, ids, raw = blocks[lo], [], [], []
                 part = b.slice(lo, hi - lo)
                 if kinds[lo] == 0:
-                    keys.append(part.column(2).to_numpy())
-                    totals.append(part.column(3).to_numpy())
+                    others += [unpack(planes, n).astype(np.int64) for n, planes in zip(part.column(2).to_pylist(), part.column(3).to_pylist())]
                 else:
                     ids.append(part.column(4))
                     raw += part.column(5).to_pylist()
         if raw:
-            yield finish(pa.concat_arrays(ids), raw, keys, totals, words)
+            yield finish(pa.concat_arrays(ids), raw, others, words)
 
-    return dealt.select("block", "kind", "gram", "total", "doc_id", "text").mapInArrow(score, fields)
+    return dealt.select("block", "kind", "n", "others", "doc_id", "text").mapInArrow(score, fields)

@@ -71,6 +71,27 @@ def test_components(spark):
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_lm_score_sends_few_bytes():
+    rng = np.random.default_rng(5)
+    keys = [np.unique(rng.integers(-(2**63), 2**63, 200_000)) for _ in range(3)]
+    keys[1] = np.unique(np.concatenate((keys[1], keys[0][::3], [-(2**63), 2**63 - 1])))
+    counts = [rng.integers(1, 300 if i else 2, len(k)) for i, k in enumerate(keys)]
+    for key, num in zip(keys, counts):
+        back = [(lm_score.unpack(gaps, n).cumsum().view(np.int64) + (which << 58), lm_score.unpack(c, n) + 1) for which, n, gaps, c in lm_score.ranges(key, num, 6)]
+        assert (np.concatenate([k for k, _ in back]) == key).all() and (np.concatenate([c for _, c in back]) == num).all()
+    # A hash that travels costs less than its 8 bytes, and what comes back of one that nobody else holds next to nothing.
+    assert sum(len(x) for _, _, gaps, c in lm_score.ranges(keys[0], counts[0], 6) for x in gaps + c) < 6.5 * len(keys[0])
+    others = lm_score.held_elsewhere(keys, counts)
+    assert sum(map(len, lm_score.pack(others[2]))) < 0.1 * len(keys[2])
+    want = {}
+    for key, num in zip(keys, counts):
+        for k, c in zip(key.tolist(), num.tolist()):
+            want[k] = want.get(k, 0) + c
+    for key, num, other in zip(keys, counts, others):
+        assert [want[k] - c for k, c in zip(key.tolist(), num.tolist())] == other.tolist()
+    assert lm_score.pack(np.empty(0, np.int64)) == [] and lm_score.unpack([], 2).tolist() == [0, 0]
+
+
 @pytest.mark.parametrize("lot, block", [(lm_score.LOT, lm_score.BLOCK), (300, 900)])
 def test_lm_score(spark, corpus, lot, block):
     texts = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for _, t in corpus]
