@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -17,22 +18,61 @@ from hexgale.llm.common import Memo, pick
 #: The control characters that Python takes for white space and the tokenizer's pattern does not.
 ODD = re.compile("[\x1c-\x1f]")
 MEMO = 500_000
+#: Words of these characters are parted as the pattern does it, letters, single digits and marks; composing characters and
+#: apostrophes, at which it looks further, are left to the tokenizer.
+PLAIN = re.compile("[!-&(-~À-ÖØ-öø-ÿ]+")
+PIECE = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[^A-Za-z0-9À-ÖØ-öø-ÿ]+")
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: What a tokenizer has to do with a text for plain words to be parted here.
+NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+PARTED = [
+    {"type": "Split", "pattern": {"Regex": PATTERN}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
 
 
 class WordTokens:
-    """Ids of a vocabulary whose pattern drops white space: runs between white space are encoded once and memoised."""
+    """Ids of a vocabulary whose pattern drops white space: runs between white space are encoded once and memoised.
+
+    New runs of plain characters are parted into pieces, which are memoised as well and cost the vocabulary's merges only.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo = Memo(MEMO)
+        self.memo, self.pieces = Memo(MEMO), Memo(MEMO)
+        made = json.loads(self.tokenizer.to_str())
+        self.parts = (made["normalizer"] or {}).get("normalizers") == NORMAL and (made["pre_tokenizer"] or {}).get("pretokenizers") == PARTED
+        self.added = re.compile("|".join(re.escape(t["content"]) for t in made["added_tokens"]) or "(?!)")
+        marks = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letter = {c: marks.pre_tokenize_str(chr(c))[0][0] for c in range(0x21, 0x100) if PLAIN.fullmatch(chr(c))}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch(texts, add_special_tokens=False)
         return [np.asarray(x.ids, dtype="<u4").tobytes() for x in got]
 
+    def _merged(self, piece: str) -> bytes:
+        return b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(piece.lower().translate(self.letter))])
+
+    def _new(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of distinct words."""
+        plain = [w for w in words if self.parts and PLAIN.fullmatch(w) and not self.added.search(w)]
+        cut = [PIECE.findall(w) for w in plain]
+        flat = [p for ps in cut for p in ps]
+        known, young = self.pieces.look(flat), self.pieces.young
+        for i, p in enumerate(flat):
+            if known[i] is None:
+                known[i] = young[p] = young.get(p) or self._merged(p)
+        out, at = {}, 0
+        for w, ps in zip(plain, cut):
+            out[w] = b"".join(known[at : at + len(ps)])
+            at += len(ps)
+        rest = [w for w in words if w not in out]
+        out.update(zip(rest, self._encode(rest) if rest else []))
+        return out
+
     def ids(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit values."""
         if ODD.search(text):
@@ -42,7 +82,7 @@ class WordTokens:
         if None in got:
             young = self.memo.young
             new = list(dict.fromkeys(w for w, known in zip(words, got) if known is None))
-            young.update(zip(new, self._encode(new)))
+            young.update(self._new(new))
             got = [young[w] if known is None else known for w, known in zip(words, got)]
         return b"".join(got)
 

@@ -71,6 +71,19 @@ def test_components(spark):
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_words_made_of_known_pieces(monkeypatch):
+    words = tokens.WordTokens(common.tokenizer_path("word_bpe_49k.json"))
+    rng = np.random.default_rng(3)
+    odd = [*"abzABZ09!_-'&ßÀÿé×÷^`~ªµ½²İſıǅ", "\u0301", "\ufb01", " ", "\xa0", "\x1c", "'s", "'ll", "don't", "<|endoftext|>", "<|startoftext|>"]
+    texts = ["".join(rng.choice(odd, 40)) for _ in range(500)] + [chr(c) + d + chr(c) for c in range(0x21, 0x250) for d in ("a", "3!", "' ")]
+    for x in texts:
+        assert words.ids(x) == np.asarray(words.tokenizer.encode(x, add_special_tokens=False).ids, dtype="<u4").tobytes(), x
+    # Runs whose pieces are known do not go through the tokenizer.
+    words.ids("Größe tree ### ;;")
+    monkeypatch.setattr(words, "_encode", None)
+    assert words.ids("größe### tree;; größe;;") == b"".join(map(words.ids, ("größe", "###", "tree", ";;", "größe", ";;")))
+
+
 def test_lm_score_sends_few_bytes():
     rng = np.random.default_rng(5)
     keys = [np.unique(rng.integers(-(2**63), 2**63, 200_000)) for _ in range(3)]
