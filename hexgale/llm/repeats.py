@@ -52,42 +52,43 @@ def suffix_order(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray
     broken by the number of the part, as unique terminators would.
     """
     data = np.frombuffer(b"".join(parts), np.uint8)
+    n = len(data)
+    small = np.int32 if n < 2**30 else np.int64
     sizes = np.array([len(p) for p in parts], dtype=np.int64)
-    ends = np.repeat(np.cumsum(sizes), sizes)
-    owner = np.repeat(np.arange(len(parts)), sizes)
-    n, i = len(data), np.arange(len(data))
+    ends = np.repeat(np.cumsum(sizes).astype(small), sizes)
+    owner = np.repeat(np.arange(len(parts), dtype=small), sizes)
+    left = ends - np.arange(n, dtype=small)
     padded = np.append(data, np.zeros(8, np.uint8))
-    key = np.zeros(n, dtype=np.uint64)
-    for j in range(8):
-        inside = i + j < ends
-        key = (key << np.uint64(8)) | np.where(inside, padded[j : n + j], 0).astype(np.uint64)
-    order = np.argsort(key, kind="stable")
+    key = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, 8)[:n]).view(">u8").reshape(-1).astype(np.uint64)
+    near = np.flatnonzero(left < 8)  # what follows a part's end is no byte of it
+    key[near] &= ~((np.uint64(1) << (8 * (8 - left[near])).astype(np.uint64)) - np.uint64(1))
+    order = np.argsort(key)
     ordered = key[order]
     start = np.concatenate(([True], ordered[1:] != ordered[:-1]))
-    rank = np.empty(n, dtype=np.int64)
-    rank[order] = np.maximum.accumulate(np.where(start, i, 0))
-    size = np.bincount(rank, minlength=n)
-    active = np.flatnonzero(size[rank] > 1)
+    rank = np.empty(n, dtype=small)
+    rank[order] = np.maximum.accumulate(np.where(start, np.arange(n, dtype=small), 0))
+    active = order[~(start & np.append(start[1:], True))].astype(small)  # group by group, so that the next sorts find them in order
+    del left, near, order, ordered, start
     h, span = 8, n + len(parts) + 1
     while len(active):
         ahead = active + h
-        inside = ahead < ends[active]
-        second = np.where(inside, rank[np.minimum(ahead, n - 1)] + len(parts), owner[active])
-        both = rank[active] * span + second
+        second = np.where(ahead < ends[active], rank[np.minimum(ahead, n - 1)] + len(parts), owner[active])
+        both = rank[active].astype(np.int64) * span + second
+        del ahead, second
         order = np.argsort(both, kind="stable")
         active, both = active[order], both[order]
+        del order
         group = rank[active]
         head = np.concatenate(([True], group[1:] != group[:-1]))
         sub = np.concatenate(([True], both[1:] != both[:-1]))
-        k = np.arange(len(active))
-        fresh = group + np.maximum.accumulate(np.where(sub, k, 0)) - np.maximum.accumulate(np.where(head, k, 0))
-        rank[active] = fresh
-        alone = sub & np.append(sub[1:], True)
-        active = active[~alone]
+        del both
+        k = np.arange(len(active), dtype=small)
+        rank[active] = group + np.maximum.accumulate(np.where(sub, k, 0)) - np.maximum.accumulate(np.where(head, k, 0))
+        active = active[~(sub & np.append(sub[1:], True))]
         h *= 2
     suffixes = np.empty(n, dtype=np.int64)
-    suffixes[rank] = i
-    return suffixes, data, ends, key
+    suffixes[rank] = np.arange(n)
+    return suffixes, data, ends.astype(np.int64), key
 
 
 def _common(a: np.ndarray, b: np.ndarray, ends: np.ndarray, key: np.ndarray) -> np.ndarray:

@@ -84,6 +84,24 @@ def test_words_made_of_known_pieces(monkeypatch):
     assert words.ids("größe### tree;; größe;;") == b"".join(map(words.ids, ("größe", "###", "tree", ";;", "größe", ";;")))
 
 
+def test_suffixes_are_sorted_on_group_by_group(monkeypatch):
+    rng = np.random.default_rng(8)
+    for _ in range(60):
+        parts = [bytes(rng.integers(97, 97 + rng.integers(1, 4), rng.integers(1, 40)).astype(np.uint8)) for _ in range(rng.integers(1, 9))]
+        suffixes, data, ends, key = repeats.suffix_order(parts)
+        places = [(p, i) for p, x in enumerate(parts) for i in range(len(x))]
+        starts = np.cumsum([0] + [len(x) for x in parts])
+        assert suffixes.tolist() == [int(starts[p]) + i for p, i in sorted(places, key=lambda at: (parts[at[0]][at[1] :], at[0]))]
+        assert [int(k).to_bytes(8, "big").rstrip(b"\0") for k in key] == [parts[p][i : i + 8] for p, i in places]
+    # Each sort finds the groups of the one before in order, and so has only to sort within them.
+    sorts, argsort = [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda x, **how: sorts.append(x) or argsort(x, **how))
+    parts = [bytes(rng.integers(97, 101, 30).astype(np.uint8)) * 4 for _ in range(40)]
+    repeats.suffix_order(parts)
+    span = sum(map(len, parts)) + len(parts) + 1
+    assert len(sorts) > 2 and all((np.diff(x // span) >= 0).all() for x in sorts[1:])
+
+
 def test_lm_score_sends_few_bytes():
     rng = np.random.default_rng(5)
     keys = [np.unique(rng.integers(-(2**63), 2**63, 200_000)) for _ in range(3)]
