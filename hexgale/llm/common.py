@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hexgale import session
-from hexgale.session import cut_lineage
+from hexgale.session import cut_lineage  # noqa: F401  (operators and tests take it from here)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,10 +66,14 @@ class Memo:
 
 
 def _compress(parent: DataFrame) -> DataFrame:
-    """Follow ``node -> root`` until every root is its own root; a chain of length n takes log2(n) rounds."""
+    """Follow ``node -> root`` until every root is its own root; a chain of length n takes log2(n) rounds.
+
+    Rounds are stored, not checkpointed: a checkpoint keeps the size its plan was estimated at, a join's estimate is the
+    product of its sides', so the number's digits double with each round until the driver does nothing but multiply them.
+    """
     while True:
         up = parent.select(F.col("node").alias("root"), F.col("root").alias("above"))
-        jumped = cut_lineage(
+        jumped = store(
             parent.join(up, "root", "left").select(
                 "node",
                 F.coalesce("above", "root").alias("root"),
@@ -90,7 +94,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     are left to adaptive skew splitting. NULL ends and self loops are ignored.
     """
     ends = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a is not null and b is not null")
-    live = cut_lineage(ends.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    live = store(ends.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     labels = None
     while True:
         down = live.select(F.col("b").alias("node"), F.col("a").alias("other"))
@@ -101,11 +105,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
             labels = parent
         else:
             up = parent.select(F.col("node").alias("root"), F.col("root").alias("above"))
-            labels = cut_lineage(labels.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root")))
+            labels = store(labels.join(up, "root", "left").select("node", F.coalesce("above", "root").alias("root")))
         ra = parent.select(F.col("node").alias("a"), F.col("root").alias("ra"))
         rb = parent.select(F.col("node").alias("b"), F.col("root").alias("rb"))
         left = live.join(ra, "a").join(rb, "b").where("ra <> rb")
-        live = cut_lineage(left.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+        live = store(left.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
         if live.isEmpty():
             return labels
 

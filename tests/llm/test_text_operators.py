@@ -71,6 +71,12 @@ def test_components(spark):
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_keep_estimates_small(spark):
+    """The planner's estimate of a result's size must not grow with the rounds: as a product of products it filled the driver."""
+    labels = common.components(spark.range(40).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")))
+    assert labels._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 2**63
+
+
 def test_words_made_of_known_pieces(monkeypatch):
     words = tokens.WordTokens(common.tokenizer_path("word_bpe_49k.json"))
     rng = np.random.default_rng(3)
