@@ -31,10 +31,14 @@ def _once(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), then)[0]
 
 
+def _last(line: Column) -> Column:
+    """Place of the last shingle of a line that is not empty."""
+    return F.greatest(F.octet_length(line) - SHINGLE + 1, F.lit(1))
+
+
 def _hashes(line: Column) -> Column:
     """Hashes of all byte shingles of a line that is not empty, repeats included."""
-    last = F.greatest(F.octet_length(line) - SHINGLE + 1, F.lit(1))
-    return _once(line.cast("binary"), lambda raw: F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.substring(raw, i, F.lit(SHINGLE)))))
+    return _once(line.cast("binary"), lambda raw: F.transform(F.sequence(F.lit(1), _last(line)), lambda i: F.xxhash64(F.substring(raw, i, F.lit(SHINGLE)))))
 
 
 def shingles(line: Column) -> Column:
@@ -45,11 +49,14 @@ def shingles(line: Column) -> Column:
 def bands(lines: DataFrame) -> DataFrame:
     """(id, bands) for distinct lines (id, id2, line) that are not empty; bands is an array of longs.
 
-    Every shingle is a row, and minima are taken in hash aggregation; repeats of a shingle change no minimum. Where lines
-    are dealt out by id already, nothing is shuffled.
+    Every place of a line is a row, its shingle is hashed in generated code (a function of array elements would be
+    interpreted), and minima are taken in hash aggregation; repeats of a shingle change no minimum. Where lines are dealt
+    out by id already, nothing is shuffled.
     """
     rotated = [F.col("h")] + [F.shiftleft("h", 64 * r // ROWS).bitwiseOR(F.shiftrightunsigned("h", 64 - 64 * r // ROWS)) for r in range(1, ROWS)]
-    each = lines.select("id", "id2", F.explode(_hashes(F.col("line"))).alias("h")).select("id", "id2", *(x.alias(f"r{r}") for r, x in enumerate(rotated)))
+    places = lines.select("id", "id2", F.col("line").cast("binary").alias("raw")).select("id", "id2", "raw", F.explode(F.sequence(F.lit(1), _last(F.col("raw")))).alias("i"))
+    hashed = places.select("id", "id2", F.xxhash64(F.substring("raw", F.col("i"), F.lit(SHINGLE))).alias("h"))
+    each = hashed.select("id", "id2", *(x.alias(f"r{r}") for r, x in enumerate(rotated)))
     least = each.groupBy("id", "id2").agg(*(F.min(F.col(f"r{r}").bitwiseXOR(F.lit(MASKS[b][r]))).alias(f"m{b}_{r}") for b in range(BANDS) for r in range(ROWS)))
     return least.select("id", F.array(*(F.xxhash64(F.lit(b), *(f"m{b}_{r}" for r in range(ROWS))) for b in range(BANDS))).alias("bands"))
 

@@ -77,6 +77,27 @@ def test_components_keep_estimates_small(spark):
     assert labels._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < 2**63
 
 
+def test_bands_are_made_in_generated_code(spark, capsys):
+    """Shingles are hashed without functions of array elements, which Spark interprets; the values are those of ``_hashes``."""
+    lines = spark.createDataFrame([(1, 1, "short"), (2, 2, "12345678"), (3, 3, "über die Brücke \u00e9\U0001f600" * 9)], "id long, id2 long, line string")
+    line_dedup.bands(lines).explain()
+    assert "lambda" not in capsys.readouterr().out
+    got = {r["id"]: r["bands"] for r in line_dedup.bands(lines).collect()}
+    for row in lines.select("id", line_dedup.shingles(F.col("line")).alias("h")).collect():
+        least = [[min(_signed(_rotated(h, 64 * r // line_dedup.ROWS)) ^ m for h in row["h"]) for r, m in enumerate(band)] for band in line_dedup.MASKS]
+        want = spark.range(1).select(F.array(*(F.xxhash64(F.lit(b), *(F.lit(v).cast("long") for v in values)) for b, values in enumerate(least))).alias("w")).first()["w"]
+        assert got[row["id"]] == want
+
+
+def _rotated(h: int, by: int) -> int:
+    h %= 2**64
+    return (h << by | h >> (64 - by)) % 2**64
+
+
+def _signed(h: int) -> int:
+    return h - 2**64 if h >= 2**63 else h
+
+
 def test_words_made_of_known_pieces(monkeypatch):
     words = tokens.WordTokens(common.tokenizer_path("word_bpe_49k.json"))
     rng = np.random.default_rng(3)
