@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hexgale.llm.common import components
+from hexgale.llm.common import components, release
 from hexgale.session import cut_lineage
 
 SHINGLE, ROWS, BANDS = 8, 4, 10
@@ -132,6 +132,7 @@ def line_decisions(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str
     dealt = borne.select("id", F.explode("bands").alias("band"))
     ranged = dealt.select("band", "id", F.min("id").over(by_band).alias("lead"), F.max("id").over(by_band).alias("tail"))
     shared = cut_lineage(ranged.where("lead <> tail").select("band", "id", "lead"))
+    release(docs.sparkSession)  # shuffled texts and bands
 
     wanted = shared.select("id").distinct().join(exact, "id")
     wanted = cut_lineage(wanted.select("id", "id2", "first", "n").unionByName(exact.where("n > 1")).dropDuplicates(["id", "id2"]))
@@ -139,15 +140,18 @@ def line_decisions(docs: DataFrame, similarity: float = SIMILARITY, doc_id: str
     texts = rows.alias("d").join(fetch.alias("f"), F.col("d.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("d.row") == F.col("f.row")))
     texts = texts.select(F.split("text", "\n").alias("all"), F.explode("lines").alias("x")).select("x.id", F.col("all")[F.col("x.at")].alias("line"))
     texts = cut_lineage(texts)
+    release(docs.sparkSession)
 
     lead = shared.where("id <> lead").select(F.col("lead").alias("a"), F.col("id").alias("b")).distinct()
     links = cut_lineage(_confirm(lead, texts, similarity))
+    release(docs.sparkSession)
     labels = components(links)
     for more in (_to_leads, _across):
         pairs = cut_lineage(more(shared, labels))
         if pairs.isEmpty():
             continue
         links = links.unionByName(cut_lineage(_confirm(pairs, texts, similarity)))
+        release(docs.sparkSession)
         labels = components(links)
 
     up = labels.select(F.col("node").alias("id"), "root")

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hexgale.llm.common import Memo, components, partitions, pick
+from hexgale.llm.common import Memo, components, partitions, pick, release
 from hexgale.session import cut_lineage
 
 TOKENS, TREES, BRANCH, DEPTH = 128, 4, 2, 3
@@ -370,6 +370,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, doc_id
             break
         level = _branch(big, classes)
 
+    release(spark)  # shuffled nodes
     first = cut_lineage(_forest(members, percent).distinct())
     # Texts of the classes that have a likely partner anywhere: the ends of the forests, and members of large nodes, which
     # have met the pivots only.
@@ -384,13 +385,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, percent: int = 80, doc_id
 
     found = rows.join(need, rows["doc_id"] == need["first_id"]).select("class_id", "text", "set_key").where("text is not null")
     texts = cut_lineage(found.mapInArrow(same, "class_id long, text string").dropDuplicates(["class_id"]))
+    release(spark)
     links = cut_lineage(_confirm(first, texts, shingle, percent))
+    release(spark)
     labels = components(links)
     for nearest in (NEAREST, None):
         across = cut_lineage(_across(members, labels, percent, nearest).distinct())
         if across.isEmpty():
             break
         links = links.unionByName(cut_lineage(_confirm(across, texts, shingle, percent)))
+        release(spark)
         labels = components(links)
 
     up = labels.select(F.col("node").alias("class_id"), "root")
