@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import importlib
+import time
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +13,10 @@ from hexgale import session
 from hexgale.session import cut_lineage  # noqa: F401  (operators and tests take it from here)
 
 
+#: Seconds until Python's end of a dropped frame has told Java.
+FINALIZER_S = 1.5
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -41,8 +46,13 @@ def store(df: DataFrame) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Let Spark's cleaner delete shuffle files of frames that nothing refers to any more, now rather than at some later
-    collection of garbage on the driver."""
+    collection of garbage on the driver.
+
+    The Java side of a frame is let go by a thread of the Python side that wakes once a second; a collection before that
+    would find all of them still in use.
+    """
     gc.collect()
+    time.sleep(FINALIZER_S)
     spark.sparkContext._jvm.System.gc()
 
 
