@@ -293,6 +293,38 @@ def test_lines_of_repeated_units(spark):
     assert got == {i: i - i % 2 for i in range(240)}
 
 
+def test_lines_of_one_template_are_not_compared_pair_by_pair(spark, monkeypatch):
+    """Lines that share bands but are not alike: few pairs reach the comparison of sets, those that are alike all do."""
+    rng = random.Random(3)
+    template = prose(rng, 60).split(" ")
+    lines = [" ".join(prose(rng, 1) if rng.random() < 0.1 else w for w in template) for _ in range(60)]
+    lines += [" ".join(w + "s" if j == 7 else w for j, w in enumerate(x.split(" "))) for x in lines[:20]]
+    sets = [{x.encode()[i : i + 8] for i in range(len(x.encode()) - 7)} for x in lines]
+    alike = [(i, j) for j in range(80) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    parent = {i: i for i in range(80)}
+    for i, j in alike:
+        x, y = find(parent, i), find(parent, j)
+        parent[max(x, y)] = min(x, y)
+    compared, confirm = [], line_dedup._confirm
+    monkeypatch.setattr(line_dedup, "_confirm", lambda pairs, *more: compared.append(pairs.count()) or confirm(pairs, *more))
+    got = {r["doc_id"]: r["first_doc"] for r in line_dedup.line_decisions(frame(spark, list(enumerate(lines)))).collect()}
+    assert got == {i: find(parent, i) for i in parent} and len(set(got.values())) > 40
+    assert sum(compared) < 200
+
+
+def test_lines_thin_minima_and_outlines(spark):
+    """The thin form gives the bands of the plain one or none; outlines let all pairs pass that are alike."""
+    rng = random.Random(9)
+    pairs = near_pairs(rng, range(6, 120), [0, 1, 2, 3, 6], 300) + [(1.0, "=" * 300, "=" * 700), (1.0, "ab" * 90, "ab" * 400)]
+    lines = spark.createDataFrame([(2 * i + k, 0, x) for i, p in enumerate(pairs) for k, x in enumerate(p[1:])], "id long, id2 long, line string")
+    plain = {r["id"]: r["bands"] for r in line_dedup.bands(lines).collect()}
+    thin = {r["id"]: r["bands"] for r in line_dedup._minima(lines, ["id", "id2"], thin=True).collect()}
+    assert all(thin[i] in (None, plain[i]) for i in plain) and thin[600] is None and sum(x is None for x in thin.values()) < 40
+    every = spark.createDataFrame([(2 * i, 2 * i + 1) for i in range(len(pairs))], "a long, b long")
+    passed = {r["a"] // 2 for r in line_dedup._passed(every, line_dedup.outlines(lines), 0.8).collect()}
+    assert {i for i, p in enumerate(pairs) if p[0] >= 0.8} <= passed and sum(pairs[i][0] < 0.7 for i in passed) == 0
+
+
 def check_packing(rows, capacity: int) -> int:
     by: dict = {}
     for r in rows:
