@@ -1,8 +1,8 @@
 """Fuzzy line deduplication by MinHash, in DataFrame operations only.
 
 A line's set is the 64-bit hashes of its 8-byte character shingles (a shorter line is one shingle). ``ROWS * BANDS`` minwise
-values over the whole set make the bands. Lines that share a band are candidates, exact Jaccard similarity of the full sets
-confirms them, and distributed union-find joins them to components, of which the first line in document order stays.
+values over the whole set make the bands. Lines that share a band are candidates, outlines of the sets exclude those that
+cannot be alike, exact Jaccard similarity of the full sets confirms the others, and distributed union-find joins them to components, of which the first line in document order stays.
 """
 
 from __future__ import annotations

@@ -1,6 +1,7 @@
 """Sampling, encoding, metrics, models, sources and streaming."""
 
 import datetime as dt
+import inspect
 
 import numpy as np
 import pandas as pd
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from hexgale.operators import encode, model, ordered, rank_metrics, sampling
 from hexgale.operators.ordered import row_index
+from hexgale.plans.catalog import REGISTRY
 from hexgale.sources import tables
 from hexgale.streaming import composites as st
 
@@ -210,6 +212,25 @@ def test_full_run(spark, tmp_path):
     assert [tuple(r) for r in again.select("sample_id", "pred_meta").orderBy("sample_id").collect()] == [tuple(r) for r in run.holdout.select("sample_id", "pred_meta").orderBy("sample_id").collect()]
 
 
+def test_family_comparison_runs_the_whole_job(spark, monkeypatch):
+    """Five folds, all C, 600 deep trees and boosted shift weights in each of the four runs."""
+    seen, signature = [], inspect.signature(model.run_families)
+
+    def run(*args, **settings):
+        bound = signature.bind(*args, **settings)
+        bound.apply_defaults()
+        seen.append(bound.arguments)
+        row = spark.range(1).select(F.lit("HOLDOUT").alias("split"), F.lit(4).alias("n_rows"), F.lit(2).alias("n_pos"), F.lit(0.5).alias("roc_auc"), F.lit(0.5).alias("prauc"))
+        return model.FamilyRun(None, row)
+
+    monkeypatch.setattr(model, "run_families", run)
+    got = {r["model"]: r["measured"] for r in REGISTRY["family_comparison"].spark(spark, "/root/testdata/sf0.001").collect()}
+    assert got == {"wind": True, "wind_struct": True, "wind_cross": True, "all": True}
+    assert sorted(len(x["families"]) for x in seen) == [1, 2, 2, 3]
+    for x in seen:
+        assert (x["k"], x["trees"], x["depth"], x["grid"], x["shift"], x["shift_rounds"]) == (5, 600, 30, model.C_GRID, True, 400)
+
+
 def test_models_of_one_class(spark):
     ones = _samples(spark).withColumn("label", F.lit(1))
     with pytest.raises(ValueError):
